@@ -19,6 +19,7 @@ looked at.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -32,34 +33,90 @@ from pyspark.sql import functions as F
 from quarryline.sources.scratch import materialize
 
 END = b"\0\0\0\0"
-#: Words whose ids a worker remembers; beyond it the memory is emptied, never the result changed.
+#: Units whose ids a worker remembers, in two generations; beyond it older ones are forgotten, never the result changed.
 WORDS_KEPT = 300_000
 #: Groups into which the pieces of one length are dealt for ranking.
 SALTS = 128
 
 
+#: What the tokenizer's pattern cuts a lower-cased Latin-1 text into. The pattern's own order.
+UNITS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^\t-\r \x85\xa0a-zªµºß-öø-ÿ0-9²³¹¼-¾]+")
+
+
 class WordIds:
-    """ids of texts by a tokenizer that drops white space and never joins across it."""
+    """ids of texts by a tokenizer that lower-cases, drops white space and never joins across its pattern's units.
+
+    Latin-1 texts are cut into units here and each unit's ids are remembered; other texts, and those
+    that may hold the tokenizer's own marks, go to the tokenizer whole.
+    """
 
     def __init__(self, tokenizer_file: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _learn(self, new: list[str]) -> None:
+        """Encodes units, many in a line; a unit's last token is one that ends words."""
+        for k in range(0, len(new), 64):
+            part = new[k : k + 64]
+            ids = np.asarray(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(part):
+                data, at = ids.tobytes(), 0
+                for word, stop in zip(part, (stops * 4).tolist()):
+                    self.words[word] = data[at:stop]
+                    at = stop
+            else:
+                for word in part:
+                    self.words[word] = self.whole(word)
+
+    def whole(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit numbers, with the end mark."""
-        split = [text.replace("\n", " ").split(" ") for text in texts]
+        out: list[bytes | None] = []
+        split, places = [], []
+        for text in texts:
+            if any(m in text for m in self.marks) or not (text.isascii() or _latin(text)):
+                out.append(self.whole(text) + END)
+            else:
+                places.append(len(out))
+                out.append(None)
+                split.append(UNITS.findall(text.lower()))
         if len(self.words) > WORDS_KEPT:
-            self.words.clear()
-        new = list(set().union(*split).difference(self.words)) if split else []
-        for k in range(0, len(new), 10_000):
-            part = new[k : k + 10_000]
-            for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.words[word] = np.asarray(found.ids, "<u4").tobytes()
-        words = self.words
-        return [b"".join([words[w] for w in x]) + END for x in split]
+            self.words, self.older = {}, self.words
+        get, older = self.words.get, self.older.get
+        found = [list(map(get, units)) for units in split]
+        gaps = [(units, ids, [k for k, x in enumerate(ids) if x is None]) for units, ids in zip(split, found) if None in ids]
+        new = []
+        for word in {units[k] for units, _, missing in gaps for k in missing}:
+            if (ids := older(word)) is None:
+                new.append(word)
+            else:
+                self.words[word] = ids
+        self._learn(new)
+        for units, ids, missing in gaps:
+            for k in missing:
+                ids[k] = self.words[units[k]]
+        for k, ids in zip(places, found):
+            out[k] = b"".join(ids) + END
+        return out
+
+
+def _latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 @cache
