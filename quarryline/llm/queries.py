@@ -33,6 +33,12 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op7_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarryline.llm.imatch import fingerprints
+
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarryline.llm.wordpiece import count_tokens
 
@@ -55,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op4_language_id": op4_language_id,
     "op5_sentencepiece": op5_sentencepiece,
+    "op7_imatch": op7_imatch,
     "op8_token_counts": op8_token_counts,
     "op9_minhash_neardup": op9_minhash_neardup,
     "op10_toxicity": op10_toxicity,
