@@ -33,6 +33,12 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarryline.llm.warc import archived
+
+    return archived(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarryline.llm.imatch import fingerprints
 
@@ -61,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op4_language_id": op4_language_id,
     "op5_sentencepiece": op5_sentencepiece,
+    "op6_warc": op6_warc,
     "op7_imatch": op7_imatch,
     "op8_token_counts": op8_token_counts,
     "op9_minhash_neardup": op9_minhash_neardup,
