@@ -46,6 +46,8 @@ BATCH = 32
 BLOCK = 512
 #: Members verified against one copy of a centre's text; beyond it the centre is salted.
 STAR = 256
+#: Elements of a set that travels with a bucket's member; pairs with a larger set are verified apart.
+CARRIED = 512
 #: Most rows of a side that is broadcast; a larger side is joined by shuffling.
 BROADCAST_ROWS = 400_000
 WORDS_KEPT = 300_000
@@ -130,6 +132,14 @@ def surviving(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return at
 
 
+def linked(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sorted sets reach the threshold."""
+    if min(len(a), len(b)) * THRESHOLD[1] < max(len(a), len(b)) * THRESHOLD[0]:
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return THRESHOLD[1] * both >= THRESHOLD[0] * (len(a) + len(b) - both)
+
+
 def described(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, digest of the set, low and high bytes of the signature."""
 
@@ -158,7 +168,7 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 
 
 def band_rows(classes: DataFrame) -> DataFrame:
-    """key, id for each band of each row with id, low, high."""
+    """key, id for each band of each row with id, low, high. The key's last 6 bits are the band's number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = np.arange(BANDS, dtype=np.uint64) * MIX[1]
@@ -168,6 +178,7 @@ def band_rows(classes: DataFrame) -> DataFrame:
                 values = _matrix(part.column("low"), SIZE).astype(np.uint64) | _matrix(part.column("high"), SIZE).astype(np.uint64) << np.uint64(8)
                 keys = (((values.reshape(-1, BANDS, ROWS) + np.uint64(1)) * BAND_STEPS).sum(axis=2, dtype=np.uint64) + number) * MIX[0]
                 keys ^= keys >> np.uint64(31)
+                keys = keys & ~np.uint64(63) | np.arange(BANDS, dtype=np.uint64)
                 ids = np.repeat(np.asarray(part.column("id")), BANDS)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(ids)], ["key", "id"])
 
@@ -192,8 +203,7 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     load = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR).cast("int").alias("salts"))
     dealt = pairs.join(load, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")))
     wanted = dealt.select(F.col("b").alias("doc_id"), "a", "salt", F.lit(1).alias("part"), "b").unionByName(dealt.select(F.col("a").alias("doc_id"), "a", "salt", F.lit(0).alias("part"), F.col("a").alias("b")).distinct())
-    few = pairs.count() <= BROADCAST_ROWS // 2
-    texts = docs.selectExpr("cast(doc_id as bigint) doc_id", "text").join(F.broadcast(wanted) if few else wanted.hint("merge"), "doc_id")
+    texts = texts_of(docs, wanted, 2 * pairs.count())
     together = texts.select("a", "salt", "part", "b", "text").repartition("a", "salt").sortWithinPartitions("a", "salt", "part", "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,61 +217,99 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 if part == 0:
                     sets.append(own)
                     continue
-                for other in sets:
-                    if min(len(own), len(other)) * THRESHOLD[1] < max(len(own), len(other)) * THRESHOLD[0]:
-                        continue
-                    both = len(np.intersect1d(own, other, assume_unique=True))
-                    if THRESHOLD[1] * both >= THRESHOLD[0] * (len(own) + len(other) - both):
-                        rows[0].append(a), rows[1].append(b)
-                        break
+                if any(linked(own, other) for other in sets):
+                    rows[0].append(a), rows[1].append(b)
             yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64())], ["a", "b"])
 
     return together.mapInArrow(run, "a long, b long")
 
 
-def between_components(shared: DataFrame, labels: DataFrame, signatures: DataFrame) -> DataFrame:
-    """Surviving pairs a, b of bucket members from different components.
+def texts_of(docs: DataFrame, wanted: DataFrame, rows: int) -> DataFrame:
+    """wanted (doc_id and more, a written table of that many rows) with each document's text."""
+    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").join(F.broadcast(wanted) if rows <= BROADCAST_ROWS else wanted.hint("merge"), "doc_id")
+
+
+def short_sets(docs: DataFrame, wanted: DataFrame, rows: int) -> DataFrame:
+    """id and the full set of each wanted doc_id whose sets have at most CARRIED elements; ids that occur once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, sets = [], []
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                h = shingles(text.as_py())
+                ids.append(doc_id)
+                sets.append(h.tobytes() if len(h) <= CARRIED else None)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["id", "set"])
+
+    found = texts_of(docs, wanted, rows).select("doc_id", "text").mapInArrow(run, "id long, set binary")
+    return found.groupBy("id").agg(F.count("*").alias("n"), F.max("set").alias("set")).where("n = 1 and set is not null").select("id", "set")
+
+
+def between_components(shared: DataFrame, labels: DataFrame, signatures: DataFrame, docs: DataFrame) -> DataFrame:
+    """Pairs a, b of bucket members from different components, and whether their full sets have been verified.
 
     shared: key, id of buckets with several members; labels: id, component where it isn't the id itself.
+    Sets of up to CARRIED elements travel with the members and are compared at once; of those pairs
+    only links come out, and within a block none between components that another link has joined.
     """
     own = shared.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     mixed = own.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    members = own.join(mixed.select("key", blocks.alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    #: a member meets the members of its own block and of each other block
-    dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "id", "component", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), (F.col("block") > F.col("other")).cast("int").alias("side"))
-    rows = dealt.join(signatures.select("id", F.col("low").alias("sig")), "id").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "side")
+    members = materialize(own.join(mixed.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "key"), "members")
+    wanted = materialize(members.select(F.col("id").alias("doc_id")).distinct(), "members")
+    sets = short_sets(docs, wanted, wanted.count())
+    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    # a member meets the members of its own block and of each other block
+    dealt = members.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "id", "component", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), (F.col("block") > F.col("other")).cast("int").alias("side"))
+    rows = dealt.join(signatures.select("id", F.col("low").alias("sig")), "id").join(sets, "id", "left").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "side", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def compare(ids: list, comps: list, sides: list, sigs: list, two: bool) -> pa.RecordBatch:
+        def compare(group: tuple, ids: list, comps: list, sides: list, sigs: list, sets: list) -> pa.RecordBatch:
             i, c, s = np.array(ids), np.array(comps), np.array(sides)
             m = np.frombuffer(b"".join(sigs), np.uint8).reshape(-1, SIZE)
-            out: tuple[list, list] = ([], [])
+            own = [None if x is None else np.frombuffer(x, np.uint64) for x in sets]
+            roots: dict[int, int] = {}
+
+            def root(x: int) -> int:
+                while x in roots:
+                    x = roots[x]
+                return x
+
+            out: tuple[list, list, list] = ([], [], [])
             for k in range(len(i)):
                 rest = np.arange(k + 1, len(i))
                 rest = rest[c[rest] != c[k]]
-                if two:
+                if group[1] != group[2]:
                     rest = rest[s[rest] != s[k]]
-                if len(rest):
-                    found = rest[surviving(np.broadcast_to(m[k], (len(rest), SIZE)), m[rest])]
-                    out[0].extend(np.minimum(i[k], i[found]).tolist()), out[1].extend(np.maximum(i[k], i[found]).tolist())
-            return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], ["a", "b"])
-
-        group, held = None, ([], [], [], [])
+                if not len(rest):
+                    continue
+                first = (m[rest] == m[k]).reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1)
+                rest = rest[first == group[0] & 63]  # a pair is compared in its first common bucket
+                rest = rest[surviving(np.broadcast_to(m[k], (len(rest), SIZE)), m[rest])]
+                for n in rest.tolist():
+                    sure = own[k] is not None and own[n] is not None
+                    if sure:
+                        one, other = root(comps[k]), root(comps[n])
+                        if one == other or not linked(own[k], own[n]):
+                            continue
+                        roots[max(one, other)] = min(one, other)
+                    out[0].append(min(ids[k], ids[n])), out[1].append(max(ids[k], ids[n])), out[2].append(sure)
+            return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.bool_())], ["a", "b", "sure"])
+
+        group, held = None, ([], [], [], [], [])
         for batch in batches:
-            key, ids, comps, x, y, side, sig = (batch.column(n).to_pylist() for n in ("key", "id", "component", "x", "y", "side", "sig"))
+            key, ids, comps, x, y, side, sig, full = (batch.column(n).to_pylist() for n in batch.schema.names)
             for k in range(len(key)):
                 at = (key[k], x[k], y[k])
                 if at != group:
                     if len(held[0]) > 1:
-                        yield compare(*held, group[1] != group[2])
-                    group, held = at, ([], [], [], [])
-                for col, v in zip(held, (ids[k], comps[k], side[k], sig[k])):
+                        yield compare(group, *held)
+                    group, held = at, ([], [], [], [], [])
+                for col, v in zip(held, (ids[k], comps[k], side[k], sig[k], full[k])):
                     col.append(v)
         if len(held[0]) > 1:
-            yield compare(*held, group[1] != group[2])
+            yield compare(group, *held)
 
-    return rows.select("key", "id", "component", "x", "y", "side", "sig").mapInArrow(run, "a long, b long").distinct()
+    return rows.select("key", "id", "component", "x", "y", "side", "sig", "set").mapInArrow(run, "a long, b long, sure boolean").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -280,8 +328,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     star_pairs = materialize(pruned(stars, kept_classes), "pairs")
     links = materialize(verified(star_pairs, docs), "links")
     labels = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    more_pairs = materialize(between_components(shared.select("key", "id"), labels, kept_classes), "pairs")
-    more = verified(more_pairs, docs)
+    more_pairs = materialize(between_components(shared.select("key", "id"), labels, kept_classes, docs), "pairs")
+    more = more_pairs.where("sure").select("a", "b").unionByName(verified(more_pairs.where("not sure").select("a", "b"), docs))
     joined = labels.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(more.select(F.col("a").alias("u"), F.col("b").alias("v")))
     final = components(joined)
     whole = table.select("doc_id", "n_shingles", "digest").join(first.join(final, "id", "left").select("digest", F.coalesce("component", "id").alias("component_id")), "digest", "left")
