@@ -11,7 +11,7 @@ DataFrame expressions only. The lexicon is broadcast: as the document frequencie
 of documents times the mean number m of distinct terms, at most m * exp(BAND[1]) terms are in the band.
 Terms outside it are dropped by the map side of that join, so what is shuffled per document is its
 terms within the band. The next document is found by a window over ranges of doc_id; only each range's
-first row meets the range before.
+first row meets the range before. What a document's terms give is written once, for it is read twice.
 
 Defined results: null text counts as empty; rows come in the order of descending doc_id, then a hash
 of the text, so repeated rows follow each other; rows with a null doc_id have no next document (an
@@ -24,11 +24,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarryline.sources.scratch import materialize
+
 #: Inverse document frequencies of the lexicon's terms.
 BAND = (2.5, 5.0)
 #: Of each rate there are SUBSETS subsets of the lexicon, each with one in so many of its terms.
 RATES = (16, 64, 256, 1024)
 SUBSETS = 16
+#: Bits of a term's hash in a mark.
+BITS = 25
 #: Documents in a range of doc_id, about; and the most ranges.
 RANGE = 256
 MOST_RANGES = 8192
@@ -40,35 +44,44 @@ def terms(text: Column) -> Column:
 
 
 def lexicon(docs: DataFrame, n: int, band: tuple[float, float]) -> DataFrame:
-    """term (64-bit hash), code of a subset that has it: a row for each subset of each term within the band."""
+    """term (64-bit hash), mark: a row for each subset of each term within the band.
+
+    A mark holds the subset's code above BITS bits of the term's hash.
+    """
     df = docs.select(F.explode(terms(F.col("text"))).alias("word")).where("word <> ''").select(F.xxhash64("word").alias("term")).groupBy("term").count()
     idf = F.log(F.lit(float(n)) / F.col("count"))
-    codes = [F.when(F.pmod(F.xxhash64("term", F.lit(k)), F.lit(rate)) < SUBSETS, F.pmod(F.xxhash64("term", F.lit(k)), F.lit(rate)) + k * SUBSETS) for k, rate in enumerate(RATES)]
-    return df.where((idf >= band[0]) & (idf < band[1])).select("term", F.explode(F.array_compact(F.array(*[c.cast("int") for c in codes]))).alias("code"))
+    own = F.shiftrightunsigned("term", 64 - BITS)
+    draw = [F.pmod(F.xxhash64("term", F.lit(k)), F.lit(rate)) for k, rate in enumerate(RATES)]
+    marks = [F.when(d < SUBSETS, F.shiftleft(d + k * SUBSETS, BITS).bitwiseOR(own).cast("int")) for k, d in enumerate(draw)]
+    return df.where((idf >= band[0]) & (idf < band[1])).select("term", F.explode(F.array_compact(F.array(*marks))).alias("mark"))
+
 
+def with_next(rows: DataFrame, low: int, width: int, column: str, name: str, tie: Column) -> DataFrame:
+    """Adds `column` of the next row, by descending doc_id and tie, as `name`; after the last row comes the first.
 
-def with_next(rows: DataFrame, low: int, width: int, column: str, name: str, order: list[Column]) -> DataFrame:
-    """Adds `column` of the next row, descending, as `name`; after the last row comes the first."""
+    rows is read twice: in full, and to find each range's first row, of which there are MOST_RANGES at most.
+    """
     ranged = rows.withColumn("range", F.floor((F.col("doc_id").cast("decimal(20,0)") - low) / width).cast("long"))
-    own = Window.partitionBy("range").orderBy(*order)
-    placed = ranged.withColumn(name, F.lead(column).over(own)).withColumn("place", F.row_number().over(own)).withColumn("after", F.lead("doc_id").over(own))
-    heads = placed.where("place = 1 and doc_id is not null").select(F.col("range").alias("follows"), F.col(column).alias("head"))
-    chain = heads.select("follows").withColumn("lower", F.lead("follows").over(Window.orderBy(F.desc("follows"))))
-    last = heads.agg(F.max("follows").alias("top"))
-    links = chain.crossJoin(F.broadcast(last)).select(F.col("follows").alias("of"), F.coalesce("lower", "top").alias("follows")).join(heads, "follows").select("of", "head")
+    tops = ranged.where("doc_id is not null").groupBy("range").agg(F.max("doc_id").alias("top"))
+    chain = tops.select("range", F.coalesce(F.lead("range").over(Window.orderBy(F.desc("range"))), F.first("range").over(Window.orderBy(F.desc("range")))).alias("follows"))
+    firsts = ranged.join(F.broadcast(tops.select("top")), F.col("doc_id") == F.col("top")).groupBy("range").agg(F.min_by(column, tie).alias("head"))
+    links = chain.join(firsts.withColumnRenamed("range", "follows"), "follows").select(F.col("range").alias("of"), "head")
+    own = Window.partitionBy("range").orderBy(F.desc("doc_id"), tie)
+    placed = ranged.withColumn(name, F.lead(column).over(own)).withColumn("after", F.lead("doc_id").over(own))
     ends = F.col("after").isNull() & F.col("doc_id").isNotNull()
     joined = placed.join(links, (F.col("range") == F.col("of")) & ends, "left")
     return joined.withColumn(name, F.when(ends, F.col("head")).when(F.col("doc_id").isNotNull(), F.col(name))).select(*rows.columns, name)
 
 
 def parts(found: Column, whole: Column) -> Column:
-    """A fingerprint's parts from structs (code, term), or from the whole text's hash if there are none."""
+    """A fingerprint's parts from the marks of a text's terms, or from the whole text's hash if there are none."""
     start = F.struct(F.lit(-1).alias("code"), F.lit(0).cast("long").alias("hash"), F.array().cast("array<int>").alias("out"))
     part = lambda a: F.shiftleft(a["code"], 24).bitwiseOR(a["hash"].bitwiseAND(0xFFFFFF).cast("int"))
 
     def step(a: Column, x: Column) -> Column:
-        same = a["code"] == x["code"]
-        return F.struct(x["code"].alias("code"), F.when(same, F.xxhash64(a["hash"], x["term"])).otherwise(F.xxhash64(x["term"])).alias("hash"), F.when(same | (a["code"] < 0), a["out"]).otherwise(F.concat(a["out"], F.array(part(a)))).alias("out"))
+        code = F.shiftright(x, BITS)
+        same = a["code"] == code
+        return F.struct(code.alias("code"), F.when(same, F.xxhash64(a["hash"], x)).otherwise(F.xxhash64(x)).alias("hash"), F.when(same | (a["code"] < 0), a["out"]).otherwise(F.concat(a["out"], F.array(part(a)))).alias("out"))
 
     made = F.aggregate(F.sort_array(found), start, step, lambda a: F.concat(a["out"], F.array(part(a))))
     plain = F.array(*[F.shiftleft(F.lit(WHOLE + k), 24).bitwiseOR(F.shiftright(whole, 20 * k).bitwiseAND(0xFFFFFF).cast("int")) for k in range(3)])
@@ -94,7 +107,7 @@ def fingerprints(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame
     low, high = low or 0, high or 0
     width = max(1, -(-(high - low + 1) // min(MOST_RANGES, -(-max(n, 1) // RANGE))))
     half = F.floor(F.length("text") / 2).cast("int")
-    rows = with_next(docs, low, width, "text", "next", [F.desc("doc_id"), F.xxhash64("text")])
+    rows = with_next(docs, low, width, "text", "next", F.xxhash64("text"))
     edited = F.concat(F.substring("text", 1, F.length("text") - half), F.substring(F.coalesce("next", F.lit("")), F.lit(1), half))
     rows = rows.select("doc_id", "text", edited.alias("edited"), F.xxhash64("text").alias("of_text"), F.xxhash64(edited).alias("of_edited"))
 
@@ -103,10 +116,9 @@ def fingerprints(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame
     sides = rows.select("doc_id", "of_text", "of_edited", F.posexplode(F.array(F.col("text"), F.col("edited"), said)).alias("side", "own"))
     words = sides.select("doc_id", "of_text", "of_edited", "side", F.explode(F.when(F.col("side") == 2, F.array("own")).otherwise(terms(F.col("own")))).alias("word"))
     hashed = words.select("doc_id", "of_text", "of_edited", "side", F.when(F.col("side") < 2, F.xxhash64("word")).alias("term"), F.when(F.col("side") == 2, F.col("word")).alias("said"))
-    banded = hashed.join(F.broadcast(lexicon(docs, n, band)), "term", "left").where("side = 2 or code is not null")
-    pair = F.struct("code", "term")
-    grouped = banded.groupBy("doc_id", "of_text", "of_edited").agg(F.collect_list(F.when(F.col("side") == 0, pair)).alias("a"), F.collect_list(F.when(F.col("side") == 1, pair)).alias("b"), F.max("said").alias("said"), F.count("said").alias("times"))
+    banded = hashed.join(F.broadcast(lexicon(docs, n, band)), "term", "left").where("side = 2 or mark is not null")
+    grouped = banded.groupBy("doc_id", "of_text", "of_edited").agg(F.collect_list(F.when(F.col("side") == 0, F.col("mark"))).alias("a"), F.collect_list(F.when(F.col("side") == 1, F.col("mark"))).alias("b"), F.max("said").alias("said"), F.count("said").alias("times"))
     once = lambda c: F.when(F.col("times") > 1, F.array_distinct(c)).otherwise(F.col(c))  # noqa: E731  repeated rows
     made = grouped.select("doc_id", "of_text", F.split("said", ":").alias("said"), parts(once("a"), F.col("of_text")).alias("own"), parts(once("b"), F.col("of_edited")).alias("edited"), F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("copy")).drop("copy")
-    beside = with_next(made, low, width, "own", "next", [F.desc("doc_id"), F.col("of_text")])
+    beside = with_next(materialize(made, "fingerprints"), low, width, "own", "next", F.col("of_text"))
     return beside.select("doc_id", F.col("said")[0].cast("long").alias("n_chars"), F.col("said")[1].alias("edited_sha256"), printed(F.col("own")).alias("fingerprint"), printed(F.col("edited")).alias("edited_fingerprint"), likeness(F.col("own"), F.col("edited")).alias("near_edited"), F.when(F.col("next").isNull(), F.lit(0.0)).otherwise(likeness(F.col("own"), F.col("next"))).alias("near_next"))
