@@ -88,25 +88,32 @@ def file_system(uri: str):
 
 
 def with_firsts(pages: DataFrame, least_bytes: int) -> DataFrame:
-    """page_id, url, html with the first page of equal payloads (null: its own), and its url."""
+    """Rows to write: page_id, part, url, html, key, first, first_url.
+
+    Part 1 are the pages. Part 0 tells, before a page, the first page of an equal payload with this key;
+    so payloads needn't be joined, only their keys, and are shuffled once.
+    """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
     # the payload's hash is a key only; digests are made anew from the payloads when records are written
-    keyed = rows.withColumn("key", F.when(F.octet_length("html") >= least_bytes, F.sha2(F.col("html").cast("binary"), 256)))
-    firsts = keyed.where("key is not null").groupBy("key").agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("first"))
-    return keyed.join(firsts, "key", "left").select("page_id", "url", "html", F.col("first.page_id").alias("first"), F.col("first.url").alias("first_url"))
+    keyed = rows.where(F.octet_length("html") >= least_bytes).select("page_id", "url", F.sha2(F.col("html").cast("binary"), 256).alias("key"))
+    firsts = keyed.groupBy("key").agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
+    told = keyed.select("page_id", "key").join(firsts, "key").select("page_id", "key", F.col("first.page_id").alias("first"), F.col("first.url").alias("first_url")).where("not (page_id <=> first)").distinct()
+    none = F.lit(None).cast("string")
+    told = told.select("page_id", F.lit(0).alias("part"), none.alias("url"), none.alias("html"), "key", "first", "first_url")
+    return rows.select("page_id", F.lit(1).alias("part"), "url", "html", none.alias("key"), F.lit(None).cast("long").alias("first"), none.alias("first_url")).unionByName(told)
 
 
 def write_archives(pages: DataFrame, to: str, least_bytes: int = 0, roll_bytes: int = ROLL_BYTES) -> list[dict]:
     """Writes all records below `to` and returns the manifest: name, records, bytes, sha256 of each file."""
     spark = pages.sparkSession
     prepared = with_firsts(pages, least_bytes)
-    ordered = prepared.repartitionByRange("page_id").sortWithinPartitions("page_id", "url", "html")
+    ordered = prepared.repartitionByRange("page_id").sortWithinPartitions("page_id", "part", "url", "html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = file_system(to)
         context = TaskContext.get()
         shard, attempt = context.partitionId(), f"{context.stageId()}-{context.taskAttemptId()}-{uuid.uuid4().hex}"
-        done, out, begun = [], None, None
+        done, out, begun, told = [], None, None, (None, {})
         system.create_dir(f"{root}/temporary", recursive=True)
 
         def close() -> None:
@@ -115,12 +122,19 @@ def write_archives(pages: DataFrame, to: str, least_bytes: int = 0, roll_bytes:
             done.append((shard, len(done), at, count[0], size[0], check.hexdigest()))
 
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns[:2]), batch.column(2), *(c.to_pylist() for c in batch.columns[3:])):
-                page_id, url, html, first, first_url = row
+            for row in zip(*(c.to_pylist() for c in batch.columns[:3]), batch.column(3), *(c.to_pylist() for c in batch.columns[4:])):
+                page_id, part, url, html, key, first, first_url = row
+                if page_id != told[0]:
+                    told = (page_id, {})
+                if part == 0:
+                    told[1][key] = (first, first_url)
+                    continue
+                payload = html.as_py().encode("utf-8", "surrogatepass")
+                first, first_url = told[1].get(hashlib.sha256(payload).hexdigest(), (None, None)) if told[1] else (None, None)
                 if out is None:
                     at = f"{root}/temporary/{shard:06d}-{len(done):06d}-{attempt}"
                     out, begun = system.open_output_stream(at), (None, at, [0], [0], hashlib.sha256())
-                made = gzip.compress(record(page_id, url, html.as_py().encode("utf-8", "surrogatepass"), first, first_url, first is not None and first != page_id), 6, mtime=0)
+                made = gzip.compress(record(page_id, url, payload, first, first_url, first is not None), 6, mtime=0)
                 out.write(made)
                 begun[2][0] += 1
                 begun[3][0] += len(made)
