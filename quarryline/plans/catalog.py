@@ -1,10 +1,6 @@
-"""Named queries over the input tables and their equivalents in SQL."""
+"""All queries over the input tables, and their equivalents in SQL."""
 
-from __future__ import annotations
+from quarryline.plans import corpus_queries, relational_queries, text_queries  # noqa: F401  they register their queries
+from quarryline.plans.registry import ORACLES, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
