@@ -85,14 +85,10 @@ def formatted(conversations: DataFrame) -> DataFrame:
 
 def parsed(text: Column) -> Column:
     """The turns (role, text) that a formatted string holds."""
-    messages = F.slice(F.split(text, r"<\|im_end\|>"), 1, F.size(F.split(text, r"<\|im_end\|>")) - 1)
-
-    def turns(message: Column) -> Column:
-        cut = F.split(message, r"<\|im_sep\|>")
-        role = unescape(F.substring(cut[0], len(START) + 1, 1 << 30))
-        return F.transform(F.split(cut[1], r"<\|im_turn\|>"), lambda t: F.struct(role.alias("role"), unescape(t).alias("text")))
-
-    return F.flatten(F.transform(messages, turns))
+    messages = F.filter(F.transform(F.split(text, r"<\|im_end\|>"), lambda m: F.split(m, r"<\|im_sep\|>")), lambda m: F.size(m) == 2)
+    # a lambda evaluates its expressions for each element, so a message's role is bound before its turns are
+    named = F.transform(messages, lambda m: F.struct(unescape(F.substring(m[0], len(START) + 1, 1 << 30)).alias("role"), F.split(m[1], r"<\|im_turn\|>").alias("texts")))
+    return F.flatten(F.transform(named, lambda m: F.transform(m["texts"], lambda t: F.struct(m["role"].alias("role"), unescape(t).alias("text")))))
 
 
 def digests(conversations: DataFrame) -> DataFrame:
