@@ -193,8 +193,8 @@ def train(docs: DataFrame, model_file: str) -> tuple[list[str], np.ndarray, dict
     return langs, table, entries
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, dict[str, int]]) -> DataFrame:
-    """docs' columns with lang_pred and score."""
+def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, dict[str, int]], names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs' columns with the language and its score, under names that docs doesn't use."""
     langs, table, entries = model
     spark = docs.sparkSession
     # vocabulary x languages numbers: bounded, whatever the corpus
@@ -230,9 +230,9 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, dict[str, int]]
                 best = int(own.argmax())
                 own = (own - own[best]) * (min(letters, EVIDENCE) / letters)
                 preds.append(langs[best]), certain.append(float(1.0 / np.exp(own).sum()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(preds, pa.string()), pa.array(certain, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(preds, pa.string()), pa.array(certain, pa.float64())], [*batch.schema.names, *names])
 
-    schema = StructType([f for f in docs.schema.fields]).add("lang_pred", StringType()).add("score", DoubleType())
+    schema = StructType([f for f in docs.schema.fields]).add(names[0], StringType()).add(names[1], DoubleType())
     return docs.mapInArrow(run, schema)
 
 

@@ -153,8 +153,8 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], np.ndar
     return {f: float(w[k]) for f, k in number.items()}, bounds
 
 
-def score(docs: DataFrame, model: tuple[dict[str, float], np.ndarray]) -> DataFrame:
-    """docs' columns with p_toxic, severity (expected grade, 0 to TOP) and toxic."""
+def score(docs: DataFrame, model: tuple[dict[str, float], np.ndarray], names: tuple[str, str, str] = ("p_toxic", "severity", "toxic")) -> DataFrame:
+    """docs' columns with P(grade > 0), the expected grade (0 to TOP) and whether it's toxic, under names that docs doesn't use."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most FEATURES weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,9 +172,9 @@ def score(docs: DataFrame, model: tuple[dict[str, float], np.ndarray]) -> DataFr
                     known[w] = sum(weights.get(f, 0.0) for f in features_of(w))
                 scores[k] = SCALE * sum(map(known.__getitem__, words)) / len(words) ** 0.5
             above = 1 / (1 + np.exp(-(scores[:, None] - bounds).clip(-500, 500)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(above[:, 0]), pa.array(above.sum(axis=1)), pa.array(above[:, 0] >= 0.5)], [*batch.schema.names, "p_toxic", "severity", "toxic"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(above[:, 0]), pa.array(above.sum(axis=1)), pa.array(above[:, 0] >= 0.5)], [*batch.schema.names, *names])
 
-    schema = StructType(list(docs.schema.fields)).add("p_toxic", DoubleType()).add("severity", DoubleType()).add("toxic", BooleanType())
+    schema = StructType(list(docs.schema.fields)).add(names[0], DoubleType()).add(names[1], DoubleType()).add(names[2], BooleanType())
     return docs.mapInArrow(run, schema)
 
 
