@@ -23,17 +23,30 @@ from quarryline.sources.tables import table
 LEAST_CERTAINTY = 0.4
 
 
+def unused(docs: DataFrame, *names: str) -> tuple[str, ...]:
+    """Names like these that no column of docs has, in any case."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return tuple(out)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose expected severity model says not toxic; the model learns from labels of these documents."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where("not toxic").select(*docs.columns)
+    names = unused(docs, "p_toxic", "severity", "toxic")
+    return toxicity.score(docs, model, names).where(~F.col(names[2])).select(*docs.columns)
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the labelled documents show."""
     model = langid.train(docs, tokenizer_path("piece_bpe_32k.model"))
-    kept = (F.col("lang_pred") != "und") & (F.col("score") >= LEAST_CERTAINTY)
-    return langid.predict(docs, model).where(kept).select(*docs.columns)
+    names = unused(docs, "lang_pred", "score")
+    kept = (F.col(names[0]) != "und") & (F.col(names[1]) >= LEAST_CERTAINTY)
+    return langid.predict(docs, model, names).where(kept).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,9 +57,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     rest = docs.join(F.broadcast(dropped) if n <= neardup.BROADCAST_ROWS else dropped.hint("merge"), "doc_id", "left_anti")
     repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if repeated.isEmpty():
-        return rest
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    one = rest.join(repeated, "doc_id", "left_semi").withColumn("_place", place).where("_place = 1").drop("_place")
+        return rest.select(*docs.columns)
+    (place,) = unused(docs, "place")
+    order = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
+    one = rest.join(repeated, "doc_id", "left_semi").withColumn(place, order).where(F.col(place) == 1).select(*rest.columns)
     return rest.join(repeated, "doc_id", "left_anti").unionByName(one).select(*docs.columns)
 
 
