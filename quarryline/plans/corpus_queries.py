@@ -15,7 +15,6 @@ from quarryline.plans.relational_queries import DISTINCT_RECORDS, RECORDS, SEED,
 from quarryline.plans.text_queries import SIMHASH_SQL
 from quarryline.sources.tables import table
 
-TEXT = F.col("text")
 STREAM = filters.StreamRules()
 CONTEXT, SHARD, CAP = 512, 10_000, 30_000
 NEAR_SQL = f"""
@@ -28,7 +27,7 @@ NEAR_SQL = f"""
 
 def _marks(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    prints = docs.select("doc_id", H.fingerprint(TEXT).alias("fingerprint"))
+    prints = docs.select("doc_id", H.fingerprint(F.col("text")).alias("fingerprint"))
     return prints.join(H.simhash_sha(docs), "doc_id")
 
 
@@ -63,7 +62,7 @@ def benchmark_decontam(spark, sf_dir):
 
 @query(f"SELECT doc_id, {S.by_ratio('sha256(text)', 7, 0.8, 0.1)} AS split FROM documents")
 def split_ratio(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", H.split_by_ratio(H.sha(TEXT), 7, 0.8, 0.1).alias("split"))
+    return table(spark, sf_dir, "documents").select("doc_id", H.split_by_ratio(H.sha(F.col("text")), 7, 0.8, 0.1).alias("split"))
 
 
 PRINT_SQL = f"sha256({S.canonical('text')})"
@@ -71,7 +70,7 @@ PRINT_SQL = f"sha256({S.canonical('text')})"
 
 @query(f"SELECT doc_id, {S.bucket(PRINT_SQL, 1000)} AS bucket, {S.by_bucket(PRINT_SQL, 800, 100, 1000)} AS split FROM documents")
 def split_bucket(spark, sf_dir):
-    prints = table(spark, sf_dir, "documents").select("doc_id", H.fingerprint(TEXT).alias("fp"))
+    prints = table(spark, sf_dir, "documents").select("doc_id", H.fingerprint(F.col("text")).alias("fp"))
     return prints.select("doc_id", H.bucket(F.col("fp"), 1000).alias("bucket"), H.split_by_bucket(F.col("fp"), 800, 100, 1000).alias("split"))
 
 
@@ -131,7 +130,7 @@ def doc_blocks(spark, sf_dir):
     SELECT block_id AS shard, CAST(sum(len(part)) AS BIGINT) AS tokens, CAST(2 * sum(len(part)) AS BIGINT) AS bytes, CAST(count(*) AS BIGINT) AS documents, block_id * {SHARD} AS first_token FROM cut GROUP BY block_id""")
 def shard_plan(spark, sf_dir):
     """Rolling shards of a fixed number of tokens; documents may straddle them. Only lengths are moved."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", (F.size(T.words(TEXT)) + 1).cast("long").alias("n"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", (F.size(T.words(F.col("text"))) + 1).cast("long").alias("n"))
     placed = running_sum(rows, by_number(rows, "doc_id"), ["doc_id"], F.col("n"), "start")
     spread = placed.withColumn("shard", F.explode(F.sequence(F.floor(F.col("start") / SHARD).cast("long"), F.floor((F.col("start") + F.col("n") - 1) / SHARD).cast("long"))))
     own = F.least((F.col("shard") + 1) * SHARD, F.col("start") + F.col("n")) - F.greatest(F.col("shard") * SHARD, F.col("start"))
@@ -145,7 +144,7 @@ SPLIT_TOKENS = f"""
 
 
 def _capped(spark, sf_dir):
-    ids = F.concat(packing.word_ids(TEXT), F.array(F.lit(packing.EOS)))
+    ids = F.concat(packing.word_ids(F.col("text")), F.array(F.lit(packing.EOS)))
     rows = table(spark, sf_dir, "documents").select("doc_id", ids.alias("ids"), H.split_by_bucket(F.sha2(F.col("doc_id").cast("string"), 256), 800, 100, 1000).alias("split")).withColumn("n", F.size("ids").cast("long"))
     places = select.token_caps(rows.select("split", "doc_id", "n"), CAP).where("taken > 0")
     return rows.select("doc_id", "ids").join(places, "doc_id")
@@ -175,7 +174,7 @@ DOC_SPLIT = S.by_bucket("sha256(CAST(doc_id AS VARCHAR))", 800, 100, 1000)
         CASE WHEN digest <> sha256(text) THEN 'wrong_hash' END, CASE WHEN said_split <> split THEN 'wrong_split' END, CASE WHEN copies > 1 THEN 'duplicate' END, CASE WHEN low <> high THEN 'split_overlap' END], lambda s: s IS NOT NULL), ',') AS problems FROM m""")
 def validate_records(spark, sf_dir):
     own = H.split_by_bucket(F.sha2(F.col("doc_id").cast("string"), 256), 800, 100, 1000)
-    digest = F.when(F.col("doc_id") % 41 == 0, H.sha(F.concat("text", F.lit("!")))).otherwise(H.sha(TEXT))
+    digest = F.when(F.col("doc_id") % 41 == 0, H.sha(F.concat("text", F.lit("!")))).otherwise(H.sha(F.col("text")))
     rows = table(spark, sf_dir, "documents").select("doc_id", "text", digest.alias("digest"), own.alias("split")).withColumn("said_split", F.when(F.col("doc_id") % 37 == 0, "other").otherwise(F.col("split")))
     return validate.records(rows, 200, 40)
 
@@ -239,8 +238,8 @@ DISTINCT_GOOD = DISTINCT_RECORDS.replace("FROM documents", f"FROM {GOOD_SQL}")
     FROM (SELECT r.*, quota, coalesce(sum(text_bytes) OVER (PARTITION BY r.source ORDER BY selection_key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM ({DISTINCT_GOOD}) r JOIN ({quota_sql(FLAG_TARGET, FLAG_SQL)}) q ON r.source = q.source) GROUP BY source, quota""")
 def assemble_corpus(spark, sf_dir):
     """Clean, filter, deduplicate, give sources quotas of bytes, select by stable keys, and sum up by source."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", T.clean_text(TEXT).alias("text"))
-    good = docs.where(filters.quality_rejection(TEXT, STREAM).isNull())
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", T.clean_text(F.col("text")).alias("text"))
+    good = docs.where(filters.quality_rejection(F.col("text"), STREAM).isNull())
     records = select.distinct_records(select.corpus_records(good, SEED))
     shares = spark.createDataFrame(list(FLAG_SHARES), "source string, target_share string").withColumn("target_share", F.col("target_share").cast("decimal(10,4)"))
     quota = select.quotas(shares, FLAG_TARGET)
@@ -260,7 +259,7 @@ def assemble_corpus(spark, sf_dir):
     FROM (SELECT *, {S.by_bucket("fp", 800, 100, 1000)} AS split FROM f) GROUP BY split""")
 def pipeline_flagship(spark, sf_dir):
     """Clean, filter, fingerprint, keep the first of each fingerprint, split, and sum up by split."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", T.clean_text(TEXT).alias("t"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", T.clean_text(F.col("text")).alias("t"))
     good = docs.where(filters.quality_rejection(F.col("t"), STREAM).isNull())
     slim = good.select("doc_id", H.fingerprint(F.col("t")).alias("fp"), T.chars(F.col("t")).alias("chars"), T.word_count(F.lower("t")).alias("words"), T.approx_tokens(F.col("t")).alias("tokens"))
     first = slim.groupBy("fp").agg(F.min(F.struct("doc_id", "chars", "words", "tokens")).alias("d")).select("fp", "d.*")

@@ -13,7 +13,6 @@ from quarryline.plans import sql as S
 from quarryline.plans.registry import query
 from quarryline.sources.tables import table
 
-TEXT = F.col("text")
 PILOT = filters.PilotRules()
 STREAM = filters.StreamRules()
 SEED = "corpus-seed"
@@ -25,7 +24,7 @@ MARKED = "SELECT doc_id, unnest(['sha256:' || sha256(text), 'id:' || substr(sha2
 
 
 def _marks(docs):
-    return docs.select("doc_id", F.explode(F.array(F.concat(F.lit("sha256:"), H.sha(TEXT)), F.concat(F.lit("id:"), F.substring(F.sha2(F.concat("source", F.col("doc_id").cast("string")), 256), 1, 24)))).alias("mark"))
+    return docs.select("doc_id", F.explode(F.array(F.concat(F.lit("sha256:"), H.sha(F.col("text"))), F.concat(F.lit("id:"), F.substring(F.sha2(F.concat("source", F.col("doc_id").cast("string")), 256), 1, 24)))).alias("mark"))
 
 
 def _known(spark, sf_dir):
@@ -52,7 +51,7 @@ def known_overlap(spark, sf_dir):
     FROM (SELECT doc_id, sha256(text) AS digest, {S.by_bucket("sha256(CAST(doc_id AS VARCHAR))", 800, 100, 1000)} AS split FROM documents) GROUP BY digest HAVING count(*) > 1""")
 def split_overlap(spark, sf_dir):
     split = H.split_by_bucket(F.sha2(F.col("doc_id").cast("string"), 256), 800, 100, 1000)
-    rows = table(spark, sf_dir, "documents").select("doc_id", H.sha(TEXT).alias("digest"), split.alias("split"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", H.sha(F.col("text")).alias("digest"), split.alias("split"))
     return rows.groupBy("digest").agg(F.count("*").alias("copies"), F.count_distinct("split").alias("splits"), F.min("doc_id").alias("first_doc")).where("copies > 1")
 
 
@@ -77,7 +76,7 @@ def outer_compare(spark, sf_dir):
     SELECT domain, round(c / greatest(b, 1) - c / greatest(a, 1), 9) AS characters_per_token_delta, b - a AS tokens_delta FROM m""")
 def metric_delta(spark, sf_dir):
     """Metrics of two ways to cut words, by language, and their differences; domains must be the same."""
-    docs = table(spark, sf_dir, "documents").select(F.coalesce("lang", F.lit("")).alias("domain"), T.chars(TEXT).alias("c"), F.size(T.words(TEXT)).alias("a"), F.size(T.spaced_words(TEXT)).alias("b"))
+    docs = table(spark, sf_dir, "documents").select(F.coalesce("lang", F.lit("")).alias("domain"), T.chars(F.col("text")).alias("c"), F.size(T.words(F.col("text"))).alias("a"), F.size(T.spaced_words(F.col("text"))).alias("b"))
     sums = docs.groupBy("domain").agg(*[F.sum(c).alias(c) for c in "cab"])
     sides = [sums.select("domain", F.col(n).alias(f"tokens_{n}"), (F.col("c") / F.greatest(F.col(n), F.lit(1))).alias(f"rate_{n}")) for n in "ab"]
     return profile.deltas(sides[0], sides[1], "domain", {"characters_per_token_delta": ("rate_a", "rate_b"), "tokens_delta": ("tokens_a", "tokens_b")}).select("domain", F.round("characters_per_token_delta", 9).alias("characters_per_token_delta"), "tokens_delta")
@@ -130,7 +129,7 @@ CLEANED = f"(SELECT doc_id, {S.normal('text')} AS t FROM documents)"
 
 
 def _cleaned(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", T.normalize_text(TEXT).alias("t"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", T.normalize_text(F.col("text")).alias("t"))
     reasons = filters.rejection_reasons(F.col("t"), PILOT)
     marked = docs.select("doc_id", H.sha(F.col("t")).alias("digest"), T.chars(F.col("t")).alias("chars"), T.word_count(F.col("t")).alias("words"), T.approx_tokens(F.col("t")).alias("tokens"), (F.length("t") > PILOT.max_chars).alias("cut"), reasons.alias("found"))
     # only hashes and counts are shuffled; a copy is a duplicate whether or not the first one passed
@@ -161,8 +160,8 @@ def rejection_histogram(spark, sf_dir):
     SELECT split, CAST(count(*) AS BIGINT) AS documents, CAST(sum(coalesce(n_chars, length(text))) AS BIGINT) AS chars, CAST(sum(len({S.words('text')})) AS BIGINT) AS words, CAST(sum({S.tokens('text')}) AS BIGINT) AS approx_tokens
     FROM (SELECT *, {S.by_ratio("sha256(text)", 7, 0.8, 0.1)} AS split FROM documents) GROUP BY split""")
 def split_stats(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").withColumn("split", H.split_by_ratio(H.sha(TEXT), 7, 0.8, 0.1))
-    return docs.groupBy("split").agg(F.count("*").alias("documents"), F.sum(F.coalesce("n_chars", F.length("text"))).alias("chars"), F.sum(T.word_count(F.lower("text"))).alias("words"), F.sum(T.approx_tokens(TEXT)).alias("approx_tokens"))
+    docs = table(spark, sf_dir, "documents").withColumn("split", H.split_by_ratio(H.sha(F.col("text")), 7, 0.8, 0.1))
+    return docs.groupBy("split").agg(F.count("*").alias("documents"), F.sum(F.coalesce("n_chars", F.length("text"))).alias("chars"), F.sum(T.word_count(F.lower("text"))).alias("words"), F.sum(T.approx_tokens(F.col("text"))).alias("approx_tokens"))
 
 
 @query(f"""
@@ -171,7 +170,7 @@ def split_stats(spark, sf_dir):
         array_to_string(list_slice(list_sort(list(doc_id)), 1, 5), ',') AS sample_ids FROM documents GROUP BY source""")
 def corpus_summary(spark, sf_dir):
     """By source; the upper median and first ids come from ranks, so no group is gathered."""
-    docs = table(spark, sf_dir, "documents").select("source", "doc_id", T.chars(TEXT).alias("chars"), T.approx_tokens(TEXT).alias("tokens"))
+    docs = table(spark, sf_dir, "documents").select("source", "doc_id", T.chars(F.col("text")).alias("chars"), T.approx_tokens(F.col("text")).alias("tokens"))
     return profile.summary(docs, "source", "chars", "doc_id", {"chars": F.sum("chars"), "min_chars": F.min("chars"), "max_chars": F.max("chars"), "approx_tokens": F.sum("tokens")})
 
 
@@ -182,9 +181,9 @@ def corpus_summary(spark, sf_dir):
     FROM stages GROUP BY ROLLUP (stage)""")
 def stage_manifest(spark, sf_dir):
     """Totals of each stage in one pass: a document counts in the stages that it reaches."""
-    docs = table(spark, sf_dir, "documents").select("text", T.clean_text(TEXT).alias("c"), H.split_by_bucket(H.fingerprint(TEXT), 800, 100, 1000).alias("split"))
+    docs = table(spark, sf_dir, "documents").select("text", T.clean_text(F.col("text")).alias("c"), H.split_by_bucket(H.fingerprint(F.col("text")), 800, 100, 1000).alias("split"))
     measured = lambda t: F.struct(T.chars(t).alias("chars"), F.size(T.spaced_words(t)).alias("words"), T.approx_tokens(t).alias("tokens"))
-    rows = docs.select("split", (F.length("c") >= 200).alias("long"), measured(TEXT).alias("raw"), measured(F.col("c")).alias("cleaned"))
+    rows = docs.select("split", (F.length("c") >= 200).alias("long"), measured(F.col("text")).alias("raw"), measured(F.col("c")).alias("cleaned"))
     stages = F.array(F.struct(F.lit("raw").alias("stage"), F.col("raw").alias("m")), F.when(F.col("long"), F.struct(F.lit("cleaned").alias("stage"), F.col("cleaned").alias("m"))), F.when(F.col("long"), F.struct(F.col("split").alias("stage"), F.col("cleaned").alias("m"))))
     reached = rows.select(F.explode(F.array_compact(stages)).alias("s")).select("s.stage", "s.m.*")
     return reached.rollup("stage").agg(F.count("*").alias("documents"), F.sum("chars").alias("chars"), F.sum("words").cast("long").alias("words"), F.sum("tokens").alias("approx_tokens")).withColumn("stage", F.coalesce("stage", F.lit("all")))
@@ -224,7 +223,7 @@ def profile_quantiles(spark, sf_dir):
 def tokenizer_summary(spark, sf_dir):
     """Metrics of words as pieces, by source and overall; quantiles come from the counts of lengths."""
     docs = table(spark, sf_dir, "documents").select(F.coalesce("source", F.lit("")).alias("source"), "text")
-    return profile.piece_summary(docs, "source", T.spaced_words(TEXT))
+    return profile.piece_summary(docs, "source", T.spaced_words(F.col("text")))
 
 
 @query(f"""
@@ -232,7 +231,7 @@ def tokenizer_summary(spark, sf_dir):
         SELECT doc_id, sha256({S.canonical("t")}) AS fp, {S.rejection(STREAM)} AS rejection FROM ({S.metric_rows("documents", S.clean("text"))})))
     SELECT coalesce(split, '(all)') AS split, coalesce(reason, '(all)') AS reason, CAST(count(*) AS BIGINT) AS n FROM (SELECT split, coalesce(rejection, 'accepted') AS reason FROM c) GROUP BY CUBE (split, reason)""")
 def pipeline_counters(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(T.clean_text(TEXT).alias("t"))
+    docs = table(spark, sf_dir, "documents").select(T.clean_text(F.col("text")).alias("t"))
     judged = docs.select(H.split_by_bucket(H.fingerprint(F.col("t")), 800, 100, 1000).alias("split"), F.coalesce(filters.quality_rejection(F.col("t"), STREAM), F.lit("accepted")).alias("reason"))
     counts = judged.groupBy("split", "reason").agg(F.count("*").alias("n"))  # the cube then spreads counts, not documents
     return counts.cube("split", "reason").agg(F.sum("n").alias("n")).select(F.coalesce("split", F.lit("(all)")).alias("split"), F.coalesce("reason", F.lit("(all)")).alias("reason"), "n")
@@ -250,13 +249,13 @@ def weighted_mean_exp(spark, sf_dir):
 
 @query("SELECT source, CAST(count(*) AS BIGINT) AS n, sha256(string_agg(h || chr(10), '' ORDER BY h)) AS digest FROM (SELECT source, sha256(text) AS h FROM documents) GROUP BY source")
 def hash_set_digest(spark, sf_dir):
-    return select.digest_of(table(spark, sf_dir, "documents").select("source", H.sha(TEXT).alias("h")), F.col("h"), ["source"], "digest")
+    return select.digest_of(table(spark, sf_dir, "documents").select("source", H.sha(F.col("text")).alias("h")), F.col("h"), ["source"], "digest")
 
 
 @query("SELECT source, CAST(count(*) AS BIGINT) AS n, sha256(string_agg(k || chr(10), '' ORDER BY k)) AS digest FROM (SELECT source, source || chr(0) || doc_id || chr(0) || sha256(text) AS k FROM documents) GROUP BY source")
 def selection_digest(spark, sf_dir):
     nul = F.char(F.lit(0))
-    key = F.concat("source", nul, F.col("doc_id").cast("string"), nul, H.sha(TEXT))
+    key = F.concat("source", nul, F.col("doc_id").cast("string"), nul, H.sha(F.col("text")))
     return select.digest_of(table(spark, sf_dir, "documents").select("source", key.alias("k")), F.col("k"), ["source"], "digest")
 
 
@@ -321,7 +320,7 @@ def corpus_cap(spark, sf_dir):
 
 @query(f"SELECT doc_id, CAST(len({S.words('text')}) + 1 AS BIGINT) AS n, CAST(coalesce(sum(len({S.words('text')}) + 1) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM documents")
 def token_offsets(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", (F.size(T.words(TEXT)) + 1).cast("long").alias("n"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", (F.size(T.words(F.col("text"))) + 1).cast("long").alias("n"))
     return running_sum(rows, by_number(rows, "doc_id"), ["doc_id"], F.col("n"), "start").select("doc_id", "n", "start")
 
 
