@@ -9,7 +9,8 @@ have come before the merge taken back, the pair can't occur. The ids are then re
 Word boundaries: no entry holds a space sign after another character, so the text is cut before
 each space and a word's ids don't depend on its neighbours. Only runs of spaces join up; their
 entries all have one score, so the leftmost merges go first and a run is cut into the longest
-entries from the left. Line ends are cut likewise when no entry holds one.
+entries from the left. Line ends are cut likewise when no entry holds one, and punctuation after a
+letter when no entry holds a letter with it behind.
 
 Defined results: null text counts as empty; empty text has no ids; unknown characters become the
 ids of their UTF-8 bytes; repeated rows give repeated results; other columns aren't looked at.
@@ -18,6 +19,7 @@ ids of their UTF-8 bytes; repeated rows give repeated results; other columns are
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from functools import cache
 from itertools import chain
@@ -26,8 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 SPACE = "▁"
-#: Words whose ids a worker remembers; beyond it the memory is emptied, never the result changed.
-WORDS_KEPT = 300_000
+#: Stands before a part that is cut off without a space.
+CUT = "\x01"
+#: Words whose ids a worker remembers, in two generations; beyond it older ones are forgotten, never the result changed.
+WORDS_KEPT = 250_000
 
 
 class PrefixTableEncoder:
@@ -49,6 +53,9 @@ class PrefixTableEncoder:
             raise ValueError("an entry holds a space inside; words can't be encoded apart")
         self.piece = {i: p for p, i in words.items()}
         self.cut_lines = not any("\n" in p for p in words)
+        after_letters = {b for p in words for a, b in zip(p, p[1:]) if a.isalpha()}
+        apart = "".join(c for c in ".,!?;:" if c not in after_letters)
+        self.apart = re.compile(rf"[{re.escape(apart)}](?<=[^\W\d_].)") if apart else None
         self.automaton = ahocorasick.Automaton()
         for p, i in words.items():
             self.automaton.add_word(p, (len(p), i))
@@ -56,6 +63,7 @@ class PrefixTableEncoder:
         self.parts: dict[int, tuple[int, int] | None] = {}
         self.allowed: dict[tuple[int, int], bool] = {}
         self.words: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.older: dict[str, tuple[tuple[int, ...], str]] = {}
 
     def halves(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes the token at last; itself twice for a character; None if merging never reaches it."""
@@ -140,28 +148,39 @@ class PrefixTableEncoder:
         return out[::-1]
 
     def _word(self, key: str) -> tuple[tuple[int, ...], str]:
-        ids = self.encode_word(key if key[:1] == "\n" and self.cut_lines else SPACE + key)
+        out = self.older.get(key)
+        if out is None:
+            raw = key[1:] if key[:1] == CUT else key if key[:1] == "\n" and self.cut_lines else SPACE + key
+            ids = self.encode_word(raw)
+            out = (tuple(ids), ",".join(map(str, ids)))
         if len(self.words) >= WORDS_KEPT:
-            self.words.clear()
-        self.words[key] = out = (tuple(ids), ",".join(map(str, ids)))
+            self.words, self.older = {}, self.words
+        self.words[key] = out
         return out
 
     def encode(self, text: str) -> tuple[list[int], str]:
         """The ids, and the same joined by commas."""
         if not text:
             return [], ""
-        text = text.replace(SPACE, " ")
-        if self.cut_lines:
-            text = text.replace("\n", " \n")
-        keys = text.split(" ")
-        get, word = self.words.get, self._word
-        found = [get(k) or word(k) for k in keys]
+        marks = "" if CUT in text else CUT + "\n" * self.cut_lines
+        if not marks:  # rare: such a text is cut at spaces only
+            keys = text.replace(SPACE, " ").split(" ")
+            found = [(tuple(ids), ",".join(map(str, ids))) for ids in (self.encode_word(SPACE + k) for k in keys)]
+        else:
+            text = text.replace(SPACE, " ")
+            if self.cut_lines:
+                text = text.replace("\n", " \n")
+            if self.apart:
+                text = self.apart.sub(rf" {CUT}\g<0>", text)
+            keys = text.split(" ")
+            get, word = self.words.get, self._word
+            found = [get(k) or word(k) for k in keys]
         if "" in keys:
-            found = self._runs(keys, found)
+            found = self._runs(keys, found, marks)
         return list(chain.from_iterable([x[0] for x in found])), ",".join([x[1] for x in found])
 
-    def _runs(self, keys: list[str], found: list) -> list:
-        """Joins neighbouring lone spaces."""
+    def _runs(self, keys: list[str], found: list, marks: str) -> list:
+        """Joins neighbouring lone spaces. marks: what keys begin with that no space precedes."""
         out, run, lone = [], 0, self.runs.get(1)
         most = max(self.runs)
 
@@ -181,7 +200,7 @@ class PrefixTableEncoder:
             if key == "":
                 run += 1
                 continue
-            if run and ids[0] == lone and key[0] != "\n":
+            if run and ids[0] == lone and key[0] not in marks:
                 run += 1
                 ids = ids[1:]
                 said = ",".join(map(str, ids))

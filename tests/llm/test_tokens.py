@@ -11,13 +11,13 @@ from quarryline.llm.pieces import PrefixTableEncoder, encode_texts  # noqa: E402
 from quarryline.llm.wordpiece import LongestMatch, count_tokens  # noqa: E402
 
 MODEL, WORDS = P.path("piece_bpe_32k.model"), P.path("word_bpe_49k.json")
-EDGES = ["", " ", "   a  b ", "▁x", "foo\nbar", "\n\n", "日本語 é́", "<s></s><0x0A>", "\x00", "x" * 3000, "🙂  🙂", " " * 40 + "the"]
+EDGES = ["", " ", "   a  b ", "▁x", "foo\nbar", "\n\n", "日本語 é́", "<s></s><0x0A>", "\x00", "\x01  \n x.\x01 a.b", "a.b, c.", "x" * 3000, "🙂  🙂", " " * 40 + "the"]
 SCHEMA = "doc_id long, text string, n_tokens string, ids long"
 
 
 def texts(n=300, seed=1):
     rnd = random.Random(seed)
-    return EDGES + ["".join(rnd.choice(["the ", "ing", "er", " ", "\n", "é", "🙂", "a", "zz", "▁", "."]) for _ in range(rnd.randint(0, 30))) for _ in range(n)]
+    return EDGES + ["".join(rnd.choice(["the ", "ing", "er", " ", "\n", "é", "🙂", "a", "zz", "▁", ".", ",", "\x01"]) for _ in range(rnd.randint(0, 30))) for _ in range(n)]
 
 
 def test_prefix_table_equals_library():
