@@ -24,14 +24,15 @@ BROKEN = r"[\x{0000}-\x{0008}\x{000B}\x{000C}\x{000E}-\x{001F}\x{FFFD}]"
 URL = rf"(?i)https?://{NOT_SPACE}+|www\.{NOT_SPACE}+"
 
 
-def _digits() -> str:
-    """Class of the characters that Python calls digits: decimal ones and superscripts, circles and the like."""
+def _other_digits() -> str:
+    """Ranges of the characters that count as digits without being decimal ones: superscripts, circles and the like."""
     other = [c for c in range(sys.maxunicode + 1) if chr(c).isdigit() and not chr(c).isdecimal()]
     runs = [[c for _, c in g] for _, g in groupby(enumerate(other), lambda x: x[1] - x[0])]
-    return r"[\p{Nd}" + "".join(f"\\x{{{r[0]:04X}}}-\\x{{{r[-1]:04X}}}" for r in runs) + "]"
+    return "".join(f"\\x{{{r[0]:04X}}}-\\x{{{r[-1]:04X}}}" for r in runs)
 
 
-DIGIT = _digits()
+OTHER_DIGITS = _other_digits()
+DIGIT = rf"[\p{{Nd}}{OTHER_DIGITS}]"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -39,6 +40,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def once(value: Column) -> Column:
+    """value as a generated column: what filters and selects make of it later doesn't evaluate it again."""
+    return F.explode(F.array(value))
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, EDGES, "")
 
@@ -84,8 +90,14 @@ def chars(c: Column) -> Column:
 
 
 def matching_chars(c: Column, of_one: str) -> Column:
-    """Characters that a class of one character matches."""
-    return F.regexp_count(c, F.lit(of_one)).cast("long")
+    """Characters that a class of one character matches; runs are taken out at once."""
+    return (F.length(c) - F.length(F.regexp_replace(c, f"{of_one}+", ""))).cast("long")
+
+
+def digit_chars(c: Column) -> Column:
+    """Digits of any kind; the long list of rare ones is only tried where a character of their category occurs."""
+    rare = F.when(c.rlike(r"\p{No}"), matching_chars(c, f"[{OTHER_DIGITS}]")).otherwise(0)
+    return matching_chars(c, r"\p{Nd}") + rare
 
 
 def preview(c: Column, n: int) -> Column:

@@ -64,13 +64,12 @@ class MetadataRules:
 
 
 def non_letter_ratio(c: Column) -> Column:
-    seen = T.matching_chars(c, T.NOT_SPACE)
-    return F.when(seen == 0, 1.0).otherwise(1 - T.matching_chars(c, r"\p{L}") / seen)
+    seen = F.length(F.regexp_replace(c, f"{T.SPACE}+", ""))
+    return T.let(seen, lambda n: F.when(n == 0, 1.0).otherwise(1 - T.matching_chars(c, r"\p{L}") / n))
 
 
 def stopword_hits(c: Column) -> Column:
-    known = F.array(*[F.lit(w) for w in STOPWORDS])
-    return F.size(F.filter(T.words(c), lambda w: F.array_contains(known, w))).cast("long")
+    return F.size(F.filter(T.words(c), lambda w: w.isin(*STOPWORDS))).cast("long")
 
 
 def first_phrase(c: Column, phrases: tuple[str, ...]) -> Column:
@@ -80,6 +79,10 @@ def first_phrase(c: Column, phrases: tuple[str, ...]) -> Column:
 
 def rejection_reasons(c: Column, rules: PilotRules = PilotRules()) -> Column:
     """Every failing rule, in a fixed order; an empty text fails by that alone."""
+    return T.let(c, lambda t: _reasons(t, rules))
+
+
+def _reasons(c: Column, rules: PilotRules) -> Column:
     failed = F.array_compact(
         F.array(
             F.when(F.length(c) < rules.min_chars, "too_short_chars"),
@@ -116,14 +119,16 @@ def ngrams(w: Column, n: int) -> Column:
 
 
 def boilerplate_matches(c: Column) -> Column:
-    return sum((c.rlike(f"(?iu){p}").cast("int") for p in BOILERPLATE[1:]), c.rlike(f"(?iu){BOILERPLATE[0]}").cast("int")).cast("long")
+    """Patterns that occur, any case: the text is folded once, so that plain literals are searched."""
+    found = lambda t: sum((t.rlike(p).cast("int") for p in BOILERPLATE[1:]), t.rlike(BOILERPLATE[0]).cast("int"))
+    return T.let(F.lower(F.translate(c, "ſıİ", "sii")), found).cast("long")
 
 
 def metrics(c: Column) -> dict[str, Column]:
     return {
         "n_chars": T.chars(c),
         "url_ratio": url_ratio(c),
-        "digit_ratio": share_of(c, T.DIGIT),
+        "digit_ratio": T.digit_chars(c) / F.greatest(F.length(c), F.lit(1)),
         "symbol_ratio": share_of(c, rf"[^\p{{L}}\p{{N}}{T.SPACES}]"),
         "n_words": F.size(T.words(c)).cast("long"),
         "alpha_ratio": share_of(c, r"\p{L}"),
@@ -134,7 +139,14 @@ def metrics(c: Column) -> dict[str, Column]:
 
 
 def quality_rejection(c: Column, rules: StreamRules = StreamRules()) -> Column:
-    """The first failing rule, null if none fails. Cheap rules come first; later ones aren't evaluated then."""
+    """The first failing rule, null if none fails. Cheap rules come first; later ones aren't evaluated then.
+
+    The text is bound once: otherwise a filter by this would repeat the cleaning that made it in every rule.
+    """
+    return T.let(c, lambda t: _first_failing(t, rules))
+
+
+def _first_failing(c: Column, rules: StreamRules) -> Column:
     m = metrics(c)
     failed = F.when(m["n_chars"] < rules.min_chars, "too_short").when(m["n_chars"] > rules.max_chars, "too_long")
     for name, most in (("url_ratio", rules.max_urls), ("digit_ratio", rules.max_digits), ("symbol_ratio", rules.max_symbols)):

@@ -13,7 +13,8 @@ from quarryline.plans import sql as S
 from quarryline.plans.registry import query
 from quarryline.plans.relational_queries import DISTINCT_RECORDS, RECORDS, SEED, quota_sql
 from quarryline.plans.text_queries import SIMHASH_SQL
-from quarryline.sources.tables import table
+from quarryline.sources.scratch import materialize
+from quarryline.sources.tables import documents, table
 
 STREAM = filters.StreamRules()
 CONTEXT, SHARD, CAP = 512, 10_000, 30_000
@@ -26,7 +27,7 @@ NEAR_SQL = f"""
 
 
 def _marks(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     prints = docs.select("doc_id", H.fingerprint(F.col("text")).alias("fingerprint"))
     return prints.join(H.simhash_sha(docs), "doc_id")
 
@@ -49,7 +50,7 @@ def near_dup_pairs(spark, sf_dir):
     SELECT p.doc_id, CASE WHEN NOT kept THEN 'near_duplicate' WHEN p.doc_id = first THEN 'kept' ELSE 'exact_duplicate' END AS label FROM prints p JOIN state USING (fp)""")
 def near_dup_survivors(spark, sf_dir):
     """Going through documents in order, one goes if an earlier kept one is near; settled in rounds of joins."""
-    return dedup.survivors(_marks(spark, sf_dir))
+    return dedup.survivors(materialize(_marks(spark, sf_dir), "marks"))  # read three times
 
 
 @query(f"""
@@ -57,12 +58,12 @@ def near_dup_survivors(spark, sf_dir):
     b AS (SELECT DISTINCT item_id, unnest({S.ngrams("w", 13)}) AS g FROM (SELECT item_id, {S.words("text")} AS w FROM benchmark))
     SELECT doc_id, CAST(count(DISTINCT g) AS BIGINT) AS shared, CAST(count(DISTINCT item_id) AS BIGINT) AS items FROM d JOIN b USING (g) GROUP BY doc_id""")
 def benchmark_decontam(spark, sf_dir):
-    return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.overlaps(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
 @query(f"SELECT doc_id, {S.by_ratio('sha256(text)', 7, 0.8, 0.1)} AS split FROM documents")
 def split_ratio(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", H.split_by_ratio(H.sha(F.col("text")), 7, 0.8, 0.1).alias("split"))
+    return documents(spark, sf_dir).select("doc_id", H.split_by_ratio(H.sha(F.col("text")), 7, 0.8, 0.1).alias("split"))
 
 
 PRINT_SQL = f"sha256({S.canonical('text')})"
@@ -70,7 +71,7 @@ PRINT_SQL = f"sha256({S.canonical('text')})"
 
 @query(f"SELECT doc_id, {S.bucket(PRINT_SQL, 1000)} AS bucket, {S.by_bucket(PRINT_SQL, 800, 100, 1000)} AS split FROM documents")
 def split_bucket(spark, sf_dir):
-    prints = table(spark, sf_dir, "documents").select("doc_id", H.fingerprint(F.col("text")).alias("fp"))
+    prints = documents(spark, sf_dir).select("doc_id", H.fingerprint(F.col("text")).alias("fp"))
     return prints.select("doc_id", H.bucket(F.col("fp"), 1000).alias("bucket"), H.split_by_bucket(F.col("fp"), 800, 100, 1000).alias("split"))
 
 
@@ -78,7 +79,7 @@ def split_bucket(spark, sf_dir):
     WITH n AS (SELECT count(*) AS n, greatest(1, CAST(round_even(count(*) * 0.1, 0) AS BIGINT)) AS v, greatest(1, CAST(round_even(count(*) * 0.05, 0) AS BIGINT)) AS t FROM documents)
     SELECT doc_id, CAST(place AS BIGINT) AS place, CASE WHEN place < t THEN 'test' WHEN place < t + v THEN 'validation' ELSE 'train' END AS split FROM (SELECT doc_id, row_number() OVER (ORDER BY output_key) - 1 AS place FROM ({RECORDS})), n""")
 def split_units(spark, sf_dir):
-    rows = select.corpus_records(table(spark, sf_dir, "documents"), SEED).select("doc_id", "output_key")
+    rows = select.corpus_records(documents(spark, sf_dir), SEED).select("doc_id", "output_key")
     return split.split_units(rows, "output_key", 0.1, 0.05).select("doc_id", "place", "split")
 
 
@@ -92,7 +93,7 @@ PADDED_SQL = f"SELECT block_id, real, sha256(ids || repeat(' 0', CAST({CONTEXT}
 
 
 def _blocks(spark, sf_dir):
-    return packing.blocks(packing.stream(table(spark, sf_dir, "documents")), CONTEXT)
+    return packing.blocks(packing.stream(documents(spark, sf_dir)), CONTEXT)
 
 
 def _digests(blocks, *keys):
@@ -122,7 +123,7 @@ def token_stream_blocks(spark, sf_dir):
     p AS (SELECT doc_id, part, list_slice(ids, part * {CONTEXT} + 1, (part + 1) * {CONTEXT}) AS ids FROM (SELECT *, unnest(range(0, (len(ids) - 1) // {CONTEXT} + 1)) AS part FROM d))
     SELECT doc_id, CAST(part AS BIGINT) AS part, CAST(len(ids) AS BIGINT) AS real, sha256(array_to_string(ids, ' ') || repeat(' 0', CAST({CONTEXT} - len(ids) AS BIGINT))) AS ids_sha256, sha256(array_to_string(ids, ' ') || repeat(' -100', CAST({CONTEXT} - len(ids) AS BIGINT))) AS labels_sha256 FROM p WHERE len(ids) >= 2""")
 def doc_blocks(spark, sf_dir):
-    return _digests(packing.document_blocks(table(spark, sf_dir, "documents"), CONTEXT), "doc_id", F.col("part").cast("long").alias("part"))
+    return _digests(packing.document_blocks(documents(spark, sf_dir), CONTEXT), "doc_id", F.col("part").cast("long").alias("part"))
 
 
 @query(f"""
@@ -130,7 +131,7 @@ def doc_blocks(spark, sf_dir):
     SELECT block_id AS shard, CAST(sum(len(part)) AS BIGINT) AS tokens, CAST(2 * sum(len(part)) AS BIGINT) AS bytes, CAST(count(*) AS BIGINT) AS documents, block_id * {SHARD} AS first_token FROM cut GROUP BY block_id""")
 def shard_plan(spark, sf_dir):
     """Rolling shards of a fixed number of tokens; documents may straddle them. Only lengths are moved."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", (F.size(T.words(F.col("text"))) + 1).cast("long").alias("n"))
+    rows = documents(spark, sf_dir).select("doc_id", (F.size(T.words(F.col("text"))) + 1).cast("long").alias("n"))
     placed = running_sum(rows, by_number(rows, "doc_id"), ["doc_id"], F.col("n"), "start")
     spread = placed.withColumn("shard", F.explode(F.sequence(F.floor(F.col("start") / SHARD).cast("long"), F.floor((F.col("start") + F.col("n") - 1) / SHARD).cast("long"))))
     own = F.least((F.col("shard") + 1) * SHARD, F.col("start") + F.col("n")) - F.greatest(F.col("shard") * SHARD, F.col("start"))
@@ -145,7 +146,7 @@ SPLIT_TOKENS = f"""
 
 def _capped(spark, sf_dir):
     ids = F.concat(packing.word_ids(F.col("text")), F.array(F.lit(packing.EOS)))
-    rows = table(spark, sf_dir, "documents").select("doc_id", ids.alias("ids"), H.split_by_bucket(F.sha2(F.col("doc_id").cast("string"), 256), 800, 100, 1000).alias("split")).withColumn("n", F.size("ids").cast("long"))
+    rows = documents(spark, sf_dir).select("doc_id", ids.alias("ids"), H.split_by_bucket(F.sha2(F.col("doc_id").cast("string"), 256), 800, 100, 1000).alias("split")).withColumn("n", F.size("ids").cast("long"))
     places = select.token_caps(rows.select("split", "doc_id", "n"), CAP).where("taken > 0")
     return rows.select("doc_id", "ids").join(places, "doc_id")
 
@@ -175,7 +176,7 @@ DOC_SPLIT = S.by_bucket("sha256(CAST(doc_id AS VARCHAR))", 800, 100, 1000)
 def validate_records(spark, sf_dir):
     own = H.split_by_bucket(F.sha2(F.col("doc_id").cast("string"), 256), 800, 100, 1000)
     digest = F.when(F.col("doc_id") % 41 == 0, H.sha(F.concat("text", F.lit("!")))).otherwise(H.sha(F.col("text")))
-    rows = table(spark, sf_dir, "documents").select("doc_id", "text", digest.alias("digest"), own.alias("split")).withColumn("said_split", F.when(F.col("doc_id") % 37 == 0, "other").otherwise(F.col("split")))
+    rows = documents(spark, sf_dir).select("doc_id", "text", digest.alias("digest"), own.alias("split")).withColumn("said_split", F.when(F.col("doc_id") % 37 == 0, "other").otherwise(F.col("split")))
     return validate.records(rows, 200, 40)
 
 
@@ -222,7 +223,7 @@ def tokenizer_roundtrip(spark, sf_dir):
     def same(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: bytes(list((t or "").encode("utf-8"))).decode("utf-8") == (t or ""))
 
-    return table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").cast("long").alias("n_ids"), same("text").alias("same"))
+    return documents(spark, sf_dir).select("doc_id", F.octet_length("text").cast("long").alias("n_ids"), same("text").alias("same"))
 
 
 FLAG_SHARES = tuple((f"src{k}", "0.0500" if k not in (3, 7) else "0.0519" if k == 3 else "0.0481") for k in range(20))
@@ -238,7 +239,7 @@ DISTINCT_GOOD = DISTINCT_RECORDS.replace("FROM documents", f"FROM {GOOD_SQL}")
     FROM (SELECT r.*, quota, coalesce(sum(text_bytes) OVER (PARTITION BY r.source ORDER BY selection_key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM ({DISTINCT_GOOD}) r JOIN ({quota_sql(FLAG_TARGET, FLAG_SQL)}) q ON r.source = q.source) GROUP BY source, quota""")
 def assemble_corpus(spark, sf_dir):
     """Clean, filter, deduplicate, give sources quotas of bytes, select by stable keys, and sum up by source."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", T.clean_text(F.col("text")).alias("text"))
+    docs = documents(spark, sf_dir).select("doc_id", "source", T.once(T.clean_text(F.col("text"))).alias("text"))
     good = docs.where(filters.quality_rejection(F.col("text"), STREAM).isNull())
     records = select.distinct_records(select.corpus_records(good, SEED))
     shares = spark.createDataFrame(list(FLAG_SHARES), "source string, target_share string").withColumn("target_share", F.col("target_share").cast("decimal(10,4)"))
@@ -259,7 +260,7 @@ def assemble_corpus(spark, sf_dir):
     FROM (SELECT *, {S.by_bucket("fp", 800, 100, 1000)} AS split FROM f) GROUP BY split""")
 def pipeline_flagship(spark, sf_dir):
     """Clean, filter, fingerprint, keep the first of each fingerprint, split, and sum up by split."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", T.clean_text(F.col("text")).alias("t"))
+    docs = documents(spark, sf_dir).select("doc_id", T.once(T.clean_text(F.col("text"))).alias("t"))
     good = docs.where(filters.quality_rejection(F.col("t"), STREAM).isNull())
     slim = good.select("doc_id", H.fingerprint(F.col("t")).alias("fp"), T.chars(F.col("t")).alias("chars"), T.word_count(F.lower("t")).alias("words"), T.approx_tokens(F.col("t")).alias("tokens"))
     first = slim.groupBy("fp").agg(F.min(F.struct("doc_id", "chars", "words", "tokens")).alias("d")).select("fp", "d.*")

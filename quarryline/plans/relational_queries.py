@@ -11,7 +11,7 @@ from quarryline.operators import filters, profile, select
 from quarryline.operators.prefix import by_digest, by_number, running_sum
 from quarryline.plans import sql as S
 from quarryline.plans.registry import query
-from quarryline.sources.tables import table
+from quarryline.sources.tables import documents, table
 
 PILOT = filters.PilotRules()
 STREAM = filters.StreamRules()
@@ -28,7 +28,7 @@ def _marks(docs):
 
 
 def _known(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     history = _marks(docs.where("doc_id % 10 = 0")).where("mark like 'sha256:%'").select("mark").union(_marks(docs.where("doc_id % 17 = 0")).where("mark like 'id:%'").select("mark"))
     new = docs.where("doc_id % 10 <> 0")
     return new, _marks(new).join(history, "mark", "left_semi").select("doc_id").distinct()
@@ -51,7 +51,7 @@ def known_overlap(spark, sf_dir):
     FROM (SELECT doc_id, sha256(text) AS digest, {S.by_bucket("sha256(CAST(doc_id AS VARCHAR))", 800, 100, 1000)} AS split FROM documents) GROUP BY digest HAVING count(*) > 1""")
 def split_overlap(spark, sf_dir):
     split = H.split_by_bucket(F.sha2(F.col("doc_id").cast("string"), 256), 800, 100, 1000)
-    rows = table(spark, sf_dir, "documents").select("doc_id", H.sha(F.col("text")).alias("digest"), split.alias("split"))
+    rows = documents(spark, sf_dir).select("doc_id", H.sha(F.col("text")).alias("digest"), split.alias("split"))
     return rows.groupBy("digest").agg(F.count("*").alias("copies"), F.count_distinct("split").alias("splits"), F.min("doc_id").alias("first_doc")).where("copies > 1")
 
 
@@ -76,7 +76,7 @@ def outer_compare(spark, sf_dir):
     SELECT domain, round(c / greatest(b, 1) - c / greatest(a, 1), 9) AS characters_per_token_delta, b - a AS tokens_delta FROM m""")
 def metric_delta(spark, sf_dir):
     """Metrics of two ways to cut words, by language, and their differences; domains must be the same."""
-    docs = table(spark, sf_dir, "documents").select(F.coalesce("lang", F.lit("")).alias("domain"), T.chars(F.col("text")).alias("c"), F.size(T.words(F.col("text"))).alias("a"), F.size(T.spaced_words(F.col("text"))).alias("b"))
+    docs = documents(spark, sf_dir).select(F.coalesce("lang", F.lit("")).alias("domain"), T.chars(F.col("text")).alias("c"), F.size(T.words(F.col("text"))).alias("a"), F.size(T.spaced_words(F.col("text"))).alias("b"))
     sums = docs.groupBy("domain").agg(*[F.sum(c).alias(c) for c in "cab"])
     sides = [sums.select("domain", F.col(n).alias(f"tokens_{n}"), (F.col("c") / F.greatest(F.col(n), F.lit(1))).alias(f"rate_{n}")) for n in "ab"]
     return profile.deltas(sides[0], sides[1], "domain", {"characters_per_token_delta": ("rate_a", "rate_b"), "tokens_delta": ("tokens_a", "tokens_b")}).select("domain", F.round("characters_per_token_delta", 9).alias("characters_per_token_delta"), "tokens_delta")
@@ -121,7 +121,7 @@ def _shares(spark):
     SELECT coalesce(a.source, b.source) AS source, CASE WHEN a.source IS NULL THEN 'extra' ELSE 'missing' END AS problem
     FROM (SELECT source FROM {SHARES_SQL}) a FULL JOIN (SELECT DISTINCT source FROM documents) b ON a.source = b.source WHERE a.source IS NULL OR b.source IS NULL""")
 def registry_mismatch(spark, sf_dir):
-    given = table(spark, sf_dir, "documents").select("source").distinct()
+    given = documents(spark, sf_dir).select("source").distinct()
     return profile.mismatch(_shares(spark).select("source"), given, "source").select("source", "problem")
 
 
@@ -129,7 +129,7 @@ CLEANED = f"(SELECT doc_id, {S.normal('text')} AS t FROM documents)"
 
 
 def _cleaned(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", T.normalize_text(F.col("text")).alias("t"))
+    docs = documents(spark, sf_dir).select("doc_id", T.once(T.normalize_text(F.col("text"))).alias("t"))
     reasons = filters.rejection_reasons(F.col("t"), PILOT)
     marked = docs.select("doc_id", H.sha(F.col("t")).alias("digest"), T.chars(F.col("t")).alias("chars"), T.word_count(F.col("t")).alias("words"), T.approx_tokens(F.col("t")).alias("tokens"), (F.length("t") > PILOT.max_chars).alias("cut"), reasons.alias("found"))
     # only hashes and counts are shuffled; a copy is a duplicate whether or not the first one passed
@@ -160,7 +160,7 @@ def rejection_histogram(spark, sf_dir):
     SELECT split, CAST(count(*) AS BIGINT) AS documents, CAST(sum(coalesce(n_chars, length(text))) AS BIGINT) AS chars, CAST(sum(len({S.words('text')})) AS BIGINT) AS words, CAST(sum({S.tokens('text')}) AS BIGINT) AS approx_tokens
     FROM (SELECT *, {S.by_ratio("sha256(text)", 7, 0.8, 0.1)} AS split FROM documents) GROUP BY split""")
 def split_stats(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").withColumn("split", H.split_by_ratio(H.sha(F.col("text")), 7, 0.8, 0.1))
+    docs = documents(spark, sf_dir).withColumn("split", H.split_by_ratio(H.sha(F.col("text")), 7, 0.8, 0.1))
     return docs.groupBy("split").agg(F.count("*").alias("documents"), F.sum(F.coalesce("n_chars", F.length("text"))).alias("chars"), F.sum(T.word_count(F.lower("text"))).alias("words"), F.sum(T.approx_tokens(F.col("text"))).alias("approx_tokens"))
 
 
@@ -170,7 +170,7 @@ def split_stats(spark, sf_dir):
         array_to_string(list_slice(list_sort(list(doc_id)), 1, 5), ',') AS sample_ids FROM documents GROUP BY source""")
 def corpus_summary(spark, sf_dir):
     """By source; the upper median and first ids come from ranks, so no group is gathered."""
-    docs = table(spark, sf_dir, "documents").select("source", "doc_id", T.chars(F.col("text")).alias("chars"), T.approx_tokens(F.col("text")).alias("tokens"))
+    docs = documents(spark, sf_dir).select("source", "doc_id", T.chars(F.col("text")).alias("chars"), T.approx_tokens(F.col("text")).alias("tokens"))
     return profile.summary(docs, "source", "chars", "doc_id", {"chars": F.sum("chars"), "min_chars": F.min("chars"), "max_chars": F.max("chars"), "approx_tokens": F.sum("tokens")})
 
 
@@ -181,7 +181,7 @@ def corpus_summary(spark, sf_dir):
     FROM stages GROUP BY ROLLUP (stage)""")
 def stage_manifest(spark, sf_dir):
     """Totals of each stage in one pass: a document counts in the stages that it reaches."""
-    docs = table(spark, sf_dir, "documents").select("text", T.clean_text(F.col("text")).alias("c"), H.split_by_bucket(H.fingerprint(F.col("text")), 800, 100, 1000).alias("split"))
+    docs = documents(spark, sf_dir).select("text", T.once(T.clean_text(F.col("text"))).alias("c"), H.split_by_bucket(H.fingerprint(F.col("text")), 800, 100, 1000).alias("split"))
     measured = lambda t: F.struct(T.chars(t).alias("chars"), F.size(T.spaced_words(t)).alias("words"), T.approx_tokens(t).alias("tokens"))
     rows = docs.select("split", (F.length("c") >= 200).alias("long"), measured(F.col("text")).alias("raw"), measured(F.col("c")).alias("cleaned"))
     stages = F.array(F.struct(F.lit("raw").alias("stage"), F.col("raw").alias("m")), F.when(F.col("long"), F.struct(F.lit("cleaned").alias("stage"), F.col("cleaned").alias("m"))), F.when(F.col("long"), F.struct(F.col("split").alias("stage"), F.col("cleaned").alias("m"))))
@@ -194,7 +194,7 @@ def stage_manifest(spark, sf_dir):
     UNION ALL SELECT 'quality', coalesce(CAST(quality AS VARCHAR), '(missing)'), CAST(count(*) AS BIGINT) FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 2
     UNION ALL SELECT 'event_type', coalesce(event_type, '(missing)'), CAST(count(*) AS BIGINT) FROM events GROUP BY 2""")
 def metadata_profile(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    docs = documents(spark, sf_dir).select("doc_id", "lang")
     quality = docs.select("doc_id").join(table(spark, sf_dir, "labels"), "doc_id", "left").select(F.col("quality").cast("string").alias("quality"))
     fields = (("lang", docs.select("lang")), ("quality", quality), ("event_type", table(spark, sf_dir, "events").select("event_type")))
     parts = [d.groupBy(F.coalesce(c, F.lit("(missing)")).alias("value")).agg(F.count("*").alias("n")).select(F.lit(c).alias("field"), "value", "n") for c, d in fields]
@@ -222,7 +222,7 @@ def profile_quantiles(spark, sf_dir):
     FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source""")
 def tokenizer_summary(spark, sf_dir):
     """Metrics of words as pieces, by source and overall; quantiles come from the counts of lengths."""
-    docs = table(spark, sf_dir, "documents").select(F.coalesce("source", F.lit("")).alias("source"), "text")
+    docs = documents(spark, sf_dir).select(F.coalesce("source", F.lit("")).alias("source"), "text")
     return profile.piece_summary(docs, "source", T.spaced_words(F.col("text")))
 
 
@@ -231,7 +231,7 @@ def tokenizer_summary(spark, sf_dir):
         SELECT doc_id, sha256({S.canonical("t")}) AS fp, {S.rejection(STREAM)} AS rejection FROM ({S.metric_rows("documents", S.clean("text"))})))
     SELECT coalesce(split, '(all)') AS split, coalesce(reason, '(all)') AS reason, CAST(count(*) AS BIGINT) AS n FROM (SELECT split, coalesce(rejection, 'accepted') AS reason FROM c) GROUP BY CUBE (split, reason)""")
 def pipeline_counters(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(T.clean_text(F.col("text")).alias("t"))
+    docs = documents(spark, sf_dir).select(T.once(T.clean_text(F.col("text"))).alias("t"))
     judged = docs.select(H.split_by_bucket(H.fingerprint(F.col("t")), 800, 100, 1000).alias("split"), F.coalesce(filters.quality_rejection(F.col("t"), STREAM), F.lit("accepted")).alias("reason"))
     counts = judged.groupBy("split", "reason").agg(F.count("*").alias("n"))  # the cube then spreads counts, not documents
     return counts.cube("split", "reason").agg(F.sum("n").alias("n")).select(F.coalesce("split", F.lit("(all)")).alias("split"), F.coalesce("reason", F.lit("(all)")).alias("reason"), "n")
@@ -249,14 +249,14 @@ def weighted_mean_exp(spark, sf_dir):
 
 @query("SELECT source, CAST(count(*) AS BIGINT) AS n, sha256(string_agg(h || chr(10), '' ORDER BY h)) AS digest FROM (SELECT source, sha256(text) AS h FROM documents) GROUP BY source")
 def hash_set_digest(spark, sf_dir):
-    return select.digest_of(table(spark, sf_dir, "documents").select("source", H.sha(F.col("text")).alias("h")), F.col("h"), ["source"], "digest")
+    return select.digest_of(documents(spark, sf_dir).select("source", H.sha(F.col("text")).alias("h")), F.col("h"), ["source"], "digest")
 
 
 @query("SELECT source, CAST(count(*) AS BIGINT) AS n, sha256(string_agg(k || chr(10), '' ORDER BY k)) AS digest FROM (SELECT source, source || chr(0) || doc_id || chr(0) || sha256(text) AS k FROM documents) GROUP BY source")
 def selection_digest(spark, sf_dir):
     nul = F.char(F.lit(0))
     key = F.concat("source", nul, F.col("doc_id").cast("string"), nul, H.sha(F.col("text")))
-    return select.digest_of(table(spark, sf_dir, "documents").select("source", key.alias("k")), F.col("k"), ["source"], "digest")
+    return select.digest_of(documents(spark, sf_dir).select("source", key.alias("k")), F.col("k"), ["source"], "digest")
 
 
 ALLOWED = ".,;:!?-()\"'"
@@ -265,7 +265,7 @@ UNUSUAL = rf"[^\p{{L}}\p{{N}}{T.SPACES}" + "".join("\\" + c if c in "-()" else c
 
 @query(f"SELECT c AS character, 'U+' || upper(lpad(to_hex(unicode(c)), 4, '0')) AS codepoint, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest(regexp_extract_all(text, {S.quoted(UNUSUAL)})) AS c FROM documents) GROUP BY c")
 def unusual_chars(spark, sf_dir):
-    found = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(UNUSUAL), F.lit(0))).alias("character"))
+    found = documents(spark, sf_dir).select(F.explode(F.regexp_extract_all("text", F.lit(UNUSUAL), F.lit(0))).alias("character"))
     code = F.conv(F.hex(F.encode("character", "UTF-32")), 16, 10).cast("long")
     return found.groupBy("character").agg(F.count("*").alias("n")).select("character", F.concat(F.lit("U+"), F.lpad(F.hex(code), 4, "0")).alias("codepoint"), "n")
 
@@ -276,7 +276,7 @@ DISTINCT_RECORDS = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY te
 
 @query(f"SELECT source, doc_id, text_sha256, selection_key FROM ({DISTINCT_RECORDS})")
 def dedup_min_key(spark, sf_dir):
-    records = select.corpus_records(table(spark, sf_dir, "documents"), SEED)
+    records = select.corpus_records(documents(spark, sf_dir), SEED)
     return select.distinct_records(records).select("source", "doc_id", "text_sha256", "selection_key")
 
 
@@ -296,7 +296,7 @@ def largest_remainder_quota(spark, sf_dir):
 @query(f"""SELECT r.source, doc_id, text_bytes, CAST(before AS BIGINT) AS before FROM (SELECT *, coalesce(sum(text_bytes) OVER (PARTITION BY source ORDER BY selection_key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM ({DISTINCT_RECORDS})) r
     JOIN ({quota_sql(TARGET)}) q ON r.source = q.source WHERE before < quota""")
 def quota_prefix_select(spark, sf_dir):
-    records = select.distinct_records(select.corpus_records(table(spark, sf_dir, "documents"), SEED))
+    records = select.distinct_records(select.corpus_records(documents(spark, sf_dir), SEED))
     return select.quota_prefix(records, select.quotas(_shares(spark), TARGET)).select("source", "doc_id", "text_bytes", "before")
 
 
@@ -304,7 +304,7 @@ SIZED = "(SELECT doc_id, strlen(text) AS n FROM documents)"
 
 
 def _sized(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").cast("long").alias("n"))
+    return documents(spark, sf_dir).select("doc_id", F.octet_length("text").cast("long").alias("n"))
 
 
 @query(f"SELECT doc_id, CAST(n AS BIGINT) AS n, CAST(before AS BIGINT) AS before FROM (SELECT *, coalesce(sum(n) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, row_number() OVER (ORDER BY doc_id) AS r FROM {SIZED}) WHERE (r = 1 OR (before + n <= 500000 AND before < 500000)) AND r <= 300")
@@ -320,14 +320,14 @@ def corpus_cap(spark, sf_dir):
 
 @query(f"SELECT doc_id, CAST(len({S.words('text')}) + 1 AS BIGINT) AS n, CAST(coalesce(sum(len({S.words('text')}) + 1) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM documents")
 def token_offsets(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", (F.size(T.words(F.col("text"))) + 1).cast("long").alias("n"))
+    rows = documents(spark, sf_dir).select("doc_id", (F.size(T.words(F.col("text"))) + 1).cast("long").alias("n"))
     return running_sum(rows, by_number(rows, "doc_id"), ["doc_id"], F.col("n"), "start").select("doc_id", "n", "start")
 
 
 @query(f"SELECT doc_id, output_key, CAST(row_number() OVER (ORDER BY output_key) - 1 AS BIGINT) AS place FROM ({RECORDS})")
 def stable_shuffle(spark, sf_dir):
     """Places in the order of a seeded hash, without sorting all rows in one task."""
-    rows = select.corpus_records(table(spark, sf_dir, "documents"), SEED).select("doc_id", "output_key")
+    rows = select.corpus_records(documents(spark, sf_dir), SEED).select("doc_id", "output_key")
     return running_sum(rows, by_digest("output_key"), ["output_key"], F.lit(1), "place")
 
 

@@ -11,7 +11,7 @@ from quarryline.operators import filters
 from quarryline.operators.dedup import keep_first
 from quarryline.plans import sql as S
 from quarryline.plans.registry import query
-from quarryline.sources.tables import table
+from quarryline.sources.tables import documents, table
 
 DATASET, SUBSET = "fixtures", "documents"
 PILOT = filters.PilotRules()
@@ -26,7 +26,7 @@ METADATA = filters.MetadataRules(language="en", script="Latn", min_language_scor
         FROM (SELECT doc_id, replace(text, '.' || chr(10), '.' || chr(10) || chr(10)) AS t FROM documents)))
     WHERE u <> ''""")
 def paragraph_units(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.replace(F.col("text"), F.lit(".\n"), F.lit(".\n\n")).alias("t"))
+    docs = documents(spark, sf_dir).select("doc_id", F.replace(F.col("text"), F.lit(".\n"), F.lit(".\n\n")).alias("t"))
     units = F.filter(F.transform(F.split("t", "\n\n"), T.strip), lambda u: u != "")
     return docs.select("doc_id", F.posexplode(units).alias("unit", "u")).select("doc_id", F.col("unit").cast("long").alias("unit"), H.sha(F.col("u")).alias("unit_sha256"), T.chars(F.col("u")).alias("n_chars"))
 
@@ -84,17 +84,17 @@ def truncate_metadata(spark, sf_dir):
     FROM documents""")
 def raw_record(spark, sf_dir):
     url = F.lit(None).cast("string")
-    return table(spark, sf_dir, "documents").select(H.stable_doc_id(DATASET, SUBSET, url, F.col("text")).alias("id"), F.lit(DATASET).alias("source_dataset"), F.lit(SUBSET).alias("source_subset"), F.col("source").alias("source_split"), F.col("doc_id").alias("source_index"), url.alias("source_url"), F.lit("text").alias("text_field"), H.sha(F.col("text")).alias("raw_text_sha256"), F.octet_length("text").cast("long").alias("raw_text_bytes"))
+    return documents(spark, sf_dir).select(H.stable_doc_id(DATASET, SUBSET, url, F.col("text")).alias("id"), F.lit(DATASET).alias("source_dataset"), F.lit(SUBSET).alias("source_subset"), F.col("source").alias("source_split"), F.col("doc_id").alias("source_index"), url.alias("source_url"), F.lit("text").alias("text_field"), H.sha(F.col("text")).alias("raw_text_sha256"), F.octet_length("text").cast("long").alias("raw_text_bytes"))
 
 
 @query(f"SELECT doc_id, substr({S.collapse('text')}, 1, 300) AS preview FROM documents")
 def preview(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.preview(F.col("text"), 300).alias("preview"))
+    return documents(spark, sf_dir).select("doc_id", T.preview(F.col("text"), 300).alias("preview"))
 
 
 @query(f"SELECT doc_id, array_to_string({S.pilot_reasons('t', PILOT)}, ',') AS reasons FROM (SELECT doc_id, {S.normal('text')} AS t FROM documents)")
 def pilot_rejection_reasons(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.normalize_text(F.col("text")).alias("t")).select("doc_id", F.array_join(filters.rejection_reasons(F.col("t"), PILOT), ",").alias("reasons"))
+    return documents(spark, sf_dir).select("doc_id", T.once(T.normalize_text(F.col("text"))).alias("t")).select("doc_id", F.array_join(filters.rejection_reasons(F.col("t"), PILOT), ",").alias("reasons"))
 
 
 @query(f"""
@@ -104,7 +104,7 @@ def pilot_rejection_reasons(spark, sf_dir):
         WHEN quality IS NULL OR quality < {METADATA.min_quality_score} THEN 'metadata_quality_score'
         WHEN cluster > {METADATA.max_cluster} THEN 'metadata_cluster_size' END AS rejection FROM d""")
 def metadata_rejection(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars", H.fingerprint(F.col("text")).alias("fp"))
+    docs = documents(spark, sf_dir).select("doc_id", "lang", "n_chars", H.fingerprint(F.col("text")).alias("fp"))
     sizes = docs.groupBy("fp").agg(F.count("*").alias("cluster"))
     rows = docs.join(sizes, "fp").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
     script = F.when(F.col("n_chars") % 50 == 0, F.lit("Cyrl")).otherwise(F.lit("Latn"))
@@ -113,7 +113,7 @@ def metadata_rejection(spark, sf_dir):
 
 @query(f"SELECT doc_id, {S.rejection(STREAM)} AS rejection FROM ({S.metric_rows('documents', S.clean('text'))})")
 def quality_rejection(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.clean_text(F.col("text")).alias("t")).select("doc_id", filters.quality_rejection(F.col("t"), STREAM).alias("rejection"))
+    return documents(spark, sf_dir).select("doc_id", T.once(T.clean_text(F.col("text"))).alias("t")).select("doc_id", filters.quality_rejection(F.col("t"), STREAM).alias("rejection"))
 
 
 @query(f"""SELECT doc_id, CAST(n_chars AS BIGINT) AS n_chars, CAST(n_words AS BIGINT) AS n_words, CAST(boilerplate AS BIGINT) AS boilerplate,
@@ -121,7 +121,7 @@ def quality_rejection(spark, sf_dir):
 def quality_metrics(spark, sf_dir):
     made = filters.metrics(F.col("t"))
     cols = [(c if n in ("n_chars", "n_words", "boilerplate") else F.round(c.cast("double"), 9)).alias(n) for n, c in made.items()]
-    return table(spark, sf_dir, "documents").select("doc_id", T.clean_text(F.col("text")).alias("t")).select("doc_id", *cols)
+    return documents(spark, sf_dir).select("doc_id", T.once(T.clean_text(F.col("text"))).alias("t")).select("doc_id", *cols)
 
 
 EDGES_SPARK = "CASE WHEN doc_id % 7 = 0 THEN concat(text, char(7)) WHEN doc_id % 11 = 0 THEN concat(char(0), text) WHEN doc_id % 13 = 0 THEN concat(text, char(13), char(10), char(9)) ELSE text END"
@@ -130,7 +130,7 @@ EDGES_SQL = "CASE WHEN doc_id % 7 = 0 THEN text || chr(7) WHEN doc_id % 11 = 0 T
 
 @query(f"SELECT doc_id, regexp_matches({EDGES_SQL}, {S.quoted(T.BROKEN)}) AS broken FROM documents")
 def broken_text(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.expr(EDGES_SPARK).rlike(T.BROKEN).alias("broken"))
+    return documents(spark, sf_dir).select("doc_id", F.expr(EDGES_SPARK).rlike(T.BROKEN).alias("broken"))
 
 
 #: Own choice: what is masked, in this order.
@@ -150,36 +150,36 @@ def pii_mask(spark, sf_dir):
     masked = F.col("text")
     for pattern, to in MASKS:
         masked = F.regexp_replace(masked, pattern, to)
-    rows = table(spark, sf_dir, "documents").select("doc_id", masked.alias("m"))
+    rows = documents(spark, sf_dir).select("doc_id", masked.alias("m"))
     return rows.select("doc_id", *[F.regexp_count("m", F.lit(to)).cast("long").alias(n) for n, to in (("emails", "<EMAIL>"), ("ips", "<IP>"), ("phones", "<PHONE>"))], H.sha(F.col("m")).alias("masked_sha256"))
 
 
 @query(f"SELECT doc_id, sha256({S.normal(EDGES_SQL)}) AS normalized_sha256, CAST(length({S.normal(EDGES_SQL)}) AS BIGINT) AS n_chars FROM documents")
 def normalize_text(spark, sf_dir):
     t = T.normalize_text(F.expr(EDGES_SPARK))
-    return table(spark, sf_dir, "documents").select("doc_id", t.alias("t")).select("doc_id", H.sha(F.col("t")).alias("normalized_sha256"), T.chars(F.col("t")).alias("n_chars"))
+    return documents(spark, sf_dir).select("doc_id", t.alias("t")).select("doc_id", H.sha(F.col("t")).alias("normalized_sha256"), T.chars(F.col("t")).alias("n_chars"))
 
 
 @query(f"SELECT doc_id, sha256({S.clean(EDGES_SQL)}) AS cleaned_sha256, CAST(length({S.clean(EDGES_SQL)}) AS BIGINT) AS n_chars FROM documents")
 def clean_text(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.clean_text(F.expr(EDGES_SPARK)).alias("t")).select("doc_id", H.sha(F.col("t")).alias("cleaned_sha256"), T.chars(F.col("t")).alias("n_chars"))
+    return documents(spark, sf_dir).select("doc_id", T.clean_text(F.expr(EDGES_SPARK)).alias("t")).select("doc_id", H.sha(F.col("t")).alias("cleaned_sha256"), T.chars(F.col("t")).alias("n_chars"))
 
 
 @query(f"""SELECT doc_id, CAST(len({S.words('text')}) AS BIGINT) AS n_words, CAST(len(list_distinct({S.words('text')})) AS BIGINT) AS n_distinct,
     CAST(len({S.spaced('text')}) AS BIGINT) AS n_spaced, array_to_string(list_slice({S.words('text')}, 1, 5), ' ') AS first_words FROM documents""")
 def word_stats(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", T.words(F.col("text")).alias("w"), F.size(T.spaced_words(F.col("text"))).cast("long").alias("n_spaced"))
+    rows = documents(spark, sf_dir).select("doc_id", T.words(F.col("text")).alias("w"), F.size(T.spaced_words(F.col("text"))).cast("long").alias("n_spaced"))
     return rows.select("doc_id", F.size("w").cast("long").alias("n_words"), F.size(F.array_distinct("w")).cast("long").alias("n_distinct"), "n_spaced", F.array_join(F.slice("w", 1, 5), " ").alias("first_words"))
 
 
 @query(f"SELECT doc_id, {S.tokens('text')} AS approx_tokens FROM documents")
 def approx_tokens(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.approx_tokens(F.col("text")).alias("approx_tokens"))
+    return documents(spark, sf_dir).select("doc_id", T.approx_tokens(F.col("text")).alias("approx_tokens"))
 
 
 @query(f"SELECT doc_id, {S.truncated('text', 800)} AS truncated, length(text) > 800 AS was_truncated FROM documents")
 def truncate_at_sentence(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.truncated(F.col("text"), 800).alias("truncated"), (F.length("text") > 800).alias("was_truncated"))
+    return documents(spark, sf_dir).select("doc_id", T.truncated(F.col("text"), 800).alias("truncated"), (F.length("text") > 800).alias("was_truncated"))
 
 
 PIECES = ("▁", "▁Straße", "<0xC3>", "<0x0a>", "<0xZZ>", "ing", "▁▁", "日本", "")
@@ -198,7 +198,7 @@ LINES = r"(?i)licensed under the ([A-Za-z]+) license"
     FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)
     WHERE regexp_matches(l, '{LINES}') OR contains(l, 'copyright')""")
 def line_pattern_scan(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").where(F.col("text").rlike(LINES) | F.col("text").contains("copyright")).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "l"))
+    rows = documents(spark, sf_dir).where(F.col("text").rlike(LINES) | F.col("text").contains("copyright")).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "l"))
     return rows.where(F.col("l").rlike(LINES) | F.col("l").contains("copyright")).select("doc_id", F.col("line").cast("long").alias("line"), F.regexp_extract("l", LINES, 1).alias("license"), F.col("l").contains("copyright").alias("says_copyright"))
 
 
@@ -210,12 +210,12 @@ def stable_doc_id(spark, sf_dir):
 
 @query(f"SELECT doc_id, sha256({S.canonical('text')}) AS fingerprint FROM documents")
 def fingerprint(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", H.fingerprint(F.col("text")).alias("fingerprint"))
+    return documents(spark, sf_dir).select("doc_id", H.fingerprint(F.col("text")).alias("fingerprint"))
 
 
 @query()
 def simhash_blake(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", H.simhash_blake(F.col("text")).alias("simhash"))
+    return documents(spark, sf_dir).select("doc_id", H.simhash_blake(F.col("text")).alias("simhash"))
 
 
 SIMHASH_SQL = f"""
@@ -228,7 +228,7 @@ SIMHASH_SQL = f"""
 
 @query(f"WITH {SIMHASH_SQL} SELECT doc_id, lpad(lower(to_hex(h)), 16, '0') AS simhash FROM marks")
 def simhash_sha(spark, sf_dir):
-    return H.simhash_sha(table(spark, sf_dir, "documents")).select("doc_id", H.as_hex(F.col("simhash")).alias("simhash"))
+    return H.simhash_sha(documents(spark, sf_dir)).select("doc_id", H.as_hex(F.col("simhash")).alias("simhash"))
 
 
 @query()
@@ -289,4 +289,4 @@ def eos_behavior(spark, sf_dir):
 @query("SELECT doc_id, sha256 AS text_sha256 FROM (SELECT doc_id, sha256(text) AS sha256, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) AS r FROM documents) WHERE r = 1")
 def exact_dedup_first(spark, sf_dir):
     """The first document with each text; only ids and hashes are shuffled."""
-    return keep_first(table(spark, sf_dir, "documents").select("doc_id", H.sha(F.col("text")).alias("text_sha256")), ["text_sha256"], ["doc_id"])
+    return keep_first(documents(spark, sf_dir).select("doc_id", H.sha(F.col("text")).alias("text_sha256")), ["text_sha256"], ["doc_id"])

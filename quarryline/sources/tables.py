@@ -8,3 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of the input folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """rows dealt over all cores if their files give fewer partitions than that, as one small file does.
+
+    Larger inputs have partitions enough and are left as they are.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores, key)
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, over all cores even if they lie in one small file."""
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
