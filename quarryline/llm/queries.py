@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarryline.sources.tables import table
+from quarryline.sources.tables import documents, table
 
 
 def tokenizer_path(name: str) -> str:
@@ -26,7 +26,7 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarryline.llm.packing import pack_documents
 
-    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+    return pack_documents(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
 
 
 def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,13 +38,13 @@ def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarryline.llm.langid import identify
 
-    return identify(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+    return identify(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarryline.llm.pieces import encode_texts
 
-    return encode_texts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+    return encode_texts(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,19 +62,19 @@ def op7_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarryline.llm.wordpiece import count_tokens
 
-    return count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+    return count_tokens(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
 
 
 def op9_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarryline.llm.neardup import near_duplicates
 
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(documents(spark, sf_dir))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarryline.llm.toxicity import grade
 
-    return grade(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return grade(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
