@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import functions as F
 
 from quarryline.functions import hashing as H
 from quarryline.functions import text as T
-from quarryline.operators import decontaminate, dedup, filters, packing, select, split, validate
+from quarryline.operators import decontaminate, dedup, filters, packing, select, split, tokenize, validate
 from quarryline.operators.prefix import by_number, running_sum
 from quarryline.plans import sql as S
 from quarryline.plans.registry import query
@@ -218,12 +217,10 @@ def registry_rules(spark, sf_dir):
 
 @query()
 def tokenizer_roundtrip(spark, sf_dir):
-    """Documents whose bytes a byte-level vocabulary gives back; ids of bytes stand in where no model is given."""
-    @F.pandas_udf("boolean")
-    def same(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: bytes(list((t or "").encode("utf-8"))).decode("utf-8") == (t or ""))
+    """Documents through a public sentencepiece model and back, with token counts."""
+    import public_tokenizers
 
-    return documents(spark, sf_dir).select("doc_id", F.octet_length("text").cast("long").alias("n_ids"), same("text").alias("same"))
+    return tokenize.metrics(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 FLAG_SHARES = tuple((f"src{k}", "0.0500" if k not in (3, 7) else "0.0519" if k == 3 else "0.0481") for k in range(20))

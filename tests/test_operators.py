@@ -164,3 +164,26 @@ def test_stream_targets(spark, sf_dir, tmp_path):
     incremental.run_to_targets(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/check", {"train": 3000, "validation": 100, "test": 10**9}, files_per_batch=1)
     got = {r.split: r.n for r in spark.read.parquet(f"{tmp_path}/out").groupBy("split").agg(F.sum("taken").alias("n")).collect()}
     assert got["train"] == 3000 and got["validation"] == 100 and got["test"] > 100
+
+
+def test_tokenizer_round_trip(spark):
+    model = pytest.importorskip("public_tokenizers").path("piece_bpe_32k.model")
+    from quarryline.operators import tokenize
+
+    texts = ["", "plain words", "Ünï 🦥", "tabs\tand\nlines", "  two  spaces ", None]
+    got = {r.doc_id: r for r in tokenize.metrics(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    assert all(got[k].same and got[k].stable for k in range(len(texts)))
+    assert got[2].byte_tokens > 0 and got[0].tokens == got[5].tokens == 0 and got[1].words == 2
+
+
+def test_text_similarity_labels(spark, tmp_path):
+    from difflib import SequenceMatcher
+
+    from quarryline.plans.catalog import QUERIES
+
+    pairs = [("same text", "same  text"), ("a quick brown fox", "a quick brown dog"), ("abc", "xyz")]
+    rows = [(k, t, "user", p[t]) for k, p in enumerate(pairs) for t in (0, 1)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.conv_id: (r.similarity, r.label) for r in QUERIES["text_similarity"](spark, str(tmp_path)).collect()}
+    ratio = SequenceMatcher(a=pairs[1][0], b=pairs[1][1]).ratio()
+    assert got == {0: (1.0, "identical"), 1: (ratio, "similar"), 2: (0.0, "different")}
