@@ -1,12 +1,12 @@
 """Toxicity grades of texts by cumulative-link ordinal regression on sparse text features.
 
 Features are words (runs of letters, lower-cased) and beginnings of words; a feature's value is its
-number of uses over the square root of the text's number of words. One weight vector serves all
+number of uses over the square root of the text's number of words and SMOOTH more. One weight vector serves all
 ordered thresholds: P(grade > k) = logistic(weights . x - threshold k). The expected severity is the
 sum of these chances over k; a text is toxic if P(grade > 0) is at least one half.
 
-Grades: labels say toxic or not. Labelled toxic texts are graded 1 to TOP by the share of their words
-that strongly mark toxic texts, in equal parts; texts labelled not toxic have grade 0.
+Grades: labels say toxic or not. Labelled toxic texts are graded 1 to TOP by how many of their words
+strongly mark toxic texts, over the same root, in equal parts; texts labelled not toxic have grade 0.
 
 The model is fitted on a bounded sample of labelled rows (at most about SAMPLE for each label, by a hash of
 doc_id, weighted back to the labels' shares), whole texts, and at most FEATURES features, so it has
@@ -33,13 +33,17 @@ from pyspark.sql.types import BooleanType, DoubleType, StructType
 SAMPLE = 12_000
 FEATURES = 6_000
 LEAST_DOCUMENTS = 4
+#: A feature counts if its shares in toxic and other texts differ by so many standard errors; others would be noise.
+LEAST_Z = 5.0
 TOP = 3
 BEGINNINGS = (5, 6, 7)
-PENALTY = 5e-5
+PENALTY = 1e-5
 STEPS = 250
 #: Values are this many times the uses over the root of the number of words, so that weights are of order 1.
 SCALE = 10.0
-WORDS_KEPT = 400_000
+#: Words added to a text's number, so that one word doesn't decide over a very short text.
+SMOOTH = 30
+WORDS_KEPT = 200_000
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -114,7 +118,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], np.ndar
     n1, n0 = (min(SAMPLE, sizes[k]) for k in (True, False))
     both = (F.col("toxic") + F.col("clean")) / float(n1 + n0)
     z = (F.col("toxic") / float(n1) - F.col("clean") / float(n0)) / F.sqrt(both * F.greatest(1 - both, F.lit(1e-3)) * (1 / n1 + 1 / n0))
-    top = feature_counts(chosen).where(F.col("toxic") + F.col("clean") >= LEAST_DOCUMENTS).withColumn("z", z).orderBy(F.desc(F.abs("z")), "feature").limit(FEATURES).collect()
+    top = feature_counts(chosen).where(F.col("toxic") + F.col("clean") >= LEAST_DOCUMENTS).withColumn("z", z).where(F.abs("z") >= LEAST_Z).orderBy(F.desc(F.abs("z")), "feature").limit(FEATURES).collect()
     number = {r["feature"]: k for k, r in enumerate(top)}
     strong = {r["feature"] for r in top if r["z"] > 4 and r["toxic"] * n0 > 5 * r["clean"] * n1}
 
@@ -132,11 +136,11 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], np.ndar
                         if (k := number.get(f)) is not None:
                             counts[k] = counts.get(k, 0) + 1
                 ids.append(list(counts))
-                vals.append([SCALE * c / len(words) ** 0.5 for c in counts.values()])
-                marks.append(marked / max(1, len(words)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(vals, pa.list_(pa.float64())), pa.array(marks, pa.float64())], ["toxic", "ids", "vals", "marked"])
+                vals.append([SCALE * c / (len(words) + SMOOTH) ** 0.5 for c in counts.values()])
+                marks.append(marked / (len(words) + SMOOTH) ** 0.5)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(vals, pa.list_(pa.float32())), pa.array(marks, pa.float64())], ["toxic", "ids", "vals", "marked"])
 
-    got = chosen.select("toxic", "text").mapInArrow(run, "toxic boolean, ids array<int>, vals array<double>, marked double").toPandas()  # bounded by SAMPLE and FEATURES
+    got = chosen.select("toxic", "text").mapInArrow(run, "toxic boolean, ids array<int>, vals array<float>, marked double").toPandas()  # bounded by SAMPLE and FEATURES
     toxic = got["toxic"].to_numpy(bool)
     marked = got["marked"].to_numpy(float)
     if not toxic.any() or toxic.all():
@@ -146,10 +150,12 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], np.ndar
     weights = np.where(toxic, sizes[True] / toxic.sum(), sizes[False] / (~toxic).sum())
     order = np.lexsort((marked, grades))  # rows come in any order; sums don't depend on it beyond rounding
     lengths = got["ids"].map(len).to_numpy()[order]
-    rows = np.repeat(np.arange(len(got)), lengths)
-    cols = np.concatenate([np.asarray(x, np.int64) for x in got["ids"].to_numpy()[order]] or [np.zeros(0, np.int64)])
+    rows = np.repeat(np.arange(len(got), dtype=np.int32), lengths)
+    cols = np.concatenate([np.asarray(x, np.int32) for x in got["ids"].to_numpy()[order]] or [np.zeros(0, np.int32)])
     values = np.concatenate([np.asarray(x, float) for x in got["vals"].to_numpy()[order]] or [np.zeros(0)])
-    w, bounds = fit_ordinal(rows, cols, values, grades[order], weights[order], len(number))
+    grades, weights = grades[order], weights[order]
+    del got
+    w, bounds = fit_ordinal(rows, cols, values, grades, weights, len(number))
     return {f: float(w[k]) for f, k in number.items()}, bounds
 
 
@@ -170,7 +176,7 @@ def score(docs: DataFrame, model: tuple[dict[str, float], np.ndarray], names: tu
                     known.clear()
                 for w in set(words).difference(known):
                     known[w] = sum(weights.get(f, 0.0) for f in features_of(w))
-                scores[k] = SCALE * sum(map(known.__getitem__, words)) / len(words) ** 0.5
+                scores[k] = SCALE * sum(map(known.__getitem__, words)) / (len(words) + SMOOTH) ** 0.5
             above = 1 / (1 + np.exp(-(scores[:, None] - bounds).clip(-500, 500)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(above[:, 0]), pa.array(above.sum(axis=1)), pa.array(above[:, 0] >= 0.5)], [*batch.schema.names, *names])
 
