@@ -22,3 +22,14 @@ def spread(rows: DataFrame, key: str) -> DataFrame:
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents, over all cores even if they lie in one small file."""
     return spread(table(spark, sf_dir, "documents"), "doc_id")
+
+
+def short_batches(rows: DataFrame, most: int = 2000) -> DataFrame:
+    """rows, whose texts go to Python workers in batches of at most so many rows from now on in this session.
+
+    Texts are long and of any length; smaller batches bound what a task holds on both sides.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(rows.sparkSession.conf.get(key)) > most:
+        rows.sparkSession.conf.set(key, str(most))
+    return rows
