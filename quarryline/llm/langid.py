@@ -28,12 +28,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarryline.sources.tables import short_batches
+
 SPACE = "▁"
 #: Labelled documents a language that the model is fitted on, about.
 SAMPLE = 4000
 #: Most distinct words a language that the fit looks at: the most frequent ones; bounds the driver's memory.
 FIT_WORDS = 60_000
 ROUNDS = 3
+#: Words whose arcs are laid out at once.
+CHUNK = 8192
 #: Letters of which the mean evidence counts in a score.
 EVIDENCE = 60
 #: Characters an entry may have.
@@ -43,7 +47,7 @@ FIT_LETTERS = 32
 FLOOR = 0.02
 #: Probability of a letter that is no entry.
 STRANGE = 1e-6
-WORDS_KEPT = 300_000
+WORDS_KEPT = 150_000
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -118,24 +122,30 @@ class Segmentations:
 
     def expected(self, words: list[str], times: np.ndarray, rounds: int) -> np.ndarray:
         """Entry probabilities after some rounds of expectation maximisation on words of at most FIT_LETTERS letters."""
-        a = self.arcs(words)
-        ways = []
-        for key, by in (("start", np.lexsort((a["stop"], a["level"]))), ("stop", np.lexsort((a["start"], a["width"] - a["level"])))):
-            level = (a["level"] if key == "start" else a["width"] - a["level"])[by]
-            cuts = np.flatnonzero(np.concatenate(([True], level[1:] != level[:-1], [True])))
-            ways.append((by, cuts))
-        n = int(a["length"].sum()) + len(words)
+        parts = []
+        for k in range(0, len(words), CHUNK):
+            a = {n: v.astype(np.int32) for n, v in self.arcs(words[k : k + CHUNK]).items()}
+            ways = []
+            for level, other in ((a["level"], a["stop"]), (a["width"] - a["level"], a["start"])):
+                by = np.lexsort((other, level)).astype(np.int32)
+                cuts = np.flatnonzero(np.concatenate(([True], np.diff(level[by]) != 0, [True])))
+                ways.append((by, cuts))
+            parts.append((a, ways, times[k : k + CHUNK]))
         weights = np.full(self.size, 1.0 / self.size)
         for _ in range(rounds):
-            alpha, beta = np.zeros(n), np.zeros(n)
-            alpha[a["first"]] = 1.0
-            beta[a["first"] + a["length"]] = 1.0
-            for (by, cuts), mass, came, went in ((ways[0], alpha, a["start"], a["stop"]), (ways[1], beta, a["stop"], a["start"])):
-                for lo, hi in zip(cuts, cuts[1:]):
-                    k = by[lo:hi]
-                    np.add.at(mass, went[k], mass[came[k]] * weights[a["entry"][k]])
-            use = alpha[a["start"]] * weights[a["entry"]] * beta[a["stop"]] * (times / alpha[a["first"] + a["length"]])[a["word"]]
-            counts = np.bincount(a["entry"], use, self.size) + FLOOR
+            counts = np.full(self.size, FLOOR)
+            for a, ways, seen in parts:
+                n = int(a["length"].sum()) + len(seen)
+                last = a["first"] + a["length"]
+                alpha, beta = np.zeros(n), np.zeros(n)
+                alpha[a["first"]] = 1.0
+                beta[last] = 1.0
+                for (by, cuts), mass, came, went in ((ways[0], alpha, a["start"], a["stop"]), (ways[1], beta, a["stop"], a["start"])):
+                    for lo, hi in zip(cuts, cuts[1:]):
+                        k = by[lo:hi]
+                        np.add.at(mass, went[k], mass[came[k]] * weights[a["entry"][k]])
+                use = alpha[a["start"]] * weights[a["entry"]] * beta[a["stop"]] * (seen / alpha[last])[a["word"]]
+                counts += np.bincount(a["entry"], use, self.size)
             counts[-1] = 0.0
             weights = counts / counts.sum()
             weights[-1] = STRANGE
@@ -233,7 +243,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, dict[str, int]]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(preds, pa.string()), pa.array(certain, pa.float64())], [*batch.schema.names, *names])
 
     schema = StructType([f for f in docs.schema.fields]).add(names[0], StringType()).add(names[1], DoubleType())
-    return docs.mapInArrow(run, schema)
+    return short_batches(docs).mapInArrow(run, schema)
 
 
 def identify(docs: DataFrame, model_file: str) -> DataFrame:

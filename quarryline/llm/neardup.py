@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from quarryline.llm.graph import components
 from quarryline.sources.scratch import materialize
+from quarryline.sources.tables import short_batches
 
 WORDS = 5
 BANDS, ROWS = 48, 6
@@ -50,7 +51,7 @@ STAR = 256
 CARRIED = 512
 #: Most rows of a side that is broadcast; a larger side is joined by shuffling.
 BROADCAST_ROWS = 400_000
-WORDS_KEPT = 300_000
+WORDS_KEPT = 120_000
 
 _mask = (1 << 64) - 1
 
@@ -160,7 +161,7 @@ def described(docs: DataFrame) -> DataFrame:
                     high.append((values >> 8).astype(np.uint8).tobytes())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), *(pa.array(x, pa.binary()) for x in (digests, low, high))], ["doc_id", "n_shingles", "digest", "low", "high"])
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, low binary, high binary")
+    return short_batches(docs).selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, low binary, high binary")
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -173,8 +174,8 @@ def band_rows(classes: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = np.arange(BANDS, dtype=np.uint64) * MIX[1]
         for batch in batches:
-            for at in range(0, batch.num_rows, 5000):
-                part = batch.slice(at, 5000)
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
                 values = _matrix(part.column("low"), SIZE).astype(np.uint64) | _matrix(part.column("high"), SIZE).astype(np.uint64) << np.uint64(8)
                 keys = (((values.reshape(-1, BANDS, ROWS) + np.uint64(1)) * BAND_STEPS).sum(axis=2, dtype=np.uint64) + number) * MIX[0]
                 keys ^= keys >> np.uint64(31)

@@ -31,10 +31,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarryline.sources.scratch import materialize
+from quarryline.sources.tables import short_batches
 
 END = b"\0\0\0\0"
 #: Units whose ids a worker remembers, in two generations; beyond it older ones are forgotten, never the result changed.
-WORDS_KEPT = 300_000
+WORDS_KEPT = 150_000
 #: Groups into which the pieces of one length are dealt for ranking.
 SALTS = 128
 
@@ -140,7 +141,7 @@ def pieces(docs: DataFrame, tokenizer_file: str, capacity: int) -> DataFrame:
                 cols = zip(*rows)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return short_batches(docs).selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def best_two_fit(counts: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:

@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StructType
 
+from quarryline.sources.tables import short_batches
+
 #: Labelled documents of each label in the fit, about.
 SAMPLE = 12_000
 FEATURES = 6_000
@@ -181,7 +183,7 @@ def score(docs: DataFrame, model: tuple[dict[str, float], np.ndarray], names: tu
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(above[:, 0]), pa.array(above.sum(axis=1)), pa.array(above[:, 0] >= 0.5)], [*batch.schema.names, *names])
 
     schema = StructType(list(docs.schema.fields)).add(names[0], DoubleType()).add(names[1], DoubleType()).add(names[2], BooleanType())
-    return docs.mapInArrow(run, schema)
+    return short_batches(docs).mapInArrow(run, schema)
 
 
 def grade(docs: DataFrame, labels: DataFrame) -> DataFrame:
