@@ -1,22 +1,29 @@
-"""Approximate nearest neighbours by largest cosine: an NN-descent graph, searched greedily.
+"""Nearest neighbours by largest cosine: an exact scan, or beyond PAIRS pairs an NN-descent graph.
 
-Equal vectors are one node. The graph starts from neighbours within blocks of nodes whose signs
-under random hyperplanes sort next to each other. Then neighbours of neighbours are compared: each
-round joins every node's neighbours, forward and (at most DEGREE) backward, with their vectors, and
-offers each the others that beat its worst one. Only pairs with a neighbour that is new since the
-round before are compared, and rounds end once few lists change. The graph covers every node.
+Equal vectors are one node. Up to PAIRS pairs of a query and a node, every pair is scored, in double
+precision: cells of a block of queries and a part of the nodes keep each query's best nodes.
+
+Beyond that the work of a scan would grow too far with the square of the table. The graph starts from
+neighbours within blocks of nodes whose signs under random hyperplanes sort next to each other. Then
+neighbours of neighbours are compared: each round joins every node's neighbours, forward and (at most
+DEGREE) backward, with their vectors, and offers each the others that beat its worst one. Only pairs
+with a neighbour that is new since the round before are compared, and rounds end once few lists change.
 
 A query starts from its own vector's node, if it has one, and from PIVOTS nodes drawn by a hash. Each
-round expands its best WIDTH unexpanded nodes among the best BEAM it has met. Graph and search use half
-precision; the best nodes' scores are then computed in double precision from the original vectors,
-nodes are replaced by their vec_ids, and ties go to the smaller vec_id.
+round expands its best unexpanded nodes among the best it has met, the beam, until none is left there.
+SAMPLE queries are scanned as well: while the search has met less than TARGET of their true neighbours
+the beam is doubled, and once it would hold more than 1 / WIDEST of the nodes all queries are scanned.
+Graph and search use half precision.
+
+The best nodes' scores are then computed in double precision from the original vectors, nodes are
+replaced by their vec_ids, and ties go to the smaller vec_id.
 
 Blocks, neighbour lists and beams are bounded, so no task gathers a hot group.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no part, nor
 do vectors of another length than the most common; of rows that repeat a vec_id one counts (the
-smallest by a hash of the vector); null vec_ids take no part; with fewer candidates than k all that
-the search meets are returned; other columns aren't looked at; an empty table gives no rows.
+smallest by a hash of the vector); null vec_ids take no part; with fewer candidates than k all are
+returned (of a graph, all that the search meets); other columns aren't looked at; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,13 +41,19 @@ DEGREE = 16
 BLOCK = 512
 PLANES = 24
 STARTS = 2
-ROUNDS = 4
 #: Rounds end once at most this share of the list entries is new.
 SETTLED = 0.01
 OFFERS = 8
-BEAM, WIDTH, HOPS, PIVOTS = 48, 24, 8, 8
-#: Nodes of a query that are scored exactly.
-EXACT = 24
+#: The first beam and the pivots of a search.
+BEAM, PIVOTS = 48, 8
+#: Most pairs of a query and a node that are all scored.
+PAIRS = 1 << 32
+#: Queries and nodes that a scan multiplies at once, and the least number of parts of the nodes.
+QUERIES, CHUNK, PARTS = 4096, 1000, 48
+#: A graph's answers are taken once this share of the true neighbours of SAMPLE queries is met.
+TARGET, SAMPLE, WIDEST = 0.95, 200, 16
+#: Nodes beyond k + 1 that are scored exactly.
+SPARE = 8
 
 
 def usable(table: DataFrame) -> DataFrame:
@@ -174,13 +187,12 @@ def descend(points: DataFrame) -> DataFrame:
         part = within_blocks(points, f"code{k}")
         start = part if start is None else start.unionByName(part)
     graph = materialize(best_lists(start.withColumn("new", F.lit(True))), "graph")
-    for _ in range(ROUNDS):
+    while True:  # ends, for scores in the lists only grow
         found = offers(graph, points).withColumn("new", F.lit(True))
         graph = materialize(best_lists(graph.withColumn("new", F.lit(False)).unionByName(found)), "graph")
         n, new = graph.agg(F.count("*"), F.count_if("new")).first()
         if new <= SETTLED * n:
-            break
-    return graph
+            return graph
 
 
 def scored(pairs: DataFrame, queries: DataFrame, points: DataFrame) -> DataFrame:
@@ -197,26 +209,102 @@ def scored(pairs: DataFrame, queries: DataFrame, points: DataFrame) -> DataFrame
     return joined.select("q", "node", "qvec", "vec").mapInArrow(run, "q long, node long, score double")
 
 
-def search(queries: DataFrame, graph: DataFrame, points: DataFrame) -> DataFrame:
-    """q, node, score of the nodes that each query has met. queries: q, start (a node or null), qvec."""
+def scan(queries: DataFrame, nodes: DataFrame, keep: int) -> DataFrame:
+    """q, node, score: the `keep` best nodes of each query, of all. queries: q, embedding; nodes: id, embedding."""
+    blocks = max(1, -(-queries.count() // QUERIES))
+    parts = max(PARTS, int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    asked = queries.select(F.pmod(F.xxhash64("q"), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"), F.lit(0).alias("side"), F.col("q").alias("id"), "embedding")
+    met = nodes.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part"), F.lit(1).alias("side"), "id", "embedding")
+    together = asked.unionByName(met).repartition("block", "part").sortWithinPartitions("block", "part", "side", "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, ids, held, q, best, of = None, [], [], None, None, None
+
+        def out() -> pa.RecordBatch:
+            good = best > -9
+            return pa.RecordBatch.from_arrays([pa.array(np.repeat(np.concatenate(ids), keep).reshape(good.shape)[good]), pa.array(of[good]), pa.array(best[good])], ["q", "node", "score"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            m = _rows(batch.column(4), "f8")
+            m = m / np.abs(m).max(axis=1, keepdims=True)
+            m = m / np.linalg.norm(m, axis=1, keepdims=True)
+            keys = np.stack([np.asarray(batch.column(k)) for k in range(3)], axis=1)
+            names = np.asarray(batch.column(3))
+            edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(m)]
+            for lo, hi in zip(edges, edges[1:]):
+                if (at := (keys[lo, 0], keys[lo, 1])) != cell:
+                    if q is not None:
+                        yield out()
+                    cell, ids, held, q = at, [], [], None
+                if keys[lo, 2] == 0:
+                    ids.append(names[lo:hi]), held.append(m[lo:hi])
+                    continue
+                if not held:
+                    continue
+                if q is None:
+                    q = np.concatenate(held)
+                    best, of = np.full((len(q), keep), -9.0), np.zeros((len(q), keep), np.int64)
+                for k in range(lo, hi, CHUNK):
+                    own = names[k : min(hi, k + CHUNK)]
+                    score = q @ m[k : min(hi, k + CHUNK)].T
+                    # nodes come by id, so an equal score doesn't displace an earlier one
+                    better = np.flatnonzero(score.max(axis=1) > best[:, -1])
+                    every = np.concatenate((best[better], score[better]), axis=1)
+                    top = np.argsort(-every, axis=1, kind="stable")[:, :keep]
+                    best[better] = np.take_along_axis(every, top, 1)
+                    of[better] = np.take_along_axis(np.concatenate((of[better], np.broadcast_to(own, (len(better), len(own)))), axis=1), top, 1)
+        if q is not None:
+            yield out()
+
+    found = together.mapInArrow(run, "q long, node long, score double")
+    place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "node"))
+    return found.withColumn("place", place).where(F.col("place") <= keep).drop("place")
+
+
+def search(queries: DataFrame, graph: DataFrame, points: DataFrame, truth: DataFrame, k: int, widest: int) -> DataFrame | None:
+    """q, node, score of the nodes that each query has met, or None if no beam up to the widest meets TARGET of truth.
+
+    queries: q, start (a node or null), qvec; truth: q, node.
+    """
     links = materialize(both_ways(graph).select("node", "other").distinct(), "links")
     pivots = points.select("id").orderBy(F.xxhash64("id"), "id").limit(PIVOTS)
     vectors = queries.select("q", "qvec")
     begin = queries.where("start is not null").select("q", F.col("start").alias("node")).unionByName(queries.select("q").crossJoin(F.broadcast(pivots.withColumnRenamed("id", "node")))).distinct()
     met = materialize(scored(begin, vectors, points).withColumn("done", F.lit(False)), "met")
-    for _ in range(HOPS):
+    wanted, beam = truth.count(), max(BEAM, 2 * k)
+    while beam <= widest:
         place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "node"))
         turn = F.row_number().over(Window.partitionBy("q", "done").orderBy(F.desc("score"), "node"))
-        ranked = met.withColumn("place", place).withColumn("turn", turn).withColumn("now", ~F.col("done") & (F.col("place") <= BEAM) & (F.col("turn") <= WIDTH))
+        ranked = met.withColumn("place", place).withColumn("turn", turn).withColumn("now", ~F.col("done") & (F.col("place") <= beam) & (F.col("turn") <= beam // 2))
         ranked = materialize(ranked.select("q", "node", "score", "done", "now"), "met")
         expand = ranked.where("now").select("q", "node")
         if expand.isEmpty():
-            return ranked.select("q", "node", "score")
+            if truth.join(ranked, ["q", "node"], "left_semi").count() >= TARGET * wanted:
+                return ranked.select("q", "node", "score")
+            beam *= 2
+            continue
         reached = expand.join(links, "node").select("q", F.col("other").alias("node")).distinct().join(ranked.select("q", "node"), ["q", "node"], "left_anti")
         fresh = scored(reached, vectors, points).withColumn("done", F.lit(False))
         # nodes beyond the beam are remembered as met, so that none is scored twice
         met = materialize(ranked.select("q", "node", "score", (F.col("done") | F.col("now")).alias("done")).unionByName(fresh), "met")
-    return met.select("q", "node", "score")
+    return None
+
+
+def by_graph(asked: DataFrame, nodes: DataFrame, k: int, count: int) -> DataFrame | None:
+    """q, node: what may be among the k nearest of each query, or None if the graph doesn't serve these vectors."""
+    points = materialize(coded(nodes), "points")
+    sample = asked.orderBy(F.xxhash64("q"), "q").limit(SAMPLE)
+    near = scan(sample.select("q", "embedding"), nodes, k + 1).join(sample.select("q", "start"), "q").where("node <> start")
+    order = Window.partitionBy("q").orderBy(F.desc("score"), "node")
+    truth = materialize(near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).select("q", "node"), "truth")
+    queries = asked.select("q", "start").join(points.select(F.col("id").alias("start"), F.col("vec").alias("qvec")), "start")
+    met = search(materialize(queries, "queries"), descend(points), points, truth, k, count // WIDEST)
+    if met is None:
+        return None
+    ranked = met.withColumn("place", F.row_number().over(order))
+    return ranked.where(F.col("place") <= k + 1 + SPARE).select("q", "node")
 
 
 def nearest(table: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
@@ -225,14 +313,15 @@ def nearest(table: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     first = rows.groupBy("key").agg(F.min("vec_id").alias("id"))
     members = rows.select("vec_id", "key").join(first, "key").select("id", "vec_id")
     nodes = rows.join(first, (F.col("vec_id") == F.col("id")) & (rows["key"] == first["key"]), "left_semi").select(F.col("vec_id").alias("id"), "embedding")
-    points = materialize(coded(nodes), "points")
-    graph = descend(points)
-    asked = materialize(members.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("q"), F.col("id").alias("start")), "asked")
-    queries = asked.join(points.select(F.col("id").alias("start"), F.col("vec").alias("qvec")), "start")
-    met = search(materialize(queries, "queries"), graph, points)
-    close = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "node"))
-    best = met.withColumn("place", close).where(F.col("place") <= EXACT).select("q", "node")
-    exact = scored(best, asked.select("q", "start").join(nodes.select(F.col("id").alias("start"), F.col("embedding").alias("qvec")), "start").select("q", "qvec"), nodes.select("id", F.col("embedding").alias("vec")))
+    nodes = materialize(nodes, "nodes")
+    asked = members.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("q"), F.col("id").alias("start"))
+    asked = materialize(asked.join(nodes.withColumnRenamed("id", "start"), "start"), "asked")
+    count = nodes.count()
+    best = by_graph(asked, nodes, k, count) if asked.count() * count > PAIRS else None
+    if best is None:
+        # k + 1 nodes suffice, for one may be the query's own; the others are for the rounding of sums
+        best = scan(asked.select("q", "embedding"), nodes, k + 1 + SPARE).select("q", "node")
+    exact = scored(best, asked.select("q", F.col("embedding").alias("qvec")), nodes.select("id", F.col("embedding").alias("vec")))
     # of equal vectors the k + 1 smallest vec_ids suffice, for one may be the query's own
     small = F.row_number().over(Window.partitionBy("id").orderBy("vec_id"))
     few = members.withColumn("place", small).where(F.col("place") <= k + 1).select(F.col("id").alias("node"), "vec_id")

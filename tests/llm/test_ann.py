@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from quarryline.llm import ann
 
@@ -49,3 +50,22 @@ def test_few_rows(spark):
     assert got == [(0, 1, 7), (0, 2, 50), (50, 1, 7), (50, 2, 0)]
     assert ann.nearest(spark.createDataFrame([], SCHEMA)).count() == 0
     assert ann.nearest(spark.createDataFrame(rows[:1], SCHEMA)).count() == 0
+
+
+@pytest.mark.parametrize(("pairs", "clusters"), [(ann.PAIRS, 0), (0, 0), (0, 40)])
+def test_recall_of_random_vectors(spark, monkeypatch, pairs, clusters):
+    """By scan, by a graph that the vectors don't suit, and by one that they do."""
+    monkeypatch.setattr(ann, "PAIRS", pairs)
+    rng = np.random.default_rng(2)
+    m = rng.standard_normal((6000, 64))
+    if clusters:
+        m = m[rng.integers(0, clusters, 6000)] + 0.3 * m
+    rows = [(k, [float(x) for x in v]) for k, v in enumerate(m)]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    m = m / np.linalg.norm(m, axis=1, keepdims=True)
+    score = m[::50] @ m.T
+    score[np.arange(len(score)), np.arange(0, len(m), 50)] = -9
+    want = {(50 * q, int(v)) for q, near in enumerate(np.argsort(-score, axis=1)[:, :5]) for v in near}
+    assert len(got) == len(want)
+    hits = len(want & {(r.query_id, r.vec_id) for r in got})
+    assert hits == len(want) if pairs else hits >= 0.9 * len(want)
