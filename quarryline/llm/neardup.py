@@ -261,12 +261,13 @@ def between_components(shared: DataFrame, labels: DataFrame, signatures: DataFra
     block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     # a member meets the members of its own block and of each other block
     dealt = members.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "id", "component", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), (F.col("block") > F.col("other")).cast("int").alias("side"))
-    rows = dealt.join(signatures.select("id", F.col("low").alias("sig")), "id").join(sets, "id", "left").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "side", "id")
+    rows = dealt.join(signatures.select("id", F.concat("low", "high").alias("sig")), "id").join(sets, "id", "left").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "side", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def compare(group: tuple, ids: list, comps: list, sides: list, sigs: list, sets: list) -> pa.RecordBatch:
             i, c, s = np.array(ids), np.array(comps), np.array(sides)
-            m = np.frombuffer(b"".join(sigs), np.uint8).reshape(-1, SIZE)
+            both = np.frombuffer(b"".join(sigs), np.uint8).reshape(-1, 2, SIZE)
+            m, whole = both[:, 0], both[:, 0] | both[:, 1].astype(np.uint16) << 8
             own = [None if x is None else np.frombuffer(x, np.uint64) for x in sets]
             roots: dict[int, int] = {}
 
@@ -283,8 +284,8 @@ def between_components(shared: DataFrame, labels: DataFrame, signatures: DataFra
                     rest = rest[s[rest] != s[k]]
                 if not len(rest):
                     continue
-                first = (m[rest] == m[k]).reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1)
-                rest = rest[first == group[0] & 63]  # a pair is compared in its first common bucket
+                first = (whole[rest] == whole[k]).reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1)
+                rest = rest[first == group[0] & 63]  # a pair is compared in its first common bucket, by all 16 bits as the keys are
                 rest = rest[surviving(np.broadcast_to(m[k], (len(rest), SIZE)), m[rest])]
                 for n in rest.tolist():
                     sure = own[k] is not None and own[n] is not None

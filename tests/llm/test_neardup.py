@@ -90,3 +90,15 @@ def test_components(spark, n):
 def test_pruning_keeps_what_reaches_the_threshold():
     levels = neardup.least_matches()
     assert levels[-1][0] == neardup.SIZE and all(m < 0.75 * n for n, m in levels)
+
+
+def test_first_common_bucket_by_whole_values(spark):
+    """Two sets whose band 0 agrees in the low bytes only are compared in band 1, the one bucket that they share."""
+    text = " ".join(f"w{k}" for k in range(40))
+    docs = spark.createDataFrame([(1, text, "k", 1), (2, text + " more", "k", 1)], SCHEMA)
+    low, high = bytes(neardup.SIZE), bytearray(neardup.SIZE)
+    high[: neardup.ROWS] = b"\1" * neardup.ROWS
+    signatures = spark.createDataFrame([(1, low, bytes(neardup.SIZE)), (2, low, bytes(high))], "id long, low binary, high binary")
+    shared = spark.createDataFrame([(64 + 1, 1), (64 + 1, 2)], "key long, id long")
+    labels = spark.createDataFrame([], "id long, component long")
+    assert [tuple(r) for r in neardup.between_components(shared, labels, signatures, docs).collect()] == [(1, 2, True)]
