@@ -39,6 +39,17 @@ def simhash_pairs(marks: DataFrame) -> DataFrame:
     return a.join(b, "key").where((F.col("src") < F.col("dst")) & (distance <= DISTANCE)).select("src", "dst", distance.cast("long").alias("distance")).distinct()
 
 
+def simhash_members(docs: DataFrame) -> DataFrame:
+    """doc_id, representative: the doc_id that names the document's SimHash in simhash_pairs.
+
+    docs: doc_id, fingerprint, simhash. With the pairs it gives every text within DISTANCE of another, those
+    of one SimHash (distance 0) too: they have one representative.
+    """
+    first = docs.groupBy("fingerprint").agg(F.min("doc_id").alias("first"), F.min("simhash").alias("simhash"))
+    value = first.groupBy("simhash").agg(F.min("first").alias("representative"))
+    return docs.select("doc_id", "fingerprint").join(first.join(value, "simhash").select("fingerprint", "representative"), "fingerprint").select("doc_id", "representative")
+
+
 def greedy(pairs: DataFrame) -> DataFrame:
     """doc_id, kept: going through the nodes in order, one goes if an earlier kept one is its neighbour.
 

@@ -37,6 +37,12 @@ def near_dup_pairs(spark, sf_dir):
     return dedup.simhash_pairs(first.select("doc_id", "simhash"))
 
 
+@query()
+def near_dup_members(spark, sf_dir):
+    """The documents behind each end of near_dup_pairs; those with one representative are at distance 0."""
+    return dedup.simhash_members(_marks(spark, sf_dir))
+
+
 @query(f"""
     WITH RECURSIVE {SIMHASH_SQL}, {NEAR_SQL},
     nodes AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS p FROM (SELECT src AS doc_id FROM near UNION SELECT dst FROM near)),

@@ -187,3 +187,12 @@ def test_text_similarity_labels(spark, tmp_path):
     got = {r.conv_id: (r.similarity, r.label) for r in QUERIES["text_similarity"](spark, str(tmp_path)).collect()}
     ratio = SequenceMatcher(a=pairs[1][0], b=pairs[1][1]).ratio()
     assert got == {0: (1.0, "identical"), 1: (ratio, "similar"), 2: (0.0, "different")}
+
+
+def test_simhash_members(spark):
+    """Texts of the same words in another order have one SimHash, and each is found from the pairs."""
+    rows = [(1, "a", 5), (2, "b", 5), (3, "b", 5), (4, "c", 7), (6, "e", 7), (5, "d", -1)]
+    docs = spark.createDataFrame(rows, "doc_id long, fingerprint string, simhash long")
+    members = {r.doc_id: r.representative for r in dedup.simhash_members(docs).collect()}
+    assert members == {1: 1, 2: 1, 3: 1, 4: 4, 6: 4, 5: 5}
+    assert [tuple(r) for r in dedup.simhash_pairs(docs.select("doc_id", "simhash")).collect()] == [(1, 4, 1)]
