@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarryline.functions import hashing as H
@@ -233,15 +234,18 @@ def simhash_sha(spark, sf_dir):
 
 @query()
 def text_similarity(spark, sf_dir):
-    """Likeness of a conversation's first two turns by matching blocks, with its label."""
+    """Likeness of each turn of a conversation and the next one by matching blocks, with its label."""
     @F.pandas_udf("double")
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
         from difflib import SequenceMatcher
 
-        return pd.Series([1.0 if x == y else SequenceMatcher(a=x, b=y).ratio() for x, y in zip(a, b)])
+        return pd.Series([None if x is None or y is None else 1.0 if x == y else SequenceMatcher(a=x, b=y).ratio() for x, y in zip(a, b)], dtype=float)
 
-    rows = _first_turns(spark, sf_dir).withColumn("similarity", ratio("a", "b"))
-    return rows.select("conv_id", "similarity", F.when(F.col("a") == F.col("b"), "identical").when(F.col("similarity") >= 0.72, "similar").otherwise("different").alias("label"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", T.collapse(F.col("text")).alias("a"))
+    following = F.lead("a").over(Window.partitionBy("conv_id").orderBy("turn", "a"))
+    last = F.lead("turn").over(Window.partitionBy("conv_id").orderBy("turn", "a")).isNull()
+    rows = turns.withColumn("b", following).withColumn("last", last).where("not last").withColumn("similarity", ratio("a", "b"))
+    return rows.select("conv_id", "turn", "similarity", F.when(F.col("a") == F.col("b"), "identical").when(F.col("similarity") >= 0.72, "similar").otherwise("different").alias("label"))
 
 
 def _first_turns(spark, sf_dir):

@@ -196,3 +196,12 @@ def test_simhash_members(spark):
     members = {r.doc_id: r.representative for r in dedup.simhash_members(docs).collect()}
     assert members == {1: 1, 2: 1, 3: 1, 4: 4, 6: 4, 5: 5}
     assert [tuple(r) for r in dedup.simhash_pairs(docs.select("doc_id", "simhash")).collect()] == [(1, 4, 1)]
+
+
+def test_similarity_of_all_turns(spark, tmp_path):
+    from quarryline.plans.text_queries import text_similarity
+
+    rows = [(1, 0, "abcd"), (1, 1, "abcd"), (1, 2, "wxyz"), (1, 4, "wxyz"), (1, 5, None), (2, 0, "alone")]
+    spark.createDataFrame(rows, "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = sorted((r.conv_id, r.turn, r.similarity, r.label) for r in text_similarity(spark, str(tmp_path)).collect())
+    assert got == [(1, 0, 1.0, "identical"), (1, 1, 0.0, "different"), (1, 2, 1.0, "identical"), (1, 4, None, "different")]
