@@ -10,10 +10,11 @@ Word boundaries: no entry holds a space sign after another character, so the tex
 each space and a word's ids don't depend on its neighbours. Only runs of spaces join up; their
 entries all have one score, so the leftmost merges go first and a run is cut into the longest
 entries from the left. Line ends are cut likewise when no entry holds one, and punctuation after a
-letter when no entry holds a letter with it behind.
+letter when no entry holds that letter with it behind.
 
 Defined results: null text counts as empty; empty text has no ids; unknown characters become the
-ids of their UTF-8 bytes; repeated rows give repeated results; other columns aren't looked at.
+ids of their UTF-8 bytes; very long texts take time and memory in proportion to their length; repeated
+rows give repeated results; other columns aren't looked at; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,6 +33,21 @@ SPACE = "▁"
 CUT = "\x01"
 #: Words whose ids a worker remembers, in two generations; beyond it older ones are forgotten, never the result changed.
 WORDS_KEPT = 250_000
+#: Cut off words where no entry joins them to the character before.
+MARKS = ".,!?;:"
+LETTER = re.compile(r"[^\W\d_]")
+
+
+def cut_after_letters(joined: set[str]) -> re.Pattern:
+    """Matches a mark after a letter (or a number that isn't decimal) if no entry holds that letter with that mark behind.
+
+    joined: neighbouring characters of the entries. Some marks follow some letters there, as in `².`; such places aren't cut.
+    """
+    by_exception: dict[str, str] = {}
+    for mark in MARKS:
+        kept = "".join(sorted(x[0] for x in joined if x[1] == mark and LETTER.match(x[0])))
+        by_exception[kept] = by_exception.get(kept, "") + mark
+    return re.compile("|".join(rf"[{re.escape(marks)}](?<=[^\W\d_{re.escape(kept)}].)" for kept, marks in by_exception.items()))
 
 
 class PrefixTableEncoder:
@@ -53,9 +69,7 @@ class PrefixTableEncoder:
             raise ValueError("an entry holds a space inside; words can't be encoded apart")
         self.piece = {i: p for p, i in words.items()}
         self.cut_lines = not any("\n" in p for p in words)
-        after_letters = {b for p in words for a, b in zip(p, p[1:]) if a.isalpha()}
-        apart = "".join(c for c in ".,!?;:" if c not in after_letters)
-        self.apart = re.compile(rf"[{re.escape(apart)}](?<=[^\W\d_].)") if apart else None
+        self.apart = cut_after_letters({a + b for p in words for a, b in zip(p, p[1:])})
         self.automaton = ahocorasick.Automaton()
         for p, i in words.items():
             self.automaton.add_word(p, (len(p), i))
@@ -170,8 +184,7 @@ class PrefixTableEncoder:
             text = text.replace(SPACE, " ")
             if self.cut_lines:
                 text = text.replace("\n", " \n")
-            if self.apart:
-                text = self.apart.sub(rf" {CUT}\g<0>", text)
+            text = self.apart.sub(rf" {CUT}\g<0>", text)
             keys = text.split(" ")
             get, word = self.words.get, self._word
             found = [get(k) or word(k) for k in keys]

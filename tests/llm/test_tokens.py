@@ -30,6 +30,23 @@ def test_prefix_table_equals_library():
         assert said == ",".join(map(str, ids))
 
 
+def test_prefix_table_cuts_marks_only_where_no_entry_joins_them():
+    encoder = PrefixTableEncoder(MODEL)
+    same = lambda text: encoder.encode(text)[0] == encoder.processor.encode(text)
+    assert encoder.encode("².")[0] == encoder.processor.encode("².") == [28705, 20110]
+    assert all(map(same, ["a².", "10 m². Next", "m²,", "x²!"]))
+    latin = [chr(c) for c in range(1, 256)]
+    assert all(same(a + b) for a in latin for b in latin)
+    assert all(same(c + mark + "a " + c + mark) for c in {c for p in encoder.ids for c in p} for mark in ".,!?;:")
+
+
+def test_encode_a_very_long_text(spark):
+    text = "the cat². sat   on " * 30_000 + "x" * 50_000
+    sp = PrefixTableEncoder(MODEL).processor
+    got = encode_texts(spark.createDataFrame([(1, text, "x", 0)], SCHEMA), MODEL).first()
+    assert got.n_tokens == len(sp.encode(text))
+
+
 def test_encode_rows(spark):
     rows = [(1, None, "x", 0), (2, "", "x", 0), (3, "the cat", "x", 0), (3, "the cat", "x", 0)]
     got = encode_texts(spark.createDataFrame(rows, SCHEMA), MODEL).orderBy("doc_id").collect()
