@@ -1,70 +1,62 @@
-"""Nearest neighbours by largest cosine: an exact scan, or beyond PAIRS pairs an NN-descent graph.
+"""Nearest neighbours by largest cosine: an NN-descent graph, searched greedily.
 
-Equal vectors are one node. Up to PAIRS pairs of a query and a node, every pair is scored, in double
-precision: cells of a block of queries and a part of the nodes keep each query's best nodes.
+Equal vectors are one node. The graph starts from neighbours within blocks of nodes whose signs under
+random hyperplanes sort next to each other, in STARTS orders. Then neighbours of neighbours are
+compared: each round joins every node's neighbours, forward and (at most DEGREE) backward, with their
+vectors, and offers each the others that beat its worst one. Only pairs with a neighbour that is new
+since the round before are compared, and rounds end once few lists change.
 
-Beyond that the work of a scan would grow too far with the square of the table. The graph starts from
-neighbours within blocks of nodes whose signs under random hyperplanes sort next to each other. Then
-neighbours of neighbours are compared: each round joins every node's neighbours, forward and (at most
-DEGREE) backward, with their vectors, and offers each the others that beat its worst one. Only pairs
-with a neighbour that is new since the round before are compared, and rounds end once few lists change.
+A query starts from its own vector's node and from PIVOTS nodes drawn by a hash. Each round expands the
+best unexpanded half of its beam, the best nodes it has met, until none is left there. How wide the
+beam must be depends on the vectors, so it is found first: SAMPLE queries are also compared with every
+node, and the beam is doubled until their search meets TARGET of their true neighbours, or until it
+holds every node. Then all queries are searched with that beam. Graph and search use half precision.
 
-A query starts from its own vector's node, if it has one, and from PIVOTS nodes drawn by a hash. Each
-round expands its best unexpanded nodes among the best it has met, the beam, until none is left there.
-SAMPLE queries are scanned as well: while the search has met less than TARGET of their true neighbours
-the beam is doubled, and once it would hold more than 1 / WIDEST of the nodes all queries are scanned.
-Graph and search use half precision.
-
-The best nodes' scores are then computed in double precision from the original vectors, nodes are
-replaced by their vec_ids, and ties go to the smaller vec_id.
+The scores of the nodes that half precision can't tell from the best are then computed in double
+precision from the original vectors, nodes are replaced by their rows, and ties go to the smaller vec_id.
 
 Blocks, neighbour lists and beams are bounded, so no task gathers a hot group.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no part, nor
-do vectors of another length than the most common; of rows that repeat a vec_id one counts (the
-smallest by a hash of the vector); null vec_ids take no part; with fewer candidates than k all are
-returned (of a graph, all that the search meets); other columns aren't looked at; an empty table gives no rows.
+do rows with a null vec_id; a cosine needs equal lengths, so vectors of each length are searched among
+themselves; of rows that repeat a vec_id each is a query and a candidate of its own, with its own
+vector; with fewer candidates than k all that the search meets are returned; other columns aren't
+looked at; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarryline.sources.scratch import materialize
 
-DEGREE = 16
-BLOCK = 512
+DEGREE = 32
+BLOCK = 1024
 PLANES = 24
-STARTS = 2
+STARTS = 6
 #: Rounds end once at most this share of the list entries is new.
-SETTLED = 0.01
+SETTLED = 0.05
 OFFERS = 8
 #: The first beam and the pivots of a search.
-BEAM, PIVOTS = 48, 8
-#: Most pairs of a query and a node that are all scored.
-PAIRS = 1 << 32
-#: Queries and nodes that a scan multiplies at once, and the least number of parts of the nodes.
-QUERIES, CHUNK, PARTS = 4096, 1000, 48
-#: A graph's answers are taken once this share of the true neighbours of SAMPLE queries is met.
-TARGET, SAMPLE, WIDEST = 0.95, 200, 16
-#: Nodes beyond k + 1 that are scored exactly.
-SPARE = 8
+BEAM, PIVOTS = 96, 8
+#: A beam is wide enough once this share of the true neighbours of SAMPLE queries is met.
+TARGET, SAMPLE = 0.96, 200
+#: Scores in half precision are off by less than half of this.
+ROUNDING = 0.002
 
 
 def usable(table: DataFrame) -> DataFrame:
-    """vec_id, embedding (array of double) and a 128-bit key of each vector that takes part."""
+    """vec_id, embedding (array of double), its length n and a 128-bit key of each vector that takes part."""
     rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where("vec_id is not null and embedding is not null and size(embedding) > 0")
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    rows = rows.where(finite & F.exists("embedding", lambda x: x != 0))
-    common = rows.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).limit(1).collect()
     key = F.struct(F.xxhash64("embedding").alias("x"), F.xxhash64(F.lit(1), "embedding").alias("y"))
-    rows = rows.where(F.size("embedding") == (common[0]["n"] if common else 0)).withColumn("key", key)
-    return rows.groupBy("vec_id").agg(F.min("key").alias("key"), F.min_by("embedding", "key").alias("embedding"))
+    return rows.where(finite & F.exists("embedding", lambda x: x != 0)).withColumn("n", F.size("embedding")).withColumn("key", key)
 
 
 def _rows(column: pa.Array, kind: str) -> np.ndarray:
@@ -74,6 +66,11 @@ def _rows(column: pa.Array, kind: str) -> np.ndarray:
     return np.asarray(column.flatten()).reshape(len(column), -1)
 
 
+def _unit(m: np.ndarray) -> np.ndarray:
+    m = m / np.abs(m).max(axis=1, keepdims=True)
+    return m / np.linalg.norm(m, axis=1, keepdims=True)
+
+
 def coded(nodes: DataFrame) -> DataFrame:
     """id, half-precision unit vector, and sort codes of its signs under STARTS sets of hyperplanes."""
 
@@ -82,9 +79,7 @@ def coded(nodes: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            m = _rows(batch.column(1), "f8")
-            m = m / np.abs(m).max(axis=1, keepdims=True)
-            m = m / np.linalg.norm(m, axis=1, keepdims=True)
+            m = _unit(_rows(batch.column(1), "f8"))
             if planes is None:
                 planes = np.random.default_rng(5).standard_normal((m.shape[1], STARTS * PLANES))
             signs = (m @ planes > 0).reshape(len(m), STARTS, PLANES).astype(np.int64)
@@ -182,10 +177,7 @@ def offers(graph: DataFrame, points: DataFrame) -> DataFrame:
 
 def descend(points: DataFrame) -> DataFrame:
     """The neighbour graph: src, dst, score, new."""
-    start = None
-    for k in range(STARTS):
-        part = within_blocks(points, f"code{k}")
-        start = part if start is None else start.unionByName(part)
+    start = reduce(DataFrame.unionByName, (within_blocks(points, f"code{k}") for k in range(STARTS)))
     graph = materialize(best_lists(start.withColumn("new", F.lit(True))), "graph")
     while True:  # ends, for scores in the lists only grow
         found = offers(graph, points).withColumn("new", F.lit(True))
@@ -209,121 +201,100 @@ def scored(pairs: DataFrame, queries: DataFrame, points: DataFrame) -> DataFrame
     return joined.select("q", "node", "qvec", "vec").mapInArrow(run, "q long, node long, score double")
 
 
-def scan(queries: DataFrame, nodes: DataFrame, keep: int) -> DataFrame:
-    """q, node, score: the `keep` best nodes of each query, of all. queries: q, embedding; nodes: id, embedding."""
-    blocks = max(1, -(-queries.count() // QUERIES))
-    parts = max(PARTS, int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    asked = queries.select(F.pmod(F.xxhash64("q"), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"), F.lit(0).alias("side"), F.col("q").alias("id"), "embedding")
-    met = nodes.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part"), F.lit(1).alias("side"), "id", "embedding")
-    together = asked.unionByName(met).repartition("block", "part").sortWithinPartitions("block", "part", "side", "id")
+def best_first(by: str = "q") -> Column:
+    return F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), "node"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, ids, held, q, best, of = None, [], [], None, None, None
 
-        def out() -> pa.RecordBatch:
-            good = best > -9
-            return pa.RecordBatch.from_arrays([pa.array(np.repeat(np.concatenate(ids), keep).reshape(good.shape)[good]), pa.array(of[good]), pa.array(best[good])], ["q", "node", "score"])
+def truth(sample: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """q, node: the k nearest other nodes of each of at most SAMPLE queries, by comparison with all nodes."""
+    asked = sample.select("q", "start", "embedding").collect()
+    ids, own = [r["q"] for r in asked], [r["start"] for r in asked]
+    shared = sample.sparkSession.sparkContext.broadcast(np.array([r["embedding"] for r in asked]))  # SAMPLE vectors
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q = _unit(shared.value)
+        best, of = np.full((len(q), k), -9.0), np.zeros((len(q), k), np.int64)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            m = _rows(batch.column(4), "f8")
-            m = m / np.abs(m).max(axis=1, keepdims=True)
-            m = m / np.linalg.norm(m, axis=1, keepdims=True)
-            keys = np.stack([np.asarray(batch.column(k)) for k in range(3)], axis=1)
-            names = np.asarray(batch.column(3))
-            edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(m)]
-            for lo, hi in zip(edges, edges[1:]):
-                if (at := (keys[lo, 0], keys[lo, 1])) != cell:
-                    if q is not None:
-                        yield out()
-                    cell, ids, held, q = at, [], [], None
-                if keys[lo, 2] == 0:
-                    ids.append(names[lo:hi]), held.append(m[lo:hi])
-                    continue
-                if not held:
-                    continue
-                if q is None:
-                    q = np.concatenate(held)
-                    best, of = np.full((len(q), keep), -9.0), np.zeros((len(q), keep), np.int64)
-                for k in range(lo, hi, CHUNK):
-                    own = names[k : min(hi, k + CHUNK)]
-                    score = q @ m[k : min(hi, k + CHUNK)].T
-                    # nodes come by id, so an equal score doesn't displace an earlier one
-                    better = np.flatnonzero(score.max(axis=1) > best[:, -1])
-                    every = np.concatenate((best[better], score[better]), axis=1)
-                    top = np.argsort(-every, axis=1, kind="stable")[:, :keep]
-                    best[better] = np.take_along_axis(every, top, 1)
-                    of[better] = np.take_along_axis(np.concatenate((of[better], np.broadcast_to(own, (len(better), len(own)))), axis=1), top, 1)
-        if q is not None:
-            yield out()
-
-    found = together.mapInArrow(run, "q long, node long, score double")
-    place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "node"))
-    return found.withColumn("place", place).where(F.col("place") <= keep).drop("place")
-
-
-def search(queries: DataFrame, graph: DataFrame, points: DataFrame, truth: DataFrame, k: int, widest: int) -> DataFrame | None:
-    """q, node, score of the nodes that each query has met, or None if no beam up to the widest meets TARGET of truth.
-
-    queries: q, start (a node or null), qvec; truth: q, node.
-    """
-    links = materialize(both_ways(graph).select("node", "other").distinct(), "links")
-    pivots = points.select("id").orderBy(F.xxhash64("id"), "id").limit(PIVOTS)
+            names = np.asarray(batch.column(0))
+            score = np.concatenate((best, np.where(names == np.array(own)[:, None], -9.0, q @ _unit(_rows(batch.column(1), "f8")).T)), axis=1)
+            top = np.argsort(-score, axis=1, kind="stable")[:, :k]
+            of = np.take_along_axis(np.concatenate((of, np.broadcast_to(names, (len(q), len(names)))), axis=1), top, 1)
+            best = np.take_along_axis(score, top, 1)
+        good = best > -9
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(ids), k).reshape(good.shape)[good]), pa.array(of[good]), pa.array(best[good])], ["q", "node", "score"])
+
+    found = nodes.select("id", "embedding").mapInArrow(run, "q long, node long, score double")
+    return found.withColumn("place", best_first()).where(F.col("place") <= k).select("q", "node")
+
+
+def search(queries: DataFrame, links: DataFrame, points: DataFrame, beam: int) -> DataFrame:
+    """q, node, score of the beam in which each query ends. queries: q, start, qvec; links: node, others."""
     vectors = queries.select("q", "qvec")
-    begin = queries.where("start is not null").select("q", F.col("start").alias("node")).unionByName(queries.select("q").crossJoin(F.broadcast(pivots.withColumnRenamed("id", "node")))).distinct()
-    met = materialize(scored(begin, vectors, points).withColumn("done", F.lit(False)), "met")
-    wanted, beam = truth.count(), max(BEAM, 2 * k)
-    while beam <= widest:
-        place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "node"))
-        turn = F.row_number().over(Window.partitionBy("q", "done").orderBy(F.desc("score"), "node"))
-        ranked = met.withColumn("place", place).withColumn("turn", turn).withColumn("now", ~F.col("done") & (F.col("place") <= beam) & (F.col("turn") <= beam // 2))
-        ranked = materialize(ranked.select("q", "node", "score", "done", "now"), "met")
-        expand = ranked.where("now").select("q", "node")
-        if expand.isEmpty():
-            if truth.join(ranked, ["q", "node"], "left_semi").count() >= TARGET * wanted:
-                return ranked.select("q", "node", "score")
-            beam *= 2
-            continue
-        reached = expand.join(links, "node").select("q", F.col("other").alias("node")).distinct().join(ranked.select("q", "node"), ["q", "node"], "left_anti")
-        fresh = scored(reached, vectors, points).withColumn("done", F.lit(False))
-        # nodes beyond the beam are remembered as met, so that none is scored twice
-        met = materialize(ranked.select("q", "node", "score", (F.col("done") | F.col("now")).alias("done")).unionByName(fresh), "met")
-    return None
-
-
-def by_graph(asked: DataFrame, nodes: DataFrame, k: int, count: int) -> DataFrame | None:
-    """q, node: what may be among the k nearest of each query, or None if the graph doesn't serve these vectors."""
+    turn = F.row_number().over(Window.partitionBy("q", "done").orderBy(F.desc("score"), "node"))
+
+    def narrowed(met: DataFrame) -> DataFrame:
+        kept = met.withColumn("place", best_first()).where(F.col("place") <= beam).drop("place")
+        return materialize(kept.withColumn("now", ~F.col("done") & (turn <= beam // 2)), "beam")
+
+    pivots = points.select("id").orderBy(F.xxhash64("id"), "id").limit(PIVOTS)
+    begin = queries.select("q", F.col("start").alias("node")).unionByName(queries.select("q").crossJoin(F.broadcast(pivots.withColumnRenamed("id", "node")))).distinct()
+    state = narrowed(scored(begin, vectors, points).withColumn("done", F.lit(False)))
+    while not (expand := state.where("now")).isEmpty():
+        # what falls out of a beam is forgotten, for it can't come back: the beam's worst score only grows
+        reached = expand.select("q", "node").join(links, "node").select("q", F.explode("others").alias("node")).distinct()
+        fresh = scored(reached.join(state.select("q", "node"), ["q", "node"], "left_anti"), vectors, points).withColumn("done", F.lit(False))
+        state = narrowed(state.select("q", "node", "score", (F.col("done") | F.col("now")).alias("done")).unionByName(fresh))
+    return state.select("q", "node", "score")
+
+
+def candidates(asked: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """q, node: what may be among the k nearest of each query. asked: q, start, embedding; nodes: id, embedding."""
     points = materialize(coded(nodes), "points")
-    sample = asked.orderBy(F.xxhash64("q"), "q").limit(SAMPLE)
-    near = scan(sample.select("q", "embedding"), nodes, k + 1).join(sample.select("q", "start"), "q").where("node <> start")
-    order = Window.partitionBy("q").orderBy(F.desc("score"), "node")
-    truth = materialize(near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).select("q", "node"), "truth")
+    links = both_ways(descend(points)).groupBy("node").agg(F.collect_set("other").alias("others"))  # at most 2 * DEGREE
+    links = materialize(links, "links")
     queries = asked.select("q", "start").join(points.select(F.col("id").alias("start"), F.col("vec").alias("qvec")), "start")
-    met = search(materialize(queries, "queries"), descend(points), points, truth, k, count // WIDEST)
-    if met is None:
-        return None
-    ranked = met.withColumn("place", F.row_number().over(order))
-    return ranked.where(F.col("place") <= k + 1 + SPARE).select("q", "node")
+    queries = materialize(queries, "queries")
+    sample = materialize(asked.orderBy(F.xxhash64("q"), "q").limit(SAMPLE), "sample")
+    near = materialize(truth(sample, nodes, k), "truth")
+    wanted, count, beam = near.count(), nodes.count(), max(BEAM, 4 * k)
+    few = materialize(queries.join(F.broadcast(sample.select("q")), "q", "left_semi"), "queries")  # SAMPLE rows
+    while True:
+        met = search(few, links, points, beam)
+        if beam >= count or near.join(met, ["q", "node"], "left_semi").count() >= TARGET * wanted:
+            break
+        beam *= 2
+    if not queries.join(few, "q", "left_anti").isEmpty():
+        met = search(queries, links, points, beam)
+    order = Window.partitionBy("q").orderBy(F.desc("score"), "node")
+    # k + 1 nodes suffice, for one may be the query's own
+    last = F.nth_value("score", k + 1).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return met.withColumn("last", last).where(F.col("last").isNull() | (F.col("score") >= F.col("last") - ROUNDING)).select("q", "node")
 
 
-def nearest(table: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
-    """query_id, rank, vec_id, score: for each vec_id that `every` divides, its k nearest of the other rows found."""
-    rows = materialize(usable(table), "vectors")
-    first = rows.groupBy("key").agg(F.min("vec_id").alias("id"))
-    members = rows.select("vec_id", "key").join(first, "key").select("id", "vec_id")
-    nodes = rows.join(first, (F.col("vec_id") == F.col("id")) & (rows["key"] == first["key"]), "left_semi").select(F.col("vec_id").alias("id"), "embedding")
+def of_one_length(rows: DataFrame, k: int, every: int) -> DataFrame:
+    """query_id, rank, vec_id, score among rows (row, vec_id, embedding, key) of one length."""
+    first = materialize(rows.groupBy("key").agg(F.min("row").alias("id")), "firsts")  # written, so that the join may split a common vector
+    members = materialize(rows.select("row", "vec_id", "key").join(first, "key").select("id", "row", "vec_id"), "members")
+    nodes = rows.join(first.select(F.col("id").alias("row")), "row", "left_semi").select(F.col("row").alias("id"), "embedding")
     nodes = materialize(nodes, "nodes")
-    asked = members.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("q"), F.col("id").alias("start"))
+    asked = members.where(F.col("vec_id") % every == 0).select(F.col("row").alias("q"), F.col("vec_id").alias("query_id"), F.col("id").alias("start"))
     asked = materialize(asked.join(nodes.withColumnRenamed("id", "start"), "start"), "asked")
-    count = nodes.count()
-    best = by_graph(asked, nodes, k, count) if asked.count() * count > PAIRS else None
-    if best is None:
-        # k + 1 nodes suffice, for one may be the query's own; the others are for the rounding of sums
-        best = scan(asked.select("q", "embedding"), nodes, k + 1 + SPARE).select("q", "node")
-    exact = scored(best, asked.select("q", F.col("embedding").alias("qvec")), nodes.select("id", F.col("embedding").alias("vec")))
+    if asked.isEmpty():
+        return members.where("false").selectExpr("vec_id query_id", "0 rank", "vec_id", "0d score")
+    met = candidates(asked, nodes, k)
+    exact = scored(met, asked.select("q", F.col("embedding").alias("qvec")), nodes.select("id", F.col("embedding").alias("vec")))
     # of equal vectors the k + 1 smallest vec_ids suffice, for one may be the query's own
-    small = F.row_number().over(Window.partitionBy("id").orderBy("vec_id"))
-    few = members.withColumn("place", small).where(F.col("place") <= k + 1).select(F.col("id").alias("node"), "vec_id")
-    order = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))
-    return exact.join(few, "node").where("vec_id <> q").withColumn("rank", order).where(F.col("rank") <= k).select(F.col("q").alias("query_id"), F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    small = F.row_number().over(Window.partitionBy("id").orderBy("vec_id", "row"))
+    some = members.withColumn("place", small).where(F.col("place") <= k + 1).select(F.col("id").alias("node"), "row", "vec_id")
+    order = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id", "row"))
+    ranked = exact.join(some, "node").where("row <> q").withColumn("rank", order).where(F.col("rank") <= k)
+    return ranked.join(asked.select("q", "query_id"), "q").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def nearest(table: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
+    """query_id, rank, vec_id, score: for each vec_id that `every` divides, its k nearest of the other rows found."""
+    rows = materialize(usable(table).withColumn("row", F.monotonically_increasing_id()), "vectors")
+    lengths = [r["n"] for r in rows.groupBy("n").count().orderBy("n").collect()]  # a handful, and at least one search
+    return reduce(DataFrame.unionByName, (of_one_length(rows.where(F.col("n") == n), k, every) for n in lengths or [0]))
