@@ -7,16 +7,20 @@ number: the subset's code in the high 8 bits and 24 bits of the hash. Subsets of
 no term give no part. The likeness of two fingerprints is the share of equal parts among the subsets of
 which either has one.
 
-DataFrame expressions only. The lexicon is broadcast: as the document frequencies sum to the number
-of documents times the mean number m of distinct terms, at most m * exp(BAND[1]) terms are in the band.
-Terms outside it are dropped by the map side of that join, so what is shuffled per document is its
-terms within the band. The next document is found by a window over ranges of doc_id; only each range's
-first row meets the range before. What a document's terms give is written once, for it is read twice.
+DataFrame expressions only. The lexicon is written and broadcast if it has at most BROADCAST_ROWS rows,
+else joined by a shuffle; as the document frequencies sum to the number of documents times the mean
+number m of distinct terms, at most m * exp(BAND[1]) terms are in the band. Terms outside it are dropped
+by that join, so what is shuffled per document is its terms within the band. The next document is found
+by a window over ranges of doc_id, whose borders are quantiles of the ids, so that outlying ids don't
+matter; an id that holds several quantiles is cut by a hash of the text. Only each range's first row
+meets the range before. What a document's terms give is written once, for it is read twice.
 
 Defined results: null text counts as empty; rows come in the order of descending doc_id, then a hash
 of the text, so repeated rows follow each other; rows with a null doc_id have no next document (an
 empty one); texts without a term in any subset get a fingerprint of the whole text; the likeness of
-two such is 1 if they are equal, else 0; other columns aren't looked at; an empty table gives no rows.
+two such is 1 if they are equal, else 0; equal texts have equal fingerprints, whatever rows they stand
+in; a very long text is cut into its terms in one task, at a multiple of its length; other columns
+aren't looked at; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,9 +37,13 @@ RATES = (16, 64, 256, 1024)
 SUBSETS = 16
 #: Bits of a term's hash in a mark.
 BITS = 25
-#: Documents in a range of doc_id, about; and the most ranges.
-RANGE = 256
-MOST_RANGES = 8192
+#: Documents in a range of doc_id, about; ranges grow beyond MOST_RANGES, which a window in one task chains.
+RANGE = 1024
+MOST_RANGES = 1 << 18
+#: Quantiles of doc_id that are asked for; in larger tables the ranges between two of them are of equal width.
+QUANTILES = 4096
+#: Most rows of the lexicon that are broadcast.
+BROADCAST_ROWS = 2_000_000
 WHOLE = 192  # codes from here on: parts of a whole text's hash
 
 
@@ -56,15 +64,49 @@ def lexicon(docs: DataFrame, n: int, band: tuple[float, float]) -> DataFrame:
     return df.where((idf >= band[0]) & (idf < band[1])).select("term", F.explode(F.array_compact(F.array(*marks))).alias("mark"))
 
 
-def with_next(rows: DataFrame, low: int, width: int, column: str, name: str, tie: Column) -> DataFrame:
+def borders(docs: DataFrame, n: int) -> tuple[list[int], int]:
+    """Quantiles of doc_id in ascending order, with repetitions, and the parts into which each gap is cut."""
+    ranges = min(MOST_RANGES, -(-max(n, 1) // RANGE))
+    asked = min(ranges, QUANTILES)
+    found = docs.agg(F.percentile_approx("doc_id", [k / asked for k in range(asked + 1)], 8 * QUANTILES)).first()[0] or []
+    return sorted(found), -(-ranges // asked)
+
+
+def in_range(quantiles: list[int], cuts: int, tie: Column) -> Column:
+    """The number of a row's range; numbers descend in the order of the rows.
+
+    A quantile's place is found among every 64th one first, then among those between.
+    """
+    steps: dict[int, int] = {}
+    for q in quantiles or [0]:
+        steps[q] = steps.get(q, 0) + 1
+    ids = list(steps)
+    longs = lambda values: F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")  # noqa: E731  folded to a literal
+    below = lambda values: F.size(F.filter(values, lambda v: v <= F.col("doc_id")))
+    block = F.greatest(below(longs(ids[::64])), F.lit(1))
+    place = F.greatest((block - 1) * 64 + below(F.slice(longs(ids), (block - 1) * 64 + 1, 64)), F.lit(1))
+    # rows of the quantile itself are cut by the tie, which ascends, if it holds several quantiles; those above it by doc_id
+    low, held = F.element_at(longs(ids), place), F.element_at(longs(steps.values()), place)
+    by_tie = held - 1 - F.least(F.floor((tie / F.lit(2.0**64) + 0.5) * held), held - 1)
+    gap = F.lit(0)
+    if cuts > 1:
+        width = F.element_at(longs([max(1, -(-(b - a) // cuts)) for a, b in zip(ids, [*ids[1:], 1 << 63])]), place)
+        gap = F.least(F.floor((F.col("doc_id").cast("decimal(20,0)") - low) / width), F.lit(1 << 20))
+    inner = F.when(F.col("doc_id") <= low, by_tie).otherwise(held + gap)
+    # rows without a doc_id have no order; they are dealt out
+    return F.when(F.col("doc_id").isNotNull(), place.cast("long") * (1 << 21) + inner.cast("long")).otherwise(-1 - F.pmod(tie, F.lit(QUANTILES)))
+
+
+def with_next(rows: DataFrame, place: Column, column: str, name: str, tie: Column) -> DataFrame:
     """Adds `column` of the next row, by descending doc_id and tie, as `name`; after the last row comes the first.
 
-    rows is read twice: in full, and to find each range's first row, of which there are MOST_RANGES at most.
+    place: the row's range. rows is read twice: in full, and to find each range's first row.
     """
-    ranged = rows.withColumn("range", F.floor((F.col("doc_id").cast("decimal(20,0)") - low) / width).cast("long"))
+    ranged = rows.withColumn("range", place)
     tops = ranged.where("doc_id is not null").groupBy("range").agg(F.max("doc_id").alias("top"))
     chain = tops.select("range", F.coalesce(F.lead("range").over(Window.orderBy(F.desc("range"))), F.first("range").over(Window.orderBy(F.desc("range")))).alias("follows"))
-    firsts = ranged.join(F.broadcast(tops.select("top")), F.col("doc_id") == F.col("top")).groupBy("range").agg(F.min_by(column, tie).alias("head"))
+    highest = F.broadcast(tops.select(F.col("range").alias("of"), "top"))  # a row for each range
+    firsts = ranged.join(highest, (F.col("range") == F.col("of")) & (F.col("doc_id") == F.col("top"))).groupBy("range").agg(F.min_by(column, tie).alias("head"))
     links = chain.join(firsts.withColumnRenamed("range", "follows"), "follows").select(F.col("range").alias("of"), "head")
     own = Window.partitionBy("range").orderBy(F.desc("doc_id"), tie)
     placed = ranged.withColumn(name, F.lead(column).over(own)).withColumn("after", F.lead("doc_id").over(own))
@@ -103,22 +145,24 @@ def printed(a: Column) -> Column:
 def fingerprints(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    n, low, high = docs.agg(F.count("*"), F.min("doc_id"), F.max("doc_id")).first()
-    low, high = low or 0, high or 0
-    width = max(1, -(-(high - low + 1) // min(MOST_RANGES, -(-max(n, 1) // RANGE))))
+    n = docs.count()
+    quantiles, cuts = borders(docs, n)
     half = F.floor(F.length("text") / 2).cast("int")
-    rows = with_next(docs, low, width, "text", "next", F.xxhash64("text"))
+    rows = with_next(docs, in_range(quantiles, cuts, F.xxhash64("text")), "text", "next", F.xxhash64("text"))
     edited = F.concat(F.substring("text", 1, F.length("text") - half), F.substring(F.coalesce("next", F.lit("")), F.lit(1), half))
     rows = rows.select("doc_id", "text", edited.alias("edited"), F.xxhash64("text").alias("of_text"), F.xxhash64(edited).alias("of_edited"))
+    known = materialize(lexicon(docs, n, band), "lexicon")
+    known = F.broadcast(known) if known.count() <= BROADCAST_ROWS else known
 
     # one row for each text of a document, one more for what else is returned
     said = F.concat_ws(":", F.length("text").cast("string"), F.sha2(F.col("edited").cast("binary"), 256))
     sides = rows.select("doc_id", "of_text", "of_edited", F.posexplode(F.array(F.col("text"), F.col("edited"), said)).alias("side", "own"))
     words = sides.select("doc_id", "of_text", "of_edited", "side", F.explode(F.when(F.col("side") == 2, F.array("own")).otherwise(terms(F.col("own")))).alias("word"))
     hashed = words.select("doc_id", "of_text", "of_edited", "side", F.when(F.col("side") < 2, F.xxhash64("word")).alias("term"), F.when(F.col("side") == 2, F.col("word")).alias("said"))
-    banded = hashed.join(F.broadcast(lexicon(docs, n, band)), "term", "left").where("side = 2 or mark is not null")
+    banded = hashed.join(known, "term", "left").where("side = 2 or mark is not null")
     grouped = banded.groupBy("doc_id", "of_text", "of_edited").agg(F.collect_list(F.when(F.col("side") == 0, F.col("mark"))).alias("a"), F.collect_list(F.when(F.col("side") == 1, F.col("mark"))).alias("b"), F.max("said").alias("said"), F.count("said").alias("times"))
-    once = lambda c: F.when(F.col("times") > 1, F.array_distinct(c)).otherwise(F.col(c))  # noqa: E731  repeated rows
+    # marks are made distinct in every row: repeated rows repeat them, and so may terms whose hashes meet in a mark
+    once = F.array_distinct
     made = grouped.select("doc_id", "of_text", F.split("said", ":").alias("said"), parts(once("a"), F.col("of_text")).alias("own"), parts(once("b"), F.col("of_edited")).alias("edited"), F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("copy")).drop("copy")
-    beside = with_next(materialize(made, "fingerprints"), low, width, "own", "next", F.col("of_text"))
+    beside = with_next(materialize(made, "fingerprints"), in_range(quantiles, cuts, F.col("of_text")), "own", "next", F.col("of_text"))
     return beside.select("doc_id", F.col("said")[0].cast("long").alias("n_chars"), F.col("said")[1].alias("edited_sha256"), printed(F.col("own")).alias("fingerprint"), printed(F.col("edited")).alias("edited_fingerprint"), likeness(F.col("own"), F.col("edited")).alias("near_edited"), F.when(F.col("next").isNull(), F.lit(0.0)).otherwise(likeness(F.col("own"), F.col("next"))).alias("near_next"))
