@@ -10,15 +10,18 @@ space); with fewer words the whole sequence is the one element. Documents are li
    of signature values and dropped once the posterior chance of reaching the threshold is below
    the chosen miss probability; survivors are verified on the full sets.
 3. Links make components. Buckets whose members all lie in one component are settled. In the others
-   each pair of members from different components is compared, in blocks, and survivors verified. So
-   no link that could join components is left out, and large groups of near copies cost no pair each.
+   the members outside the bucket's largest component are compared with all members of other components,
+   in blocks, and survivors verified. So no link that could join components is left out, and large
+   groups of near copies cost no pair each. Of two components' pairs whose long sets must be verified
+   apart, the most alike come first; the rest follows, more each time, while these leave them apart.
 
 Chance to miss a link at the threshold itself: 1e-4 by the bands (48 of 6 values), MISS by the
 pruning; far less above it.
 
 Defined results: null or blank text has an empty set and no links; a doc_id with several rows links
-if any of its rows does; rows with a null doc_id have no component and are kept; other columns are
-not looked at; an empty table gives no rows.
+if any of its rows does; rows with a null doc_id have no component and are kept; a very long text is
+hashed in one task, at a multiple of its length; other columns are not looked at; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -43,8 +46,10 @@ THRESHOLD = (75, 100)
 #: A pair is dropped if the posterior chance that it reaches the threshold falls below this.
 MISS = 1e-5
 BATCH = 32
-#: Members of a bucket compared at once; larger buckets are cut into blocks, each pair of blocks apart.
-BLOCK = 512
+#: Members of a bucket outside its largest component that are compared at once, and with how many others, about.
+BLOCK, CHUNK = 512, 4096
+#: Of two components' pairs with long sets in a block, so many are verified at first; then UNSURE_GROWS times as many.
+UNSURE, UNSURE_GROWS = 8, 16
 #: Members verified against one copy of a centre's text; beyond it the centre is salted.
 STAR = 256
 #: Elements of a set that travels with a bucket's member; pairs with a larger set are verified apart.
@@ -246,26 +251,36 @@ def short_sets(docs: DataFrame, wanted: DataFrame, rows: int) -> DataFrame:
     return found.groupBy("id").agg(F.count("*").alias("n"), F.max("set").alias("set")).where("n = 1 and set is not null").select("id", "set")
 
 
-def between_components(shared: DataFrame, labels: DataFrame, signatures: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs a, b of bucket members from different components, and whether their full sets have been verified.
+def between_components(shared: DataFrame, labels: DataFrame, signatures: DataFrame, docs: DataFrame, unsure: int) -> DataFrame:
+    """Pairs a, b of bucket members from different components, whether their full sets have been verified, and whether more are like them.
 
     shared: key, id of buckets with several members; labels: id, component where it isn't the id itself.
     Sets of up to CARRIED elements travel with the members and are compared at once; of those pairs
-    only links come out, and within a block none between components that another link has joined.
+    only links come out, and within a block none between components that another link has joined. Of
+    pairs with a larger set, at most `unsure` come out of a block for two components.
     """
     own = shared.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    mixed = own.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    members = materialize(own.join(mixed.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "key"), "members")
+    mixed = materialize(own.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key"), "mixed")
+    members = materialize(own.join(mixed, "key"), "members")
     wanted = materialize(members.select(F.col("id").alias("doc_id")).distinct(), "members")
     sets = short_sets(docs, wanted, wanted.count())
-    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    # a member meets the members of its own block and of each other block
-    dealt = members.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "id", "component", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), (F.col("block") > F.col("other")).cast("int").alias("side"))
+    by_component = members.groupBy("key", "component").agg(F.count("*").alias("n"))
+    sizes = by_component.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("largest"))
+    # written, so that the join may split a large bucket
+    sizes = materialize(sizes.select("key", F.col("largest.component").alias("main"), F.ceil((F.col("n") - F.col("largest.n")) / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")), "buckets")
+    placed = members.join(sizes, "key").withColumn("minor", F.col("component") != F.col("main"))
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    of = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "id"), F.col(n)).cast("int")
+    # a cell holds a block of members outside the largest component (side 0) and a chunk of all members (side 1)
+    some = placed.where("minor").select("key", "id", "component", "minor", of(1, "blocks").alias("x"), upto("chunks").alias("y"), F.lit(0).alias("side"))
+    every = placed.select("key", "id", "component", "minor", upto("blocks").alias("x"), of(2, "chunks").alias("y"), F.lit(1).alias("side"))
+    dealt = some.unionByName(every)
     rows = dealt.join(signatures.select("id", F.concat("low", "high").alias("sig")), "id").join(sets, "id", "left").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "side", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def compare(group: tuple, ids: list, comps: list, sides: list, sigs: list, sets: list) -> pa.RecordBatch:
-            i, c, s = np.array(ids), np.array(comps), np.array(sides)
+        def compare(key: int, ids: list, comps: list, minor: list, sides: list, sigs: list, sets: list) -> pa.RecordBatch:
+            i, c, second = np.array(ids), np.array(comps), np.array(sides) == 1
+            alone = second & ~np.array(minor)
             both = np.frombuffer(b"".join(sigs), np.uint8).reshape(-1, 2, SIZE)
             m, whole = both[:, 0], both[:, 0] | both[:, 1].astype(np.uint16) << 8
             own = [None if x is None else np.frombuffer(x, np.uint64) for x in sets]
@@ -276,64 +291,81 @@ def between_components(shared: DataFrame, labels: DataFrame, signatures: DataFra
                     x = roots[x]
                 return x
 
-            out: tuple[list, list, list] = ([], [], [])
-            for k in range(len(i)):
-                rest = np.arange(k + 1, len(i))
-                rest = rest[c[rest] != c[k]]
-                if group[1] != group[2]:
-                    rest = rest[s[rest] != s[k]]
+            out: tuple[list, list, list, list] = ([], [], [], [])
+            apart: dict[tuple[int, int], list] = {}
+            for k in np.flatnonzero(~second).tolist():
+                # two members outside the largest component meet twice and are compared once
+                rest = np.flatnonzero((alone | second & (i > i[k])) & (c != c[k]))
                 if not len(rest):
                     continue
                 first = (whole[rest] == whole[k]).reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1)
-                rest = rest[first == group[0] & 63]  # a pair is compared in its first common bucket, by all 16 bits as the keys are
+                rest = rest[first == key & 63]  # a pair is compared in its first common bucket, by all 16 bits as the keys are
                 rest = rest[surviving(np.broadcast_to(m[k], (len(rest), SIZE)), m[rest])]
                 for n in rest.tolist():
-                    sure = own[k] is not None and own[n] is not None
-                    if sure:
-                        one, other = root(comps[k]), root(comps[n])
-                        if one == other or not linked(own[k], own[n]):
-                            continue
+                    one, other = root(comps[k]), root(comps[n])
+                    if one == other:
+                        continue
+                    pair = min(ids[k], ids[n]), max(ids[k], ids[n])
+                    if own[k] is None or own[n] is None:
+                        apart.setdefault((min(comps[k], comps[n]), max(comps[k], comps[n])), []).append((-int((whole[k] == whole[n]).sum()), *pair))
+                    elif linked(own[k], own[n]):
                         roots[max(one, other)] = min(one, other)
-                    out[0].append(min(ids[k], ids[n])), out[1].append(max(ids[k], ids[n])), out[2].append(sure)
-            return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.bool_())], ["a", "b", "sure"])
-
-        group, held = None, ([], [], [], [], [])
+                        for col, v in zip(out, (*pair, True, False)):
+                            col.append(v)
+            for (one, other), pairs in apart.items():
+                if root(one) != root(other):
+                    for _, a, b in sorted(pairs)[:unsure]:
+                        for col, v in zip(out, (a, b, False, len(pairs) > unsure)):
+                            col.append(v)
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.bool_(), pa.bool_()))], ["a", "b", "sure", "more"])
+
+        cell, held = None, ([], [], [], [], [], [])
         for batch in batches:
-            key, ids, comps, x, y, side, sig, full = (batch.column(n).to_pylist() for n in batch.schema.names)
+            key, x, y, *cols = (batch.column(n).to_pylist() for n in batch.schema.names)
             for k in range(len(key)):
                 at = (key[k], x[k], y[k])
-                if at != group:
+                if at != cell:
                     if len(held[0]) > 1:
-                        yield compare(group, *held)
-                    group, held = at, ([], [], [], [], [])
-                for col, v in zip(held, (ids[k], comps[k], side[k], sig[k], full[k])):
-                    col.append(v)
+                        yield compare(cell[0], *held)
+                    cell, held = at, ([], [], [], [], [], [])
+                for col, v in zip(held, cols):
+                    col.append(v[k])
         if len(held[0]) > 1:
-            yield compare(group, *held)
+            yield compare(cell[0], *held)
 
-    return rows.select("key", "id", "component", "x", "y", "side", "sig", "set").mapInArrow(run, "a long, b long, sure boolean").distinct()
+    return rows.select("key", "x", "y", "id", "component", "minor", "side", "sig", "set").mapInArrow(run, "a long, b long, sure boolean, more boolean").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs."""
     table = materialize(described(docs), "signatures")
-    first = table.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("id"))
-    signatures = table.where("digest is not null and doc_id is not null").withColumnRenamed("doc_id", "id").select("id", "digest", "low", "high")
+    known = table.where("digest is not null and doc_id is not null")
+    first = materialize(known.groupBy("digest").agg(F.min("doc_id").alias("id")), "classes")
+    signatures = known.withColumnRenamed("doc_id", "id").select("id", "digest", "low", "high")
     classes = signatures.join(first, ["id", "digest"], "left_semi")
     rows = band_rows(classes)
-    many = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    # the sides of joins by bucket are written, so that the joins may split large buckets
+    many = materialize(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "keys")
     shared = materialize(rows.join(many, "key"), "buckets")
     popular = shared.groupBy("id").agg(F.sum("n").alias("popular"))
-    centres = shared.join(popular, "id").groupBy("key").agg(F.max(F.struct("popular", (-F.col("id")).alias("negative"))).alias("best")).select("key", (-F.col("best.negative")).alias("a"))
+    centres = shared.join(popular, "id").groupBy("key").agg(F.max(F.struct("popular", (-F.col("id")).alias("negative"))).alias("best"))
+    centres = materialize(centres.select("key", (-F.col("best.negative")).alias("a")), "centres")
     stars = shared.join(centres, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct()
     kept_classes = signatures.join(shared.select("id").distinct(), "id", "left_semi")
     star_pairs = materialize(pruned(stars, kept_classes), "pairs")
     links = materialize(verified(star_pairs, docs), "links")
     labels = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    more_pairs = materialize(between_components(shared.select("key", "id"), labels, kept_classes, docs), "pairs")
-    more = more_pairs.where("sure").select("a", "b").unionByName(verified(more_pairs.where("not sure").select("a", "b"), docs))
-    joined = labels.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(more.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    final = components(joined)
-    whole = table.select("doc_id", "n_shingles", "digest").join(first.join(final, "id", "left").select("digest", F.coalesce("component", "id").alias("component_id")), "digest", "left")
+    unsure = UNSURE
+    while True:
+        found = materialize(between_components(shared.select("key", "id"), labels, kept_classes, docs, unsure), "pairs")
+        more = found.where("sure").select("a", "b").unionByName(verified(found.where("not sure").select("a", "b").distinct(), docs))
+        joined = labels.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(more.select(F.col("a").alias("u"), F.col("b").alias("v")))
+        labels = components(joined)
+        if found.where("more").isEmpty():
+            break
+        unsure *= UNSURE_GROWS
+    # written, so that the join may split a text with many copies
+    named = materialize(first.join(labels, "id", "left").select("digest", F.coalesce("component", "id").alias("component_id")), "classes")
+    whole = table.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return whole.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

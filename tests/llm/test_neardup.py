@@ -60,14 +60,35 @@ def test_equals_brute_force(spark):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
-def test_large_group_in_blocks_and_long_sets(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "BLOCK", 8)
-    monkeypatch.setattr(neardup, "CARRIED", 100)
+@pytest.mark.parametrize("unsure", [1, 8])
+def test_large_group_in_blocks_and_long_sets(spark, monkeypatch, unsure):
+    for name, value in (("BLOCK", 3), ("CHUNK", 8), ("CARRIED", 100), ("UNSURE", unsure), ("UNSURE_GROWS", 2)):
+        monkeypatch.setattr(neardup, name, value)
     rows = corpus(8)
     got = neardup.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows)
 
 
+def test_a_bucket_with_one_foreign_member_isn_t_copied(spark):
+    """Every member of a large component meets one outside it once, and that link is found."""
+    words = [f"w{k}" for k in range(100)]
+    docs = [(0, " ".join(words), "k", 1), *((k, " ".join(words[:-1] + [f"x{k}"]), "k", 1) for k in range(1, 900))]
+    one = bytes(neardup.SIZE)
+    signatures = spark.createDataFrame([(k, one, one) for k in range(900)], "id long, low binary, high binary")
+    shared = spark.createDataFrame([(64, k) for k in range(900)], "key long, id long")
+    labels = spark.createDataFrame([(k, 1) for k in range(2, 900)], "id long, component long")
+    found = neardup.between_components(shared, labels, signatures, spark.createDataFrame(docs, SCHEMA), 8)
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == 1 and got[0][0] == 0 and got[0][2:] == (True, False)
+
+
+def test_very_long_texts(spark):
+    text = " ".join(f"w{k}" for k in range(60_000))
+    rows = [(1, text, "k", 1), (2, text + " more", "k", 1), (3, "x" * 500_000, "k", 1)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {1: (59_996, 1), 2: (59_997, 1), 3: (1, 3)}
+
+
 def test_repeats_nulls_and_empty(spark):
     rows = [(5, "a b c d e f", "k", 1), (5, "a b c d e f", "k", 1), (None, "a b c d e f", "k", 1), (3, "A B C D E F", "k", 1)]
     got = sorted((r.doc_id or -1, r.component_id, r.kept) for r in neardup.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect())
@@ -101,4 +122,4 @@ def test_first_common_bucket_by_whole_values(spark):
     signatures = spark.createDataFrame([(1, low, bytes(neardup.SIZE)), (2, low, bytes(high))], "id long, low binary, high binary")
     shared = spark.createDataFrame([(64 + 1, 1), (64 + 1, 2)], "key long, id long")
     labels = spark.createDataFrame([], "id long, component long")
-    assert [tuple(r) for r in neardup.between_components(shared, labels, signatures, docs).collect()] == [(1, 2, True)]
+    assert [tuple(r) for r in neardup.between_components(shared, labels, signatures, docs, 8).collect()] == [(1, 2, True, False)]
