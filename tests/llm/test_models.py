@@ -31,6 +31,43 @@ def test_forward_sums_all_segmentations():
     assert np.isfinite(cuts.scores(["thing" * 2000, "語" * 500], table)).all()
 
 
+def cuts_of(s, entries):
+    """Every way to cut s into entries or single letters that are none, as rows of the table."""
+    for bits in product([0, 1], repeat=len(s) - 1):
+        ends = [0, *(i + 1 for i, b in enumerate(bits) if b), len(s)]
+        parts = [s[a:b] for a, b in zip(ends, ends[1:])]
+        if all(p in entries or len(p) == 1 for p in parts):
+            yield [entries.get(p, len(entries)) for p in parts]
+
+
+def test_expected_uses_equal_brute_force(monkeypatch):
+    entries = {p: k for k, p in enumerate(sorted(["▁", "▁a", "a", "b", "ab", "ba", "bab", "▁ab"]))}
+    words, times = ["abab", "b", "aab", "babxa"], np.array([3.0, 5.0, 2.0, 1.0])
+    cuts = langid.Segmentations(entries)
+    weights = np.full(cuts.size, 1.0 / cuts.size)
+    for _ in range(2):
+        counts = np.full(cuts.size, langid.FLOOR)
+        for word, n in zip(words, times):
+            ways = list(cuts_of("▁" + word, entries))
+            chances = np.array([np.prod(weights[w]) for w in ways])
+            for way, chance in zip(ways, chances / chances.sum()):
+                np.add.at(counts, way, n * chance)
+        counts[-1] = 0
+        weights = counts / counts.sum()
+        weights[-1] = langid.STRANGE
+    assert np.allclose(cuts.expected(words, times, 2), weights)
+    monkeypatch.setattr(langid, "LONG", 2)  # the same if words are scaled
+    assert np.allclose(cuts.expected(words, times, 2), weights)
+
+
+def test_long_words_and_all_languages_count():
+    entries = langid.vocabulary(MODEL)
+    many = [(f"l{k:03d}", [f"word{'abcdefghij'[k % 10]}", "thing" * 300], [2, 1]) for k in range(300)]
+    model = langid.fit(iter(many), entries)
+    assert len(model.langs) == 300 and np.isfinite(model.table).all() and np.isfinite(model.typical).all()
+    assert max(map(len, entries)) > 12
+
+
 def test_language_on_held_out(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     got = langid.identify(docs, MODEL).join(docs.select("doc_id", "lang"), "doc_id").collect()
@@ -46,6 +83,8 @@ def test_language_edges(spark):
     got = {r.doc_id: r for r in langid.identify(spark.createDataFrame(rows, SCHEMA), MODEL).collect()}
     assert [got[k].lang_pred for k in (100, 101, 102, None, 103)] == ["und", "und", "und", "en", "en"]
     assert got[100].score == 0.0 and got[None].held_out is False
+    twice = langid.identify(spark.createDataFrame(rows + rows, SCHEMA), MODEL).collect()
+    assert len(twice) == 2 * len(rows) and {(r.doc_id, r.lang_pred) for r in twice} == {(r.doc_id, r.lang_pred) for r in got.values()}
     empty = spark.createDataFrame([], SCHEMA)
     assert langid.identify(empty, MODEL).count() == 0
     unlabelled = spark.createDataFrame([(1, "the", None, "s", 1)], SCHEMA)

@@ -33,3 +33,29 @@ def test_stages_on_odd_rows(spark, sf_dir, tmp_path):
     assert sorted(str(r.doc_id) for r in after.collect()) == ["1", "3", "None"]
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs.limit(0), sf_dir).count() == 0
+
+
+FOREIGN = [
+    "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.",
+    "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa.",
+    "Все люди рождаются свободными и равными в своем достоинстве и правах.",
+    "qzx vvkj xqw zzpt kqjx wvvz " * 20,
+]
+
+
+def test_language_stage_drops_foreign_texts_and_keeps_the_others(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    planted = spark.createDataFrame([(10_000_000 + k, t, None, "s", len(t)) for k, t in enumerate(FOREIGN)], docs.schema)
+    before = {r.doc_id: r for r in docs.collect()}
+    after = {r.doc_id for r in corpus_pipeline.keep_known_language(spark, docs.unionByName(planted), sf_dir).collect()}
+    assert not {d for d in after if d >= 10_000_000}
+    gone = [r.text for d, r in before.items() if d not in after]
+    assert len(gone) <= 0.02 * len(before), gone
+
+
+def test_packing_on_odd_rows(spark, sf_dir):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, length int, sequence_id string"
+    rows = [(1, "some words", "en", "s", 1, 0, None), (1, "some words", "en", "s", 1, 0, None), (2, None, None, "s", 1, None, None), (None, "", "en", "s", 1, 0, None)]
+    got = corpus_pipeline.pack(spark, spark.createDataFrame(rows, schema), sf_dir).collect()
+    assert sorted((r.doc_id or 0, r.length) for r in got) == [(0, 1), (1, 3), (1, 3), (2, 1)]
+    assert corpus_pipeline.pack(spark, spark.createDataFrame([], schema), sf_dir).count() == 0
