@@ -4,9 +4,9 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 of documents, whatever they are. run() applies them in order and writes each stage's result in the
 shared scratch folder before the next reads it.
 
-Defined results: rows with null text have no language and go in the second stage; repeated rows of a
-doc_id are one document in the third; rows with a null doc_id are never near duplicates; an empty
-table passes through.
+Defined results: rows with null text, without letters or in a language that no labelled document shows
+go in the second stage; repeated rows of a doc_id are one document in the third; rows with a null
+doc_id are never near duplicates; an empty table passes through.
 """
 
 from __future__ import annotations
@@ -19,8 +19,10 @@ from quarryline.llm.queries import tokenizer_path
 from quarryline.sources.scratch import materialize
 from quarryline.sources.tables import table
 
-#: A document goes if its best language's posterior, on the evidence of a few words, is below this.
+#: A document goes if its best language's posterior, on the evidence of a few words, is below this,
 LEAST_CERTAINTY = 0.4
+#: or if it takes so many times the nats a letter that its best language's own words take: another language, or no language.
+MOST_STRANGENESS = 2.2
 
 
 def unused(docs: DataFrame, *names: str) -> tuple[str, ...]:
@@ -42,10 +44,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the labelled documents show."""
+    """Documents in a language that the labelled documents show; others fit no model, and go."""
     model = langid.train(docs, tokenizer_path("piece_bpe_32k.model"))
-    names = unused(docs, "lang_pred", "score")
-    kept = (F.col(names[0]) != "und") & (F.col(names[1]) >= LEAST_CERTAINTY)
+    names = unused(docs, "lang_pred", "score", "strangeness")
+    kept = (F.col(names[0]) != "und") & (F.col(names[1]) >= LEAST_CERTAINTY) & (F.col(names[2]) <= MOST_STRANGENESS)
     return langid.predict(docs, model, names).where(kept).select(*docs.columns)
 
 
