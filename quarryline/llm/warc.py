@@ -2,9 +2,9 @@
 
 Records are sorted by page_id over ranges of pages. Each task writes its range as files of
 gzip members, one a record, and begins a new file once the compressed size passes `roll_bytes`. Files
-are written under temporary names that no other attempt uses. The attempts that succeed tell the
-driver their files through a manifest; only those are renamed to their final names, and the manifest
-is written last. Lost executors and repeated attempts therefore leave no half-written archive, and
+are written under temporary names that no other attempt uses. The attempts that succeed list their
+files in a table; tasks rename only those to their final names, and the manifest, a folder of JSON
+lines, is written last. The driver sees no list of files. Lost executors and repeated attempts therefore leave no half-written archive, and
 contents don't depend on who wrote them: record ids, dates and headers follow from the rows alone.
 
 Of records with equal payloads of at least `least_bytes`, the smallest page_id is a response, others
@@ -23,7 +23,6 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
-import json
 import posixpath
 import re
 import uuid
@@ -41,6 +40,9 @@ DATE = "2020-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ROLL_BYTES = 64 << 20
 ENDING = b"\r\n\r\n"
+MANIFEST = "name string, records long, bytes long, sha256 string"
+#: Most tasks that read archives.
+FILES_READ = 50_000
 
 
 def record_id(page_id: int | None) -> str:
@@ -97,13 +99,35 @@ def with_firsts(pages: DataFrame, least_bytes: int) -> DataFrame:
     # the payload's hash is a key only; digests are made anew from the payloads when records are written
     keyed = rows.where(F.octet_length("html") >= least_bytes).select("page_id", "url", F.sha2(F.col("html").cast("binary"), 256).alias("key"))
     firsts = keyed.groupBy("key").agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
+    firsts = materialize(firsts, "firsts")  # written, so that the join may split a payload of many pages
     told = keyed.select("page_id", "key").join(firsts, "key").select("page_id", "key", F.col("first.page_id").alias("first"), F.col("first.url").alias("first_url")).where("not (page_id <=> first)").distinct()
     none = F.lit(None).cast("string")
     told = told.select("page_id", F.lit(0).alias("part"), none.alias("url"), none.alias("html"), "key", "first", "first_url")
     return rows.select("page_id", F.lit(1).alias("part"), "url", "html", none.alias("key"), F.lit(None).cast("long").alias("first"), none.alias("first_url")).unionByName(told)
 
 
-def write_archives(pages: DataFrame, to: str, least_bytes: int = 0, roll_bytes: int = ROLL_BYTES) -> list[dict]:
+def committed(files: DataFrame, to: str) -> DataFrame:
+    """Renames the files (shard, roll, at, ...) to their final names and returns name, records, bytes, sha256.
+
+    A task that runs again finds a file renamed already, and leaves it.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = file_system(to)
+        for batch in batches:
+            shard, roll, at = (batch.column(k).to_pylist() for k in range(3))
+            names = [f"pages-{s:06d}-{r:06d}.warc.gz" for s, r in zip(shard, roll)]
+            for one, name in zip(at, names):
+                if system.get_file_info(one).type.name == "File":
+                    system.move(one, posixpath.join(root, name))
+                elif system.get_file_info(posixpath.join(root, name)).type.name != "File":
+                    raise FileNotFoundError(one)
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *batch.columns[3:]], ["name", "records", "bytes", "sha256"])
+
+    return files.select("shard", "roll", "at", "records", "bytes", "sha256").mapInArrow(run, MANIFEST)
+
+
+def write_archives(pages: DataFrame, to: str, least_bytes: int = 0, roll_bytes: int = ROLL_BYTES) -> DataFrame:
     """Writes all records below `to` and returns the manifest: name, records, bytes, sha256 of each file."""
     spark = pages.sparkSession
     prepared = with_firsts(pages, least_bytes)
@@ -148,19 +172,11 @@ def write_archives(pages: DataFrame, to: str, least_bytes: int = 0, roll_bytes:
 
     # the list of files is written before any is renamed: a task that runs again can't change it
     files = materialize(ordered.mapInArrow(run, "shard int, roll int, at string, records long, bytes long, sha256 string"), "archives")
+    committed(files, to).write.json(f"{to}/manifest")
     system, root = file_system(to)
-    manifest = []
-    for f in files.orderBy("shard", "roll").toLocalIterator():  # a row for each file of roll_bytes
-        name = f"pages-{f['shard']:06d}-{f['roll']:06d}.warc.gz"
-        system.move(f["at"], posixpath.join(root, name))
-        manifest.append({"name": name, "records": f["records"], "bytes": f["bytes"], "sha256": f["sha256"]})
     if system.get_file_info(f"{root}/temporary").type.name == "Directory":
         system.delete_dir(f"{root}/temporary")  # what other attempts left
-    system.create_dir(root, recursive=True)
-    with system.open_output_stream(f"{root}/manifest.part") as out:
-        out.write(json.dumps(manifest, indent=1).encode("utf-8"))
-    system.move(f"{root}/manifest.part", f"{root}/manifest.json")
-    return manifest
+    return spark.read.schema(MANIFEST).json(f"{to}/manifest")
 
 
 def records_in(stream) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -178,10 +194,11 @@ def records_in(stream) -> Iterator[tuple[dict[str, str], bytes]]:
         yield headers, block
 
 
-def read_archives(spark: SparkSession, root: str, manifest: list[dict]) -> DataFrame:
+def read_archives(spark: SparkSession, root: str, manifest: DataFrame) -> DataFrame:
     """page_id, url, record_type, payload_bytes, payload_digest, refers_to, payload (null for revisits) of each record."""
     schema = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
-    names = spark.createDataFrame([(m["name"],) for m in manifest], "name string").repartition(max(1, min(len(manifest), 4096)))
+    files = manifest.count()
+    names = manifest.select("name").repartition(max(1, min(files, FILES_READ)), "name")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base = file_system(root)

@@ -2,7 +2,6 @@ import base64
 import gzip
 import hashlib
 import io
-import json
 import os
 
 import pytest
@@ -44,13 +43,26 @@ def test_round_trip(spark, tmp_path, least):
     pages = spark.createDataFrame(ROWS, SCHEMA)
     to = f"file://{tmp_path}/archives"
     manifest = warc.write_archives(pages, to, least, roll_bytes=200)
-    assert sum(m["records"] for m in manifest) == len(ROWS) and len(manifest) > 3
+    listed = sorted(manifest.collect())
+    assert sum(m.records for m in listed) == len(ROWS) and len(listed) > 3
     got = warc.read_archives(spark, to, manifest).collect()
     assert sorted(str((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to)) for r in got) == want(ROWS, least)
     texts = {(r[0], r[2] or "") for r in ROWS}
     assert all((r.page_id, bytes(r.payload).decode()) in texts for r in got if r.record_type == "response")
     assert not os.path.exists(tmp_path / "archives/temporary")
-    assert json.load(open(tmp_path / "archives/manifest.json")) == manifest
+    for m in listed:
+        data = (tmp_path / "archives" / m.name).read_bytes()
+        assert (len(data), hashlib.sha256(data).hexdigest()) == (m.bytes, m.sha256)
+    assert os.path.exists(tmp_path / "archives/manifest/_SUCCESS")
+
+
+def test_renaming_again_does_no_harm(spark, tmp_path):
+    (tmp_path / "temporary").mkdir()
+    (tmp_path / "temporary/x").write_bytes(b"data")
+    files = spark.createDataFrame([(0, 0, f"{tmp_path}/temporary/x", 1, 4, "h")], "shard int, roll int, at string, records long, bytes long, sha256 string")
+    for _ in range(2):
+        assert warc.committed(files, f"file://{tmp_path}").collect() == [("pages-000000-000000.warc.gz", 1, 4, "h")]
+    assert (tmp_path / "pages-000000-000000.warc.gz").read_bytes() == b"data"
 
 
 def test_same_files_from_any_partitioning(spark, tmp_path):
@@ -58,8 +70,8 @@ def test_same_files_from_any_partitioning(spark, tmp_path):
     made = []
     for n in (1, 7):
         to = f"file://{tmp_path}/{n}"
-        made.append(warc.write_archives(pages.repartition(n), to, 0, roll_bytes=1 << 30))
-    content = [b"".join(gzip.open(tmp_path / str(n) / m["name"]).read() for m in x) for n, x in zip((1, 7), made)]
+        made.append(warc.write_archives(pages.repartition(n), to, 0, roll_bytes=1 << 30).orderBy("name").collect())
+    content = [b"".join(gzip.open(tmp_path / str(n) / m.name).read() for m in x) for n, x in zip((1, 7), made)]
     assert content[0] == content[1]
     assert [h["warc-type"] for h, _ in warc.records_in(io.BytesIO(content[0]))].count("revisit") == 3
 
@@ -72,4 +84,4 @@ def test_record_ids_hold_page_ids():
 def test_empty(spark, tmp_path):
     to = f"file://{tmp_path}/none"
     manifest = warc.write_archives(spark.createDataFrame([], SCHEMA), to)
-    assert manifest == [] and warc.read_archives(spark, to, manifest).count() == 0
+    assert manifest.isEmpty() and warc.read_archives(spark, to, manifest).count() == 0
