@@ -7,13 +7,13 @@ Only lengths matter for that, and there are at most `capacity` of them. So the p
 the histogram of lengths: while the counts last, the next sequence looks like the one before, and
 a run of equal sequences is one step. The steps are bounded by the capacity, not by the corpus.
 Each step claims, for each place in its sequences, an interval of ranks among the pieces of one
-length. The pieces then find their places by their rank, which is counted in salted groups so that
-no length gathers in one task.
+length. The pieces then find their places by their rank, which is counted in groups, as many as the
+length's count asks for, so that no length gathers in one task.
 
 Defined results: null text counts as empty and is packed as its end mark alone; no piece is dropped
 or cut short; repeated rows are packed as often as they occur; among pieces of equal length places
-go by a salt and doc_id, ties are equal rows; an empty table gives no rows; other columns aren't
-looked at.
+go by a salt and doc_id, ties are equal rows; a very long text is tokenized in one task, at a multiple
+of its length; an empty table gives no rows; other columns aren't looked at.
 """
 
 from __future__ import annotations
@@ -36,8 +36,8 @@ from quarryline.sources.tables import short_batches
 END = b"\0\0\0\0"
 #: Units whose ids a worker remembers, in two generations; beyond it older ones are forgotten, never the result changed.
 WORDS_KEPT = 150_000
-#: Groups into which the pieces of one length are dealt for ranking.
-SALTS = 128
+#: Pieces of one length that are ranked together, about; more if a length would have more than MOST_GROUPS such groups.
+GROUP, MOST_GROUPS = 4096, 1 << 16
 
 
 #: What the tokenizer's pattern cuts a lower-cased Latin-1 text into. The pattern's own order.
@@ -200,12 +200,15 @@ def places(steps: list[tuple[list[int], int]]) -> dict[int, tuple[list[int], lis
     return out
 
 
-def pack_pieces(table: DataFrame, capacity: int = 2048, salts: int = SALTS) -> DataFrame:
+def pack_pieces(table: DataFrame, capacity: int = 2048) -> DataFrame:
     """Adds sequence_id and offset to rows with doc_id, piece and length (1 to capacity)."""
     counts = {r["length"]: r["count"] for r in table.groupBy("length").count().collect()}  # at most capacity rows
     by_length = places(best_two_fit(counts, capacity))
     keys = ["length", "salt"]
-    dealt = table.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
+    groups = {n: min(MOST_GROUPS, -(-c // GROUP)) for n, c in counts.items()}
+    several = F.create_map(*[F.lit(x).cast("long") for n, g in groups.items() if g > 1 for x in (n, g)] or [F.lit(0).cast("long"), F.lit(1).cast("long")])
+    salts = F.coalesce(F.try_element_at(several, F.col("length")), F.lit(1).cast("long"))
+    dealt = table.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), salts))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     bases = dealt.groupBy(*keys).agg(F.count("*").alias("n")).select(*keys, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     order = Window.partitionBy(*keys).orderBy("doc_id", "piece", *[c for c in table.columns if c not in ("doc_id", "piece", "length")])

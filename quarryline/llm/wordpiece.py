@@ -4,12 +4,14 @@ A trie over the vocabulary has failure links: where no child fits, the link lead
 that the text reaches once the longest tokens on the way are taken off, and each node knows how
 many tokens that takes off. One pass over a word's characters then gives its number of tokens.
 
-Vocabulary: the normal entries of a public sentencepiece model. Entries with the space sign begin
+Vocabulary: the normal entries of a public sentencepiece model, which is a BPE one, for no word-piece
+vocabulary is supplied. Entries with the space sign begin
 words, the others continue them. Words are runs without white space. A word of which some part
 matches no entry counts as one unknown token.
 
 Defined results: null and empty texts have no words; very long words take time in proportion to
-their length; repeated rows give repeated results; other columns aren't looked at.
+their length, and so do very long texts; repeated rows give repeated results; other columns aren't
+looked at; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -6,6 +6,7 @@ import pytest
 
 P = pytest.importorskip("public_tokenizers")
 
+from quarryline.llm import packing  # noqa: E402
 from quarryline.llm.packing import WordIds, best_two_fit, pack_documents, places  # noqa: E402
 from quarryline.llm.pieces import PrefixTableEncoder, encode_texts  # noqa: E402
 from quarryline.llm.wordpiece import LongestMatch, count_tokens  # noqa: E402
@@ -78,6 +79,39 @@ def test_best_two_fit_packs_everything(seed):
     assert all(ranks == sorted(ranks) for ranks, _, _ in places(steps).values())
 
 
+def piece_by_piece(counts, capacity):
+    """Best-two-fit with a list of pieces, one sequence after the other."""
+    left = sorted((n for n, c in counts.items() for _ in range(c)), reverse=True)
+    out = []
+    while left:
+        own, gap = [], capacity
+        for n in list(left):
+            if n <= gap:
+                own.append(n)
+                left.remove(n)
+                gap -= n
+        if gap and len(own) > 1:
+            least, room = own[-1], gap + own[-1]
+            fills = [(left[i] + left[j], -min(left[i], left[j])) for i in range(len(left)) for j in range(i) if left[i] + left[j] <= room]
+            if fills and max(fills)[0] > least:
+                total, low = max(fills)
+                own[-1:] = [-low, total + low]
+                left += [least]
+                left.remove(-low)
+                left.remove(total + low)
+                left.sort(reverse=True)
+        out.append(sorted(own))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_best_two_fit_equals_piece_by_piece(seed):
+    rnd = random.Random(seed)
+    capacity = rnd.choice([7, 12, 30, 100])
+    counts = {n: rnd.randint(1, 7) for n in rnd.sample(range(1, capacity + 1), min(capacity, rnd.randint(1, 9)))}
+    assert [sorted(own) for own, times in best_two_fit(counts, capacity) for _ in range(times)] == piece_by_piece(counts, capacity)
+
+
 def test_best_two_fit_replaces_the_smallest():
     assert best_two_fit({7: 1, 2: 1, 1: 2}, 10)[0] == ([7, 2, 1], 1)
     assert best_two_fit({6: 1, 3: 3}, 10)[0][0] == [6, 3]
@@ -85,7 +119,9 @@ def test_best_two_fit_replaces_the_smallest():
     assert sorted(own) == [24, 25, 50]
 
 
-def test_pack_documents(spark):
+@pytest.mark.parametrize("group", [4096, 2])
+def test_pack_documents(spark, monkeypatch, group):
+    monkeypatch.setattr(packing, "GROUP", group)
     rows = [(i, ("word " * (i * 37 % 900)).strip() if i % 5 else None, "x", i) for i in range(60)] + [(7, "same", "x", 1)] * 3 + [(None, "no id", "x", 1), (99, "long " * 5000, "x", 1)]
     got = pack_documents(spark.createDataFrame(rows, SCHEMA), WORDS).collect()
     ids = WordIds(WORDS)
@@ -135,3 +171,10 @@ def test_count_tokens(spark):
         words = (dict((a, b) for a, b, *_ in rows)[r.doc_id] or "").split()
         lengths = [greedy(w, first, later) for w in words]
         assert (r.n_words, r.n_unknown, r.n_tokens) == (len(words), lengths.count(-1), sum(n if n > 0 else 1 for n in lengths))
+
+
+def test_count_tokens_of_odd_rows(spark):
+    rows = [(1, "the cat", "x", 0)] * 2 + [(2, "", "x", 0), (3, "the " * 100_000, "x", 0), (None, "the", "x", 0)]
+    got = sorted((r.doc_id or 0, r.n_words, r.n_tokens, r.n_unknown) for r in count_tokens(spark.createDataFrame(rows, SCHEMA), MODEL).collect())
+    assert got == [(0, 1, 1, 0), (1, 2, 2, 0), (1, 2, 2, 0), (2, 0, 0, 0), (3, 100_000, 100_000, 0)]
+    assert count_tokens(spark.createDataFrame([], SCHEMA), MODEL).count() == 0
