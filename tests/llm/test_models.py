@@ -121,8 +121,37 @@ def test_toxicity(spark):
     held = [k for k, _ in labels if k % 3 == 0]
     assert all(got[k].toxic == (k % 5 == 0) for k in held)
     assert not any(got[k].toxic for k in (900, 901, 902)) and got[903].toxic
-    assert all(0 <= r.p_toxic <= 1 and 0 <= r.severity <= toxicity.TOP for r in got.values())
-    assert np.mean([got[k].severity for k in range(0, 500, 5)]) > 1
+    # with labels 0 and 1 there is one threshold, and the expected label is the chance of the higher one
+    assert all(0 <= r.p_toxic <= 1 and abs(r.severity - r.p_toxic) < 1e-12 for r in got.values())
+
+
+def test_graded_labels(spark):
+    """Marked words of three strengths: the expected grade follows them, and so does the likeliest one on held-out rows."""
+    rnd = random.Random(3)
+    plain, bad = [f"word{k}" for k in range(200)], ["meh", "nasty", "vile"]
+    rows, labels = [], []
+    for k in range(900):
+        grade = k % 4
+        text = [rnd.choice(plain) for _ in range(60)] + ([bad[grade - 1]] * 6 if grade else [])
+        rnd.shuffle(text)
+        rows.append((k, " ".join(text), "en", "s", 1))
+        labels.append((k, grade))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = {r.doc_id: r for r in toxicity.grade(docs, spark.createDataFrame(labels[:600], "doc_id long, toxic int")).collect()}
+    held = labels[600:]
+    assert all(got[k].toxic == (grade > 0) for k, grade in held)
+    means = [np.mean([got[k].severity for k, g in held if g == grade]) for grade in range(4)]
+    assert means == sorted(means) and abs(means[0]) < 0.2 and abs(means[3] - 3) < 0.4
+
+
+def test_labels_repeated_and_contradictory_and_long_texts(spark):
+    rows, labels = toxic_corpus()
+    docs = spark.createDataFrame(rows + rows[:50] + [(2000, "word1 " * 200_000, "en", "s", 1)], SCHEMA)
+    said = labels + labels[:40] + [(k, 0) for k in range(0, 100, 5)] + [(10_000, 1), (None, 1), (7, None)]
+    got = toxicity.grade(docs, spark.createDataFrame(said, "doc_id long, toxic int")).collect()
+    assert len(got) == 551 and len({(r.doc_id, r.p_toxic) for r in got}) == 501
+    assert all(r.toxic == (r.doc_id % 5 == 0) for r in got if r.doc_id < 500)
+    assert not next(r for r in got if r.doc_id == 2000).toxic
 
 
 def test_toxicity_without_labels(spark):
@@ -133,11 +162,46 @@ def test_toxicity_without_labels(spark):
     assert toxicity.grade(spark.createDataFrame([], SCHEMA), spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")).count() == 0
 
 
+def sparse(dense, grades, weights=None):
+    rows, cols = np.nonzero(dense)
+    return toxicity.Rows(rows.astype(np.int32), cols.astype(np.int32), dense[rows, cols], grades, np.ones(len(grades)) if weights is None else weights)
+
+
 def test_ordinal_fit_orders_grades():
     rng = np.random.default_rng(1)
-    x = rng.random(600) * 4
-    grades = np.minimum(x.astype(int), toxicity.TOP)
-    w, bounds = toxicity.fit_ordinal(np.arange(600), np.zeros(600, int), x, grades, np.ones(600), 1)
-    assert w[0] > 0 and (np.diff(bounds) > 0).all()
-    expected = (1 / (1 + np.exp(-(x[:, None] * w - bounds)))).sum(axis=1)
-    assert np.abs(expected - grades).mean() < 0.5
+    x = rng.random((600, 1)) * 4
+    grades = np.minimum(x[:, 0].astype(int), 3)
+    data = sparse(x, grades)
+    p = toxicity.fit_ordinal(data, 1, toxicity.begin(grades, np.ones(600), 1, 3), 0.0, 300)
+    bounds = toxicity.thresholds(p, 1)
+    assert p[0] > 0 and (np.diff(bounds) > 0).all()
+    expected = toxicity.chances(x[:, 0] * p[0], bounds)[:, 1:-1].sum(axis=1)
+    assert np.abs(expected - grades).mean() < 0.3
+
+
+def test_slopes_equal_differences():
+    rng = np.random.default_rng(4)
+    dense = rng.random((40, 5)) * (rng.random((40, 5)) < 0.5)
+    data = sparse(dense, rng.integers(0, 4, 40), rng.random(40) + 0.5)
+    p = np.concatenate((rng.standard_normal(5), [-0.3, -0.2, 0.4]))
+
+    def loss(p):
+        total = 0.0
+        for i, g in enumerate(data.grades):  # row by row, from the definition
+            s, b = dense[i] @ p[:5], p[5] + np.array([0, np.exp(p[6]), np.exp(p[6]) + np.exp(p[7])])
+            above = [1.0, *(1 / (1 + np.exp(-(s - b)))), 0.0]
+            total -= data.weights[i] * np.log(above[g] - above[g + 1])
+        return total / data.weights.sum()
+
+    near = np.array([(loss(p + e) - loss(p - e)) / 2e-6 for e in 1e-6 * np.eye(8)])
+    assert np.allclose(toxicity.slopes(data, p, 5), near, atol=1e-7)
+    assert abs(toxicity.likelihood(data, p[:5], toxicity.thresholds(p, 5)) + loss(p)) < 1e-12
+    assert np.abs(toxicity.slopes(data, p, 5)[:5]).max() <= (dense * data.weights[:, None]).sum(axis=0).max() / data.weights.sum()
+
+
+def test_chances_and_expected_label():
+    bounds, values = np.array([-0.5, 0.2, 1.0]), np.array([0.0, 1.0, 2.0, 5.0])
+    above = toxicity.chances(np.array([0.3]), bounds)[0]
+    own = above[:-1] - above[1:]
+    assert abs(own.sum() - 1) < 1e-12 and (own > 0).all()
+    assert abs(own @ values - (values[0] + above[1:-1] @ np.diff(values))) < 1e-12
