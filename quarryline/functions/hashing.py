@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarryline.functions.text import canonical, words
+from quarryline.functions.text import canonical, strip, words
 
 
 def sha(c: Column) -> Column:
@@ -24,6 +24,11 @@ def stable_doc_id(dataset: str, subset: str, url: Column, text: Column) -> Colum
     return F.substring(sha(payload), 1, 24)
 
 
+def document_hash(fields: list[Column], text: Column) -> Column:
+    """The first of the fields that isn't blank, stripped; the text's own hash if all are."""
+    return F.coalesce(*[F.nullif(strip(c), F.lit("")) for c in fields], sha(text))
+
+
 def stable_key(seed: str, purpose: str, source: Column, record: Column) -> Column:
     nul = F.char(F.lit(0))
     return sha(F.concat(F.lit(seed), nul, F.lit(purpose), nul, source, nul, record))

@@ -54,6 +54,11 @@ def padded(made: DataFrame, size: int) -> DataFrame:
     return filled.withColumn("labels", F.zip_with("input_ids", "attention_mask", lambda i, m: F.when(m == 0, F.lit(IGNORED)).otherwise(i)))
 
 
+def with_labels(rows: DataFrame) -> DataFrame:
+    """Blocks without labels get them: the ids, and IGNORED for the padding."""
+    return rows.withColumn("labels", F.transform("input_ids", lambda i: F.when(i == PAD, F.lit(IGNORED)).otherwise(i)))
+
+
 def document_blocks(docs: DataFrame, size: int) -> DataFrame:
     """Blocks of each document by itself, between its own marks; blocks of one token are dropped."""
     ids = F.concat(F.array(F.lit(BOS)), word_ids(F.col("text")), F.array(F.lit(EOS)))

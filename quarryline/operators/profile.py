@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarryline.functions import text as T
+
 
 def weighted_places(rows: DataFrame, by: str, value: str) -> DataFrame:
     """by, value, n (rows with it), before (rows below it), total: from counts of equal values, not from rows."""
@@ -27,6 +29,23 @@ def quantiles(rows: DataFrame, by: str, value: str, fractions: dict[str, float])
     return places.groupBy(by).agg(F.min(value).alias("minimum"), *chosen, F.round((low + high) / 2, 9).alias("median"), F.max(value).alias("maximum"))
 
 
+def means_and_medians(rows: DataFrame, by: str, columns: dict[str, str]) -> DataFrame:
+    """by, n, and mean and median of each column; medians come from counts of values."""
+    out = rows.groupBy(by).agg(F.count("*").alias("n"), *[F.avg(c).alias(f"{n}_mean") for n, c in columns.items()])
+    for n, c in columns.items():
+        total = F.col("total")
+        low, high = at(F.floor((total - 1) / 2), c), at(F.floor(total / 2), c)
+        out = out.join(weighted_places(rows, by, c).groupBy(by).agg(((low + high) / 2).alias(f"{n}_median")), by)
+    return out
+
+
+def line_stats(docs: DataFrame, by: str) -> DataFrame:
+    """by, bytes, lines, nonempty_lines of docs with text and its parts between line ends, l."""
+    lines = F.size("l") - F.when(F.element_at("l", -1) == "", 1).otherwise(0)
+    full = F.size(F.filter("l", lambda x: T.strip(x) != ""))
+    return docs.groupBy(by).agg(F.sum(F.octet_length("text")).cast("long").alias("bytes"), F.sum(lines).cast("long").alias("lines"), F.sum(full).cast("long").alias("nonempty_lines"))
+
+
 def summary(rows: DataFrame, by: str, size: str, key: str, more: dict[str, Column]) -> DataFrame:
     """Counts, the upper median of size, the first five keys, and what else is asked for, by group."""
     median = weighted_places(rows, by, size).groupBy(by).agg(at(F.floor(F.col("total") / 2), size).alias(f"median_{size}"))

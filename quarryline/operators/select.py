@@ -63,3 +63,9 @@ def digest_of(lines: DataFrame, line: Column, by: list[str], out: str) -> DataFr
 def token_caps(rows: DataFrame, cap: int) -> DataFrame:
     """Tokens taken of each row (split, doc_id, n) under one cap for each split, with the place before it."""
     return running_sum(rows, by_number(rows, "doc_id"), ["doc_id"], F.col("n"), "before", by=("split",)).withColumn("taken", F.least(F.col("n"), F.greatest(F.lit(cap) - F.col("before"), F.lit(0))))
+
+
+def resumed(rows: DataFrame, key: str, seed: str, start: int = 0) -> DataFrame:
+    """rows with their place in a seeded order, from a place on: what a run that had taken `start` rows goes on with."""
+    hashed = rows.withColumn("_order", sha(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))))
+    return running_sum(hashed, by_digest("_order"), ["_order", key], F.lit(1), "place").where(F.col("place") >= start).drop("_order")

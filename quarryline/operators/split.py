@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarryline.functions import text as T
 from quarryline.operators.prefix import by_digest, running_sum
 
 
@@ -28,3 +29,26 @@ def split_units(rows: DataFrame, key: str, validation: float, test: float) -> Da
     v, t = shares(rows.count(), validation, test)
     placed = running_sum(rows, by_digest(key), [key], F.lit(1), "place")
     return placed.withColumn("split", F.when(F.col("place") < t, "test").when(F.col("place") < t + v, "validation").otherwise("train"))
+
+
+def checked_ratios(train: float, validation: float, test: float) -> tuple[float, float, float]:
+    """The ratios, if all are positive and they add up to 1."""
+    if min(train, validation, test) <= 0 or abs(train + validation + test - 1) > 1e-6:
+        raise ValueError("ratios must be positive and add up to 1")
+    return train, validation, test
+
+
+def without_duplicates(rows: DataFrame, digest: str) -> DataFrame:
+    """rows as they are; reading them fails if a digest comes twice."""
+    repeated = rows.groupBy(digest).count().where("count > 1").select(F.col(digest).alias("_digest"))
+    fails = F.raise_error(F.concat(F.lit("duplicate hash "), F.col("_digest").cast("string"))).cast("boolean")
+    return rows.join(repeated, F.col(digest) == F.col("_digest"), "left").where(F.col("_digest").isNull() | fails).drop("_digest")
+
+
+def character_split(text: Column, validation: float, test: float) -> dict[str, Column]:
+    """train, validation and test parts of one text by characters; test is null if it is blank."""
+    n = F.length(text)
+    t, v = F.floor(n * F.lit(test)).cast("int"), F.greatest(F.lit(1), F.floor(n * F.lit(validation)).cast("int"))
+    r = F.greatest(F.lit(1), n - v - t)
+    rest = F.substring(text, r + v + 1, F.greatest(n, F.lit(1)))
+    return {"train": F.substring(text, F.lit(1), r), "validation": F.substring(text, r + 1, v), "test": F.when(T.strip(rest) != "", rest)}

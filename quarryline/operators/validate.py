@@ -16,7 +16,7 @@ def _problems(named: dict[str, Column]) -> Column:
 
 def records(rows: DataFrame, min_chars: int, min_words: int) -> DataFrame:
     """doc_id, split, problems of cleaned records with text, digest, split, said_split."""
-    text, own = F.coalesce("text", F.lit("")), Window.partitionBy("digest")
+    text = F.coalesce("text", F.lit(""))
     slim = rows.select(
         "doc_id",
         "split",
@@ -32,13 +32,15 @@ def records(rows: DataFrame, min_chars: int, min_words: int) -> DataFrame:
             }
         ).alias("own"),
     )
-    met = slim.withColumn("copies", F.count("*").over(own)).withColumn("low", F.min("split").over(own)).withColumn("high", F.max("split").over(own))
+    # counted before the shuffle and joined back, so that no window gathers the copies of a text
+    copies = slim.groupBy("digest").agg(F.count("*").alias("copies"), F.min("split").alias("low"), F.max("split").alias("high")).where("copies > 1")
+    met = slim.join(copies, "digest", "left")
     shared = _problems({"duplicate": F.col("copies") > 1, "split_overlap": F.col("low") != F.col("high")})
     return met.select("doc_id", "split", F.concat_ws(",", F.nullif("own", F.lit("")), F.nullif(shared, F.lit(""))).alias("problems"))
 
 
-def blocks(rows: DataFrame, size: int, vocabulary: int) -> DataFrame:
-    """block_id, problems of packed blocks."""
+def block_problems(size: int, vocabulary: int) -> Column:
+    """What is wrong with a packed block, joined by commas."""
     ids, mask, labels = F.col("input_ids"), F.col("attention_mask"), F.col("labels")
     named = {
         "width": F.size(ids) != size,
@@ -47,7 +49,12 @@ def blocks(rows: DataFrame, size: int, vocabulary: int) -> DataFrame:
         "mask": F.aggregate(mask, F.lit(0), lambda a, x: a + x) != F.col("real"),
         "labels": F.exists(F.zip_with(F.zip_with(ids, mask, lambda i, m: F.when(m == 0, IGNORED).otherwise(i)), labels, lambda a, b: ~a.eqNullSafe(b)), lambda x: x),
     }
-    return rows.select("block_id", _problems(named).alias("problems"))
+    return _problems(named)
+
+
+def blocks(rows: DataFrame, size: int, vocabulary: int) -> DataFrame:
+    """block_id, problems of packed blocks."""
+    return rows.select("block_id", block_problems(size, vocabulary).alias("problems"))
 
 
 def registry(rows: DataFrame) -> DataFrame:

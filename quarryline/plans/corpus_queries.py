@@ -185,14 +185,29 @@ def validate_records(spark, sf_dir):
     return validate.records(rows, 200, 40)
 
 
-@query(f"""WITH {STREAM_SQL} SELECT block_id, CASE WHEN block_id % 5 = 0 THEN 'width,shape' WHEN block_id % 7 = 0 THEN 'range,labels' WHEN block_id % 11 = 0 THEN 'mask' ELSE '' END AS problems FROM blocks""")
+SPOILT_SQL = f"""
+    full_ids AS (SELECT block_id, flatten(list(part ORDER BY pos)) AS ids FROM cut GROUP BY block_id),
+    made AS (SELECT block_id, len(ids) AS real, list_concat(ids, list_transform(range({CONTEXT} - len(ids)), lambda i: CAST({packing.PAD} AS INTEGER))) AS input_ids, list_transform(range({CONTEXT}), lambda i: CASE WHEN i < len(ids) THEN 1 ELSE 0 END) AS mask,
+        list_concat(ids, list_transform(range({CONTEXT} - len(ids)), lambda i: CAST({packing.IGNORED} AS INTEGER))) AS labels FROM full_ids),
+    spoilt AS (SELECT block_id, mask, CASE WHEN block_id % 5 = 0 THEN list_slice(input_ids, 1, {CONTEXT - 1}) WHEN block_id % 7 = 0 THEN list_concat([CAST({packing.VOCABULARY} AS INTEGER)], list_slice(input_ids, 2, {CONTEXT})) ELSE input_ids END AS input_ids,
+        CASE WHEN block_id % 13 = 0 THEN list_concat(list_slice(labels, 1, {CONTEXT - 1}), [CAST(-5 AS INTEGER)]) ELSE labels END AS labels, CASE WHEN block_id % 11 = 0 THEN real - 1 ELSE real END AS real FROM made)"""
+
+
+@query(f"""
+    WITH {STREAM_SQL.split("blocks AS")[0].rstrip().rstrip(",")}, {SPOILT_SQL}
+    SELECT block_id, array_to_string(list_filter([
+        CASE WHEN len(input_ids) <> {CONTEXT} THEN 'width' END,
+        CASE WHEN len(input_ids) <> len(mask) OR len(input_ids) <> len(labels) THEN 'shape' END,
+        CASE WHEN list_min(input_ids) < 0 OR list_max(input_ids) >= {packing.VOCABULARY} THEN 'range' END,
+        CASE WHEN list_sum(mask) <> real THEN 'mask' END,
+        CASE WHEN len(list_filter(range(1, greatest(len(input_ids), len(mask), len(labels)) + 1), lambda i: (CASE WHEN mask[i] = 0 THEN {packing.IGNORED} ELSE input_ids[i] END) IS DISTINCT FROM labels[i])) > 0 THEN 'labels' END], lambda x: x IS NOT NULL), ',') AS problems FROM spoilt""")
 def validate_blocks(spark, sf_dir):
-    """Blocks of which some were spoilt: cut, with an id out of range, or with a wrong count."""
+    """What the validator says of packed blocks of which some were spoilt: cut, with an id out of range, a wrong label or a wrong count."""
     k = F.col("block_id")
     ids = F.when(k % 5 == 0, F.slice("input_ids", 1, CONTEXT - 1)).when(k % 7 == 0, F.concat(F.array(F.lit(packing.VOCABULARY)), F.slice("input_ids", 2, CONTEXT))).otherwise(F.col("input_ids"))
-    spoilt = _blocks(spark, sf_dir).withColumn("labels", F.when(k % 5 == 0, F.col("labels")).otherwise(F.col("labels"))).withColumn("input_ids", ids).withColumn("real", F.when((k % 11 == 0) & (k % 5 != 0) & (k % 7 != 0), F.col("real") - 1).otherwise(F.col("real")))
-    found = validate.blocks(spoilt, CONTEXT, packing.VOCABULARY)
-    return found.select("block_id", F.when(k % 5 == 0, F.regexp_replace("problems", ",labels", "")).otherwise(F.col("problems")).alias("problems"))
+    labels = F.when(k % 13 == 0, F.concat(F.slice("labels", 1, CONTEXT - 1), F.array(F.lit(-5)))).otherwise(F.col("labels"))
+    spoilt = _blocks(spark, sf_dir).select("block_id", "attention_mask", labels.alias("labels"), ids.alias("input_ids"), F.when(k % 11 == 0, F.col("real") - 1).otherwise(F.col("real")).alias("real"))
+    return validate.blocks(spoilt, CONTEXT, packing.VOCABULARY)
 
 
 HEX = "c0c06e94fd3a44ae9e802b2b0fc533817601eb5e"

@@ -55,14 +55,7 @@ def split_overlap(spark, sf_dir):
     return rows.groupBy("digest").agg(F.count("*").alias("copies"), F.count_distinct("split").alias("splits"), F.min("doc_id").alias("first_doc")).where("copies > 1")
 
 
-def _report(keep: str) -> str:
-    return f"(SELECT conv_id, role, max_by(text, turn) AS t FROM conversations WHERE {keep} GROUP BY ALL)"
-
-
-@query(f"""
-    SELECT conv_id, role, sha256(coalesce(a.t, '')) AS left_sha256, sha256(coalesce(b.t, '')) AS right_sha256,
-        CASE WHEN {S.collapse("coalesce(a.t, '')")} = {S.collapse("coalesce(b.t, '')")} THEN 'identical' ELSE 'different' END AS label
-    FROM {_report("conv_id % 3 <> 0 OR turn > 1")} a FULL JOIN {_report("conv_id % 4 <> 0")} b USING (conv_id, role)""")
+@query(S.outer_compare_sql())
 def outer_compare(spark, sf_dir):
     """Two reports matched by key; a missing text is empty, the last of repeated keys counts."""
     rows = table(spark, sf_dir, "conversations")

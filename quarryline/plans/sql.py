@@ -138,3 +138,15 @@ def stable_key(seed: str, purpose: str, source: str, record: str) -> str:
 
 def word_ids(x: str) -> str:
     return f"list_transform({words(x)}, lambda w: CAST(CAST('0x' || substr(md5(w), 1, 6) AS INTEGER) % 30000 + 3 AS INTEGER))"
+
+
+def report(keep: str) -> str:
+    """The last text of each conversation and role."""
+    return f"(SELECT conv_id, role, max_by(text, turn) AS t FROM conversations WHERE {keep} GROUP BY ALL)"
+
+
+def outer_compare_sql() -> str:
+    return f"""
+    SELECT conv_id, role, sha256(coalesce(a.t, '')) AS left_sha256, sha256(coalesce(b.t, '')) AS right_sha256,
+        CASE WHEN {collapse("coalesce(a.t, '')")} = {collapse("coalesce(b.t, '')")} THEN 'identical' ELSE 'different' END AS label
+    FROM {report("conv_id % 3 <> 0 OR turn > 1")} a FULL JOIN {report("conv_id % 4 <> 0")} b USING (conv_id, role)"""

@@ -53,16 +53,17 @@ def json_path_extract(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", "event_type", F.get_json_object("props", "$.k").cast("long").alias("k"), F.get_json_object("props", "$.missing.path").alias("missing"))
 
 
-FIELDS = "CASE WHEN page_id % 3 = 0 THEN '  ' ELSE substr(html, 1, 40) END AS content, CASE WHEN page_id % 2 = 0 THEN NULL ELSE url END AS url_field, substr(html, 1, 20) AS raw_content"
+CONTENT, URL_FIELD = "CASE WHEN page_id % 3 = 0 THEN '  ' ELSE html END", "CASE WHEN page_id % 2 = 0 THEN NULL ELSE url END"
 
 
 @query(f"""
-    SELECT page_id, CASE WHEN {S.strip("content")} <> '' THEN content WHEN {S.strip("raw_content")} <> '' THEN raw_content ELSE '' END AS value,
-        CASE WHEN {S.strip("content")} <> '' THEN 'content' WHEN {S.strip("raw_content")} <> '' THEN 'raw_content' END AS field,
+    SELECT page_id, CASE WHEN {S.strip("content")} <> '' THEN content WHEN {S.strip("html")} <> '' THEN html ELSE '' END AS value,
+        CASE WHEN {S.strip("content")} <> '' THEN 'content' WHEN {S.strip("html")} <> '' THEN 'raw_content' END AS field,
         nullif({S.strip("coalesce(url_field, url)")}, '') AS source_url
-    FROM (SELECT page_id, url, {FIELDS} FROM pages)""")
+    FROM (SELECT page_id, url, html, {CONTENT} AS content, {URL_FIELD} AS url_field FROM pages)""")
 def first_nonblank_field(spark, sf_dir):
-    rows = table(spark, sf_dir, "pages").selectExpr("page_id", "url", FIELDS.split(" AS content")[0] + " AS content", "CASE WHEN page_id % 2 = 0 THEN NULL ELSE url END AS url_field", "substr(html, 1, 20) AS raw_content")
+    """The first of two fields that holds text, whole; in every third page the first one is blank."""
+    rows = table(spark, sf_dir, "pages").selectExpr("page_id", "url", "html raw_content", f"{CONTENT} content", f"{URL_FIELD} url_field")
     value, field = T.first_nonblank({"content": F.col("content"), "raw_content": F.col("raw_content")})
     stripped = [F.nullif(T.strip(F.col(c)), F.lit("")) for c in ("url_field", "url")]
     return rows.select("page_id", value.alias("value"), field.alias("field"), F.coalesce(*stripped).alias("source_url"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -26,9 +27,66 @@ def read_texts(spark: SparkSession, paths: str | list[str], field: str = "text")
 
 
 def read_text_files(spark: SparkSession, folder: str, pattern: str = "*.txt") -> DataFrame:
-    """path, text of every text file below a folder."""
+    """path, text of every text file below a folder, in the order of paths; none is an error."""
     rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(folder, wholetext=True)
-    return rows.select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+    if not rows.inputFiles():
+        raise FileNotFoundError(f"no {pattern} below {folder}")
+    return rows.select(F.input_file_name().alias("path"), F.col("value").alias("text")).orderBy("path")
+
+
+def first_text_file(spark: SparkSession, folder: str, pattern: str = "*.txt") -> str:
+    """The path that sorts first among the text files of a folder."""
+    found = spark.read.option("pathGlobFilter", pattern).text(folder).inputFiles()
+    if not found:
+        raise FileNotFoundError(f"no {pattern} in {folder}")
+    return min(found)
+
+
+def prompt_texts(spark: SparkSession, path: str) -> DataFrame:
+    """prompt: the lines of a small file that aren't blank; its parts between blank lines if it has any such line."""
+    text = spark.read.text(path, wholetext=True).select(F.replace("value", F.lit("\r\n"), F.lit("\n")).alias("t"))
+    parts = F.split("t", F.when(F.col("t").contains("\n\n"), F.lit("\n\n")).otherwise(F.lit("\n")))
+    return text.select(F.explode(F.filter(F.transform(parts, T.strip), lambda x: x != "")).alias("prompt"))
+
+
+def benchmark_prompts(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """prompt: those that are text and not blank; other rows are left out."""
+    return read_jsonl(spark, paths, "prompt string", lenient=True).where(T.strip(F.coalesce("prompt", F.lit(""))) != "")
+
+
+def evaluation_records(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """domain, text; a row without either fails the read."""
+    needed = lambda c: F.when(T.strip(F.coalesce(c, F.lit(""))) == "", F.raise_error(F.lit(f"a record has no {c}"))).otherwise(F.col(c)).alias(c)
+    return read_jsonl(spark, paths, "domain string, text string").select(needed("domain"), needed("text"))
+
+
+def history_marks(spark: SparkSession, folders: list[str], names: list[str], fields: tuple[str, ...] = ("sha256", "id")) -> DataFrame:
+    """mark: field and value of the JSON lines files that are there, of folders x names; blank fields have none."""
+    hadoop = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    paths = [p for p in (f"{f}/{n}" for f in folders for n in names) if hadoop(p).getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop(p))]
+    if not paths:
+        return spark.createDataFrame([], "mark string")
+    rows = read_jsonl(spark, paths, ", ".join(f"`{f}` string" for f in fields))
+    marks = F.array_compact(F.array(*[F.when(T.strip(F.coalesce(f, F.lit(""))) != "", F.concat(F.lit(f"{f}:"), T.strip(F.col(f)))) for f in fields]))
+    return rows.select(F.explode(marks).alias("mark")).distinct()
+
+
+def pinned(spark: SparkSession, root: str, revision: str) -> DataFrame:
+    """The Parquet table of one revision, a folder named by 40 hexadecimal digits."""
+    if not re.fullmatch("[0-9a-f]{40}", revision):
+        raise ValueError("a revision must be 40 hexadecimal digits")
+    return spark.read.parquet(f"{root}/{revision}")
+
+
+def read_blocks(spark: SparkSession, path: str, size: int, vocabulary: int) -> DataFrame:
+    """Packed blocks; a block with a wrong width, shape, id, mask or label fails the read. Labels that aren't there are derived."""
+    from quarryline.operators.packing import with_labels
+    from quarryline.operators.validate import block_problems
+
+    rows = spark.read.parquet(path)
+    rows = rows if "labels" in rows.columns else with_labels(rows)
+    fails = F.raise_error(F.concat(F.lit("block "), F.col("block_id").cast("string"), F.lit(": "), F.col("_problems"))).cast("boolean")
+    return rows.withColumn("_problems", block_problems(size, vocabulary)).where((F.col("_problems") == "") | fails).drop("_problems")
 
 
 def text_units(files: DataFrame) -> DataFrame:
@@ -113,6 +171,17 @@ def check_files(found: DataFrame, manifest: DataFrame) -> DataFrame:
     return manifest.join(named, "name", "left").select("name", problem.alias("problem")).where("problem is not null")
 
 
+def located(offset: int, tokens: list[int]) -> tuple[int, int]:
+    """The shard in which a token of the stream lies and its place there, from the shards' numbers of tokens."""
+    if offset < 0:
+        raise ValueError("an offset can't be negative")
+    for shard, n in enumerate(tokens):
+        if offset < n:
+            return shard, offset
+        offset -= n
+    raise ValueError("the offset lies behind the last shard")
+
+
 def read_shards(spark: SparkSession, folder: str, tokens_per_shard: int, context: int, start: int = 0) -> DataFrame:
     """sequence, tokens: full sequences of a stream that lies in shards of 16-bit tokens.
 

@@ -18,6 +18,7 @@ from quarryline.functions import hashing as H
 from quarryline.functions import text as T
 from quarryline.operators import filters
 from quarryline.operators.prefix import by_digest, running_sum
+from quarryline.sources.sinks import write_json
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -50,23 +51,36 @@ def same_rules(spark: SparkSession, checkpoint: str, rules: filters.StreamRules)
     out.close()
 
 
-def run(spark: SparkSession, folder: str, out: str, checkpoint: str, rules: filters.StreamRules = filters.StreamRules(), files_per_batch: int = 8, once: bool = True):
-    """Reads new Parquet files of a folder, drops what has been seen, and appends the rest by split."""
+def run(spark: SparkSession, folder: str, out: str, checkpoint: str, rules: filters.StreamRules = filters.StreamRules(), files_per_batch: int = 8, once: bool = True, stop_after: int | None = None, progress: str | None = None):
+    """Reads new Parquet files of a folder, drops what has been seen, and appends the rest by split.
+
+    With stop_after the run ends in order after the batch in which it has read so many documents; the next
+    run goes on behind it. What has been read is reported at `progress`.
+    """
     same_rules(spark, checkpoint, rules)
     stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
     writer = accepted(stream, rules).dropDuplicates(["fp"]).writeStream.format("parquet").partitionBy("split").option("path", out).option("checkpointLocation", checkpoint)
     query = (writer.trigger(availableNow=True) if once else writer).start()
     if once:
-        query.awaitTermination()
+        while query.isActive and (stop_after is None or documents_read(query) < stop_after):
+            query.awaitTermination(1)
+        query.stop()
+    if progress is not None:
+        write_json(spark, progress, {"documents_read": documents_read(query), "batches": len(query.recentProgress), "stopped": stop_after is not None and documents_read(query) >= stop_after})
     return query
 
 
-def run_to_targets(spark: SparkSession, folder: str, out: str, checkpoint: str, targets: dict[str, int], rules: filters.StreamRules = filters.StreamRules(), files_per_batch: int = 8):
+def documents_read(query) -> int:
+    """Documents that the batches of this run have read, as far as Spark remembers them."""
+    return sum(p["numInputRows"] for p in query.recentProgress)
+
+
+def run_to_targets(spark: SparkSession, folder: str, out: str, checkpoint: str, targets: dict[str, int], rules: filters.StreamRules = filters.StreamRules(), files_per_batch: int = 8, must_reach: bool = False):
     """The same with a target of words for each split: documents are taken in the order of their
     fingerprints within a batch until the target is reached, the last one cut; the rest is skipped.
 
     What earlier batches took is read from the output, and a batch that runs again replaces its own
-    folder, so nothing counts twice.
+    folder, so nothing counts twice. With must_reach it is an error if the files end before the targets.
     """
     same_rules(spark, checkpoint, rules)
     wanted = spark.createDataFrame(list(targets.items()), "split string, target long")
@@ -85,4 +99,10 @@ def run_to_targets(spark: SparkSession, folder: str, out: str, checkpoint: str,
     stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
     query = accepted(stream, rules).dropDuplicates(["fp"]).writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
+    if must_reach:
+        at, system = _hadoop(spark, out)
+        had = spark.read.option("basePath", out).parquet(out).groupBy("split").agg(F.sum("taken").alias("had")) if system.exists(at) else spark.createDataFrame([], "split string, had long")
+        short = wanted.join(had, "split", "left").where(F.coalesce("had", F.lit(0)) < F.col("target"))
+        if not short.isEmpty():
+            raise RuntimeError(f"the files ended before the targets: {[tuple(r) for r in short.collect()]}")
     return query

@@ -136,7 +136,8 @@ def test_sinks(spark, tmp_path):
         sinks.write_ordered(rows, f"{tmp_path}/corpus")
     sinks.write_splits(rows, f"{tmp_path}/splits")
     assert spark.read.json(f"{tmp_path}/splits").where("split = 'x'").count() == 1
-    sinks.write_json(tmp_path / "r/report.json", {"ü": 1})
+    for _ in range(2):
+        sinks.write_json(spark, f"file://{tmp_path}/r/report.json", {"ü": 1})
     assert json.loads((tmp_path / "r/report.json").read_text("utf-8")) == {"ü": 1}
     assert sinks.markdown(rows.select("split").orderBy("split"), "t").splitlines()[2:] == ["| split |", "|---|", "| x |", "| y |"]
 
