@@ -206,8 +206,9 @@ def pruned(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
 
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs a, b whose full sets reach the threshold. pairs is a written table."""
-    load = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR).cast("int").alias("salts"))
-    dealt = pairs.join(load, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")))
+    # only centres with many members are salted; written, so that the join may split them
+    load = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR).cast("int").alias("salts")).where("salts > 1")
+    dealt = pairs.join(materialize(load, "centres"), "a", "left").withColumn("salt", F.pmod(F.xxhash64("b"), F.coalesce("salts", F.lit(1))))
     wanted = dealt.select(F.col("b").alias("doc_id"), "a", "salt", F.lit(1).alias("part"), "b").unionByName(dealt.select(F.col("a").alias("doc_id"), "a", "salt", F.lit(0).alias("part"), F.col("a").alias("b")).distinct())
     texts = texts_of(docs, wanted, 2 * pairs.count())
     together = texts.select("a", "salt", "part", "b", "text").repartition("a", "salt").sortWithinPartitions("a", "salt", "part", "b")
@@ -351,7 +352,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     centres = shared.join(popular, "id").groupBy("key").agg(F.max(F.struct("popular", (-F.col("id")).alias("negative"))).alias("best"))
     centres = materialize(centres.select("key", (-F.col("best.negative")).alias("a")), "centres")
     stars = shared.join(centres, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct()
-    kept_classes = signatures.join(shared.select("id").distinct(), "id", "left_semi")
+    kept_classes = materialize(signatures.join(shared.select("id").distinct(), "id", "left_semi"), "classes")
     star_pairs = materialize(pruned(stars, kept_classes), "pairs")
     links = materialize(verified(star_pairs, docs), "links")
     labels = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
