@@ -12,14 +12,18 @@ from pyspark.sql import functions as F
 from quarryline.sources.scratch import materialize
 
 ROUNDS = 40
+#: Edges that a task may get if all of them have one node.
+LARGE = 1_000_000
 
 
-def _stars(edges: DataFrame, both: bool) -> DataFrame:
+def _stars(edges: DataFrame, both: bool, large: bool) -> DataFrame:
     """Links each node's neighbours (larger ones if both directions count, else smaller ones) to its smallest."""
     ways = edges.select("u", "v")
     if both:
         ways = ways.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = ways.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    if large:  # written, so that the join may split a node with many neighbours
+        least = materialize(least, "least")
     joined = ways.join(least, "u")
     out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")) if both else joined.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
     return out.where("u > v").distinct()
@@ -37,7 +41,7 @@ def components(edges: DataFrame) -> DataFrame:
         if said[0] == 0 or said == mark:
             break
         mark = said
-        now = materialize(_stars(_stars(now, True), False), "edges")
+        now = materialize(_stars(_stars(now, True, said[0] > LARGE), False, said[0] > LARGE), "edges")
     else:
         raise RuntimeError(f"components not found in {ROUNDS} rounds")
     return now.select(F.col("u").alias("id"), F.col("v").alias("component"))
