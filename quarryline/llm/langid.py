@@ -34,12 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarryline.llm import worker
 from quarryline.sources.scratch import materialize
 from quarryline.sources.tables import short_batches
 
 SPACE = "▁"
 #: Labelled documents a language that the model is fitted on, and among all languages, about.
-SAMPLE, SAMPLE_ALL = 2000, 40_000
+SAMPLE, SAMPLE_ALL = 1200, 24_000
 ROUNDS = 3
 #: Words whose arcs are laid out at once.
 CHUNK = 8192
@@ -52,7 +53,7 @@ FLOOR = 0.02
 #: Probability of a letter that is no entry.
 STRANGE = 1e-6
 SLACK = 6.0
-WORDS_KEPT = 150_000
+WORDS_KEPT = 120_000
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -141,6 +142,7 @@ class Segmentations:
                 by = np.lexsort((other, level)).astype(np.int32)
                 cuts = np.flatnonzero(np.concatenate(([True], np.diff(level[by]) != 0, [True])))
                 ways.append((by, cuts))
+            del a["level"]
             parts.append((a, ways, times[k : k + CHUNK], words[k : k + CHUNK] if len(words[min(k + CHUNK, len(words)) - 1]) > LONG else None))
         weights = np.full(self.size, 1.0 / self.size)
         for _ in range(rounds):
@@ -196,7 +198,8 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """lang, word, n: counts within each task are summed before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        worker.begin("langid")
+        for batch in (b.slice(at, 128) for b in batches for at in range(0, b.num_rows, 128)):
             counts: dict[str, Counter] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 counts.setdefault(lang, Counter()).update(words_of(text.as_py()))
@@ -229,7 +232,9 @@ def train(docs: DataFrame, model_file: str) -> Model:
             own = [(r["word"], r["n"]) for r in group]
             yield lang, [w for w, _ in own], [n for _, n in own]
 
-    return fit(by_language(), entries)
+    model = fit(by_language(), entries)
+    worker.give_back()
+    return model
 
 
 def predict(docs: DataFrame, model: Model, names: tuple[str, str, str] = ("lang_pred", "score", "strangeness")) -> DataFrame:
@@ -240,10 +245,11 @@ def predict(docs: DataFrame, model: Model, names: tuple[str, str, str] = ("lang_
     from pyspark.sql.types import DoubleType, StringType, StructType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.begin("langid")
         langs, table, entries, typical = shared.value
         cuts = Segmentations(entries)
         place: dict[str, int] = {}
-        scores = np.zeros((WORDS_KEPT + 100_000, max(1, len(langs))))
+        scores = np.zeros((WORDS_KEPT, max(1, len(langs))))
         for batch in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
             preds, certain, strange = [], [], []
             texts = [words_of(text.as_py()) if langs else [] for text in batch.column("text")]

@@ -35,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarryline.llm import worker
 from quarryline.llm.graph import components
 from quarryline.sources.scratch import materialize
 from quarryline.sources.tables import short_batches
@@ -47,7 +48,7 @@ THRESHOLD = (75, 100)
 MISS = 1e-5
 BATCH = 32
 #: Members of a bucket outside its largest component that are compared at once, and with how many others, about.
-BLOCK, CHUNK = 512, 4096
+BLOCK, CHUNK = 512, 2048
 #: Of two components' pairs with long sets in a block, so many are verified at first; then UNSURE_GROWS times as many.
 UNSURE, UNSURE_GROWS = 8, 16
 #: Members verified against one copy of a centre's text; beyond it the centre is salted.
@@ -150,6 +151,7 @@ def described(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, digest of the set, low and high bytes of the signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.begin("neardup", _words.clear)
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
@@ -177,6 +179,7 @@ def band_rows(classes: DataFrame) -> DataFrame:
     """key, id for each band of each row with id, low, high. The key's last 6 bits are the band's number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.begin("neardup", _words.clear)
         number = np.arange(BANDS, dtype=np.uint64) * MIX[1]
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
@@ -197,6 +200,7 @@ def pruned(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
     right = signatures.select(F.col("id").alias("b"), F.col("low").alias("low_b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.begin("neardup", _words.clear)
         for batch in batches:
             stay = pa.array(surviving(_matrix(batch.column("low_a"), SIZE), _matrix(batch.column("low_b"), SIZE)))
             yield pa.RecordBatch.from_arrays([batch.column("a").take(stay), batch.column("b").take(stay)], ["a", "b"])
@@ -214,6 +218,7 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     together = texts.select("a", "salt", "part", "b", "text").repartition("a", "salt").sortWithinPartitions("a", "salt", "part", "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.begin("neardup", _words.clear)
         centre, sets = None, []
         for batch in batches:
             rows: tuple[list, list] = ([], [])
@@ -240,6 +245,7 @@ def short_sets(docs: DataFrame, wanted: DataFrame, rows: int) -> DataFrame:
     """id and the full set of each wanted doc_id whose sets have at most CARRIED elements; ids that occur once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.begin("neardup", _words.clear)
         for batch in batches:
             ids, sets = [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -279,6 +285,7 @@ def between_components(shared: DataFrame, labels: DataFrame, signatures: DataFra
     rows = dealt.join(signatures.select("id", F.concat("low", "high").alias("sig")), "id").join(sets, "id", "left").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "side", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.begin("neardup", _words.clear)
         def compare(key: int, ids: list, comps: list, minor: list, sides: list, sigs: list, sets: list) -> pa.RecordBatch:
             i, c, second = np.array(ids), np.array(comps), np.array(sides) == 1
             alone = second & ~np.array(minor)

@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarryline.llm import worker
 from quarryline.sources.scratch import materialize
 from quarryline.sources.tables import short_batches
 
@@ -129,6 +130,7 @@ def pieces(docs: DataFrame, tokenizer_file: str, capacity: int) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: each document with its end mark; only those longer than capacity are cut."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.begin("packing", word_ids.cache_clear)
         encode = word_ids(tokenizer_file)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
@@ -216,6 +218,7 @@ def pack_pieces(table: DataFrame, capacity: int = 2048) -> DataFrame:
     ranked = ranked.select(*table.columns, (F.col("rank") + F.col("base")).alias("rank"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.begin("packing", word_ids.cache_clear)
         for batch in batches:
             where = [by_length[n] for n in batch.column("length").to_pylist()]
             ranks = batch.column("rank").to_pylist()

@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StructType
 
+from quarryline.llm import worker
 from quarryline.sources.scratch import materialize
 from quarryline.sources.tables import short_batches
 
@@ -50,7 +51,9 @@ STEPS = 60
 SCALE = 10.0
 #: Words added to a text's number, so that one word doesn't decide over a very short text.
 SMOOTH = 30
-WORDS_KEPT = 200_000
+WORDS_KEPT = 80_000
+#: Texts whose features a task holds at once.
+SLICE = 64
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -104,7 +107,8 @@ def feature_sums(chosen: DataFrame, importance: dict[float, float], slope: dict[
     """feature, total (importance times value), score (the same times the grade's slope without weights)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        worker.begin("toxicity")
+        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
             sums: dict[str, list[float]] = {}
             for label, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 for f, x in values_of(text.as_py()).items():
@@ -221,8 +225,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     shared = docs.sparkSession.sparkContext.broadcast(number)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.begin("toxicity")
         number = shared.value
-        for batch in batches:
+        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
             ids, vals = [], []
             for text in batch.column(2):
                 own = [(number[f], x) for f, x in values_of(text.as_py()).items() if f in number]
@@ -231,6 +236,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary()), pa.array(vals, pa.binary())], ["doc_id", "label", "ids", "vals"])
 
     rows = sorted(chosen.select("doc_id", "label", "text").mapInArrow(run, "doc_id long, label double, ids binary, vals binary").collect())  # bounded by SAMPLE
+    shared.unpersist()
     grades = np.array([grade[r["label"]] for r in rows], np.int64)
     if len(set(grades.tolist())) < 2:
         return NOTHING
@@ -253,7 +259,10 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     for share in PATH[: PATH.index(best) + 1]:
         p = fit_ordinal(data, size, p, share * most)
     p = fit_again(data, size, p, best * most)
-    return Model({f: float(p[k]) for f, k in number.items() if p[k]}, thresholds(p, size), values)
+    made = Model({f: float(p[k]) for f, k in number.items() if p[k]}, thresholds(p, size), values)
+    del data, inner, outer, number
+    worker.give_back()
+    return made
 
 
 def score(docs: DataFrame, model: Model, names: tuple[str, str, str] = ("p_toxic", "severity", "toxic")) -> DataFrame:
@@ -261,6 +270,7 @@ def score(docs: DataFrame, model: Model, names: tuple[str, str, str] = ("p_toxic
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of the sample's features those with a weight
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.begin("toxicity")
         weights, bounds, values = shared.value
         known: dict[str, float] = {}
         first = int(np.searchsorted(values, 0.0, "right"))  # the lowest grade above 0
