@@ -24,6 +24,7 @@ import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +37,9 @@ from quarryline.sources.tables import short_batches
 
 END = b"\0\0\0\0"
 #: Units whose ids a worker remembers, in two generations; beyond it older ones are forgotten, never the result changed.
-WORDS_KEPT = 150_000
+WORDS_KEPT = 180_000
 #: Pieces of one length that are ranked together, about; more if a length would have more than MOST_GROUPS such groups.
-GROUP, MOST_GROUPS = 4096, 1 << 16
+GROUP, MOST_GROUPS = 256, 1 << 16
 
 
 #: What the tokenizer's pattern cuts a lower-cased Latin-1 text into. The pattern's own order.
@@ -68,7 +69,7 @@ class WordIds:
         """Encodes units, many in a line; a unit's last token is one that ends words."""
         for k in range(0, len(new), 64):
             part = new[k : k + 64]
-            ids = np.asarray(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) == len(part):
                 data, at = ids.tobytes(), 0
@@ -95,21 +96,16 @@ class WordIds:
                 split.append(UNITS.findall(text.lower()))
         if len(self.words) > WORDS_KEPT:
             self.words, self.older = {}, self.words
-        get, older = self.words.get, self.older.get
-        found = [list(map(get, units)) for units in split]
-        gaps = [(units, ids, [k for k, x in enumerate(ids) if x is None]) for units, ids in zip(split, found) if None in ids]
+        words, older = self.words, self.older
         new = []
-        for word in {units[k] for units, _, missing in gaps for k in missing}:
-            if (ids := older(word)) is None:
+        for word in set(chain.from_iterable(split)).difference(words):
+            if (ids := older.get(word)) is None:
                 new.append(word)
             else:
-                self.words[word] = ids
+                words[word] = ids
         self._learn(new)
-        for units, ids, missing in gaps:
-            for k in missing:
-                ids[k] = self.words[units[k]]
-        for k, ids in zip(places, found):
-            out[k] = b"".join(ids) + END
+        for k, units in zip(places, split):
+            out[k] = b"".join(map(words.__getitem__, units)) + END
         return out
 
 
