@@ -14,7 +14,8 @@ from quarryline.operators.prefix import by_digest, by_number, running_sum
 
 def byte_cap(rows: DataFrame, order: str, size: str, most_bytes: int, most_rows: int) -> DataFrame:
     """Rows taken in order until the next would exceed the bytes; the first is taken in any case."""
-    ranked = running_sum(running_sum(rows, by_number(rows, order), [order], F.col(size), "before"), by_number(rows, order), [order], F.lit(1), "place")
+    bucket = by_number(rows, order)
+    ranked = running_sum(running_sum(rows, bucket, [order], F.col(size), "before"), bucket, [order], F.lit(1), "place")
     fits = (F.col("place") == 0) | ((F.col("before") + F.col(size) <= most_bytes) & (F.col("before") < most_bytes))
     return ranked.where(fits & (F.col("place") < most_rows))
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarryline.operators import dedup, packing, prefix, select, split
-from quarryline.sources import readers, sinks
+from quarryline.sources import readers, scratch, sinks
 from quarryline.streaming import incremental
 
 
@@ -206,3 +206,40 @@ def test_similarity_of_all_turns(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = sorted((r.conv_id, r.turn, r.similarity, r.label) for r in text_similarity(spark, str(tmp_path)).collect())
     assert got == [(1, 0, 1.0, "identical"), (1, 1, 0.0, "different"), (1, 2, 1.0, "identical"), (1, 4, None, "different")]
+
+
+@pytest.mark.parametrize("most", [3, 70, 5000])
+def test_buckets_follow_sampled_borders(spark, monkeypatch, most):
+    """One far key, negative ones and nulls; borders on one, two and three levels."""
+    monkeypatch.setattr(prefix, "ROWS", 1)
+    monkeypatch.setattr(prefix, "BUCKETS", most)
+    monkeypatch.setattr(prefix, "FAN", 8 if most < 5000 else 16)
+    keys = [*range(-3000, 3000, 2), 1 << 62, None]
+    rows = spark.createDataFrame([(k, 1 + (k or 0) % 3) for k in keys], "k long, v long").repartition(5)
+    bucket = prefix.by_number(rows, "k")
+    sizes = [r["count"] for r in rows.groupBy(bucket.alias("b")).count().collect()]
+    assert len(sizes) > 0.6 * min(most, 3000) and max(sizes) < 6 * len(keys) / min(most, len(keys))
+    got = {r.k: r.before for r in prefix.running_sum(rows, bucket, ["k"], F.col("v"), "before").collect()}
+    want, total = {}, 0
+    for k in sorted(keys, key=lambda k: (k is not None, k or 0)):
+        want[k] = total
+        total += 1 + (k or 0) % 3
+    assert got == want
+
+
+def test_buckets_of_an_empty_table(spark):
+    rows = spark.createDataFrame([], "k long, v long")
+    assert prefix.running_sum(rows, prefix.by_number(rows, "k"), ["k"], F.col("v"), "before").count() == 0
+
+
+def test_passing_tables_go(spark):
+    gone = lambda df: not df.sparkSession._jvm.java.io.File(df.inputFiles()[0].removeprefix("file://")).exists()
+    with scratch.passing(spark):
+        with scratch.passing(spark):
+            a = scratch.materialize(spark.range(3), "a")
+            b = scratch.materialize(spark.range(4), "b", lasting=True)
+        assert gone(a) and not gone(b) and b.count() == 4
+        c = scratch.materialize(spark.range(5), "c", lasting=True)
+    assert gone(b) and c.count() == 5
+    d = scratch.materialize(spark.range(6), "d")
+    assert d.count() == 6
