@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarryline.sources.scratch import materialize
+from quarryline.sources.scratch import materialize, passing
 
 DEGREE = 32
 BLOCK = 1024
@@ -283,7 +283,8 @@ def of_one_length(rows: DataFrame, k: int, every: int) -> DataFrame:
     asked = materialize(asked.join(nodes.withColumnRenamed("id", "start"), "start"), "asked")
     if asked.isEmpty():
         return members.where("false").selectExpr("vec_id query_id", "0 rank", "vec_id", "0d score")
-    met = candidates(asked, nodes, k)
+    with passing(rows.sparkSession):
+        met = materialize(candidates(asked, nodes, k), "candidates", lasting=True)
     exact = scored(met, asked.select("q", F.col("embedding").alias("qvec")), nodes.select("id", F.col("embedding").alias("vec")))
     # of equal vectors the k + 1 smallest vec_ids suffice, for one may be the query's own
     small = F.row_number().over(Window.partitionBy("id").orderBy("vec_id", "row"))

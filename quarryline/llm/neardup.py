@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from quarryline.llm import worker
 from quarryline.llm.graph import components
-from quarryline.sources.scratch import materialize
+from quarryline.sources.scratch import materialize, passing
 from quarryline.sources.tables import short_batches
 
 WORDS = 5
@@ -344,9 +344,9 @@ def between_components(shared: DataFrame, labels: DataFrame, signatures: DataFra
     return rows.select("key", "x", "y", "id", "component", "minor", "side", "sig", "set").mapInArrow(run, "a long, b long, sure boolean, more boolean").distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of docs."""
-    table = materialize(described(docs), "signatures")
+def named_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Each row's doc_id, n_shingles and digest, and each digest's component_id, as written tables."""
+    table = materialize(described(docs), "signatures", lasting=True)
     known = table.where("digest is not null and doc_id is not null")
     first = materialize(known.groupBy("digest").agg(F.min("doc_id").alias("id")), "classes")
     signatures = known.withColumnRenamed("doc_id", "id").select("id", "digest", "low", "high")
@@ -373,7 +373,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             break
         unsure *= UNSURE_GROWS
     # written, so that the join may split a text with many copies
-    named = materialize(first.join(labels, "id", "left").select("digest", F.coalesce("component", "id").alias("component_id")), "classes")
-    whole = table.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
+    named = first.join(labels, "id", "left").select("digest", F.coalesce("component", "id").alias("component_id"))
+    return table.select("doc_id", "n_shingles", "digest"), materialize(named, "classes", lasting=True)
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for each row of docs."""
+    with passing(docs.sparkSession):
+        table, named = named_classes(docs)
+    whole = table.join(named, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return whole.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

@@ -231,4 +231,4 @@ def pack_pieces(table: DataFrame, capacity: int = 2048) -> DataFrame:
 
 def pack_documents(docs: DataFrame, tokenizer_file: str, capacity: int = 2048) -> DataFrame:
     """Tokenizes, cuts and packs whole documents. The pieces are written once, for they are read three times."""
-    return pack_pieces(materialize(pieces(docs, tokenizer_file, capacity), "pieces"), capacity)
+    return pack_pieces(materialize(pieces(docs, tokenizer_file, capacity), "pieces", lasting=True), capacity)
