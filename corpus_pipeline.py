@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns
 of documents, whatever they are. run() applies them in order and writes each stage's result in the
-shared scratch folder before the next reads it.
+shared scratch folder before the next reads it. What a stage wrote for itself goes when its result is
+written; the results go when the last stage has written the pieces that it packs.
 
 Defined results: rows with null text, without letters or in a language that no labelled document shows
 go in the second stage; repeated rows of a doc_id are one document in the third; rows with a null
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from quarryline.llm import langid, neardup, packing, toxicity
 from quarryline.llm.queries import tokenizer_path
-from quarryline.sources.scratch import materialize
+from quarryline.sources.scratch import materialize, passing
 from quarryline.sources.tables import table
 
 #: A document goes if its best language's posterior, on the evidence of a few words, is below this,
@@ -79,6 +80,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with passing(spark):
+        for name, stage in STAGES[:-1]:
+            with passing(spark):
+                docs = materialize(stage(spark, docs, sf_dir), name, lasting=True)
+        return STAGES[-1][1](spark, docs, sf_dir)
