@@ -77,6 +77,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grade(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarryline.llm.periods import periodic_runs
+
+    return periodic_runs(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -88,8 +94,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_minhash_neardup": op9_minhash_neardup,
     "op10_toxicity": op10_toxicity,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 
+#: The checksum of a number's decimal digits in SQL: eight steps for each byte.
+CRC32 = """
+        checksums AS (
+            SELECT id, xor(list_reduce(
+                list_transform(string_split(CAST(id AS VARCHAR), ''), lambda ch: CAST(ascii(ch) AS BIGINT)),
+                lambda acc, b: list_reduce([xor(acc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, step: xor(v >> 1, 3988292384 * (v & 1))),
+                4294967295), 4294967295) AS h
+            FROM ids)"""
+
 ORACLES: dict[str, str] = {
     "op1_chat_format": r"""
         WITH rows AS (
@@ -115,4 +131,23 @@ ORACLES: dict[str, str] = {
             CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
             CASE WHEN page_id <> first THEN first END AS refers_to
         FROM b""",
+    "op11_periodic_runs": rf"""
+        WITH ids AS (SELECT DISTINCT doc_id AS id FROM documents WHERE doc_id IS NOT NULL), {CRC32.strip()},
+        split AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS said FROM documents),
+        marked AS (SELECT r, doc_id, said, len(said) AS n, h, h // 10 AS g FROM split LEFT JOIN checksums ON doc_id = id),
+        places AS (SELECT *, CASE WHEN n > 0 THEN g % n END AS a, CASE WHEN n > 0 THEN 1 + (n - g % n) // (3 + g % 8) END AS p FROM marked),
+        edited AS (SELECT r, doc_id, n, list_transform(range(0, n), lambda i: said[1 + CAST(CASE WHEN h % 10 = 0 AND i >= a THEN a + (i - a) % p ELSE i END AS BIGINT)]) AS said FROM places),
+        words AS (SELECT r, n, unnest(range(0, n)) AS i, unnest(said) AS w FROM edited),
+        same AS (SELECT x.r, x.i, y.i - x.i AS q FROM words x JOIN words y ON x.r = y.r AND x.w = y.w AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+        islands AS (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM same),
+        stretches AS (SELECT r, q, min(i) AS s, count(*) + q AS size FROM islands GROUP BY r, q, island),
+        runs AS (SELECT r, s, size, min(q) AS q FROM stretches WHERE size >= greatest(6, 4 * q) GROUP BY r, s, size),
+        summed AS (
+            SELECT r, count(*) AS n_runs, string_agg(s || ',' || size || ',' || q || chr(10), '' ORDER BY s, q) AS lines, min(struct_pack(a := -size, b := s, c := q)) AS best
+            FROM runs GROUP BY r),
+        gone AS (SELECT DISTINCT r, unnest(range(s + q, s + size)) AS i FROM runs),
+        kept AS (SELECT r, string_agg(w, ' ' ORDER BY i) AS words FROM words ANTI JOIN gone USING (r, i) GROUP BY r)
+        SELECT doc_id, coalesce(n_runs, 0) AS n_runs, CAST(best.b AS BIGINT) AS start, CAST(-best.a AS BIGINT) AS length, CAST(best.c AS BIGINT) AS period,
+            CAST(1000 * -best.a // best.c AS BIGINT) AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(words, '')) AS collapsed_sha256
+        FROM edited LEFT JOIN summed USING (r) LEFT JOIN kept USING (r)""",
 }
