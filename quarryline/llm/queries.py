@@ -83,6 +83,12 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs(documents(spark, sf_dir))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarryline.llm.trie import prefix_tree
+
+    return prefix_tree(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -95,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_minhash_neardup": op9_minhash_neardup,
     "op10_toxicity": op10_toxicity,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_prefix_trie": op12_prefix_trie,
 }
 
 #: The checksum of a number's decimal digits in SQL: eight steps for each byte.
@@ -150,4 +157,30 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, coalesce(n_runs, 0) AS n_runs, CAST(best.b AS BIGINT) AS start, CAST(-best.a AS BIGINT) AS length, CAST(best.c AS BIGINT) AS period,
             CAST(1000 * -best.a // best.c AS BIGINT) AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(words, '')) AS collapsed_sha256
         FROM edited LEFT JOIN summed USING (r) LEFT JOIN kept USING (r)""",
+    "op12_prefix_trie": f"""
+        WITH ids AS (SELECT DISTINCT conv_id AS id FROM conversations WHERE conv_id IS NOT NULL), {CRC32.strip()},
+        numbered AS (
+            SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS place
+            FROM conversations WHERE conv_id IS NOT NULL),
+        asked AS (SELECT id, h % 6 AS h, id - id % 100 AS head FROM checksums),
+        rebuilt AS (
+            SELECT id, place, role, text FROM asked JOIN numbered ON conv_id = head AND place <= h
+            UNION ALL SELECT id, 1000 + place, role, text FROM asked JOIN numbered ON conv_id = id AND place > h),
+        deep AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY place) AS depth, role, text FROM rebuilt),
+        paths AS (
+            SELECT id, depth, length(text) AS chars, string_agg(length(role) || ':' || length(text) || ':' || role || text, '') OVER (PARTITION BY id ORDER BY depth) AS path FROM deep
+            UNION ALL SELECT id, 0, 0, '' FROM ids),
+        ended AS (SELECT *, depth = max(depth) OVER (PARTITION BY id) AS last, lag(path) OVER (PARTITION BY id ORDER BY depth) AS up FROM paths),
+        nodes AS (
+            SELECT depth, path, min(id) AS conv_id, min(up) AS up, count(*) AS n_convs, (count(*) - 1) * max(chars) AS saved,
+                sha256(coalesce(string_agg(CASE WHEN last THEN CAST(id AS VARCHAR) END, ',' ORDER BY id), '')) AS ends_sha256
+            FROM ended GROUP BY depth, path),
+        kids AS (SELECT up, depth - 1 AS depth, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY up, depth),
+        counted AS (SELECT nodes.*, coalesce(kids.n, 0) AS n_children FROM nodes LEFT JOIN kids ON kids.up = nodes.path AND kids.depth = nodes.depth),
+        subtrees AS (
+            SELECT p.depth, p.path, sum(CASE WHEN q.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum(q.saved) AS saved_tokens
+            FROM counted q JOIN paths p ON p.id = q.conv_id AND p.depth <= q.depth GROUP BY p.depth, p.path)
+        SELECT c.conv_id, c.depth, parent.conv_id AS parent_conv_id, c.n_convs, c.n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, c.ends_sha256
+        FROM counted c JOIN subtrees USING (depth, path) LEFT JOIN nodes parent ON parent.depth = c.depth - 1 AND parent.path = c.up""",
 }
