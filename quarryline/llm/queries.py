@@ -89,6 +89,12 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_tree(table(spark, sf_dir, "conversations"))
 
 
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarryline.llm.quality import classify
+
+    return classify(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -102,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_prefix_trie": op12_prefix_trie,
+    "op13_quality": op13_quality,
 }
 
 #: The checksum of a number's decimal digits in SQL: eight steps for each byte.
