@@ -61,24 +61,45 @@ class Model(NamedTuple):
     share: float
 
 
+class Kinds(dict):
+    """X for capitals, x for other letters, 9 for digits, by code point; signs stand for themselves."""
+
+    def __missing__(self, code: int) -> int:
+        c = chr(code)
+        self[code] = ord("X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c)
+        return self[code]
+
+
+_kinds = Kinds()
+#: Of words, and of words whose letters are replaced by their kinds, what is known of them.
 _terms: dict[str, int] = {}
+_shapes: dict[str, int] = {}
+_WORD, _SHAPE = zlib.crc32(b"word "), zlib.crc32(b"shape ")
+
+
+def forget() -> None:
+    for known in (_kinds, _terms, _shapes):
+        known.clear()
 
 
-def shape(word: str) -> str:
-    """Capitals as X, other letters as x, digits as 9, signs as they are, each run as one."""
-    return ALIKE.sub(r"\1", "".join("X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c for c in word))[:8]
+def shape(kinds: str) -> str:
+    """Each run of one kind as one."""
+    return ALIKE.sub(r"\1", kinds)[:8]
 
 
 def terms_of(word: str) -> int:
     """The word's own checksum, the place of its shape, and its own place, in one number."""
-    place = lambda s: zlib.crc32(s.encode("utf-8", "surrogatepass")) % TERMS
-    return zlib.crc32(word.encode("utf-8", "surrogatepass")) >> 1 << 32 | place("shape " + shape(word)) << 16 | place("word " + word.lower())
+    kinds = word.translate(_kinds)
+    known = _shapes.get(kinds)
+    if known is None:
+        known = _shapes[kinds] = zlib.crc32(shape(kinds).encode("utf-8", "surrogatepass"), _SHAPE) % TERMS << 16
+    return zlib.crc32(word.encode("utf-8", "surrogatepass")) >> 1 << 32 | known | zlib.crc32(word.lower().encode("utf-8", "surrogatepass"), _WORD) % TERMS
 
 
 def counted(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, place and number of uses of each term of these texts, by row and place."""
     if len(_terms) > WORDS_KEPT:
-        _terms.clear()
+        forget()
     said = [t.split() if t else [] for t in texts]
     for w in set().union(*said).difference(_terms):
         _terms[w] = terms_of(w)
@@ -94,7 +115,7 @@ def counted(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    worker.begin("quality", _terms.clear)
+    worker.begin("quality", forget)
     for batch in batches:
         for at in range(0, batch.num_rows, SLICE):
             yield batch.slice(at, SLICE)
