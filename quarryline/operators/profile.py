@@ -6,36 +6,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarryline.functions import text as T
-
-
-def weighted_places(rows: DataFrame, by: str, value: str) -> DataFrame:
-    """by, value, n (rows with it), before (rows below it), total: from counts of equal values, not from rows."""
-    counts = rows.groupBy(by, value).agg(F.count("*").alias("n"))
-    ordered = Window.partitionBy(by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    return counts.withColumn("before", F.coalesce(F.sum("n").over(ordered), F.lit(0))).withColumn("total", F.sum("n").over(Window.partitionBy(by)))
-
-
-def at(index: Column, value: str) -> Column:
-    """The value at an index from 0 in the order of values, within weighted_places."""
-    return F.max(F.when((F.col("before") <= index) & (index < F.col("before") + F.col("n")), F.col(value)))
+from quarryline.operators.selection import at_ranks
 
 
 def quantiles(rows: DataFrame, by: str, value: str, fractions: dict[str, float]) -> DataFrame:
     """Smallest and largest value, the median, and values at indices (n - 1) * fraction rounded half to even."""
-    places = weighted_places(rows, by, value)
     total = F.col("total")
-    chosen = [at(F.bround((total - 1) * F.lit(f)).cast("long"), value).alias(n) for n, f in fractions.items()]
-    low, high = at(F.floor((total - 1) / 2), value), at(F.floor(total / 2), value)
-    return places.groupBy(by).agg(F.min(value).alias("minimum"), *chosen, F.round((low + high) / 2, 9).alias("median"), F.max(value).alias("maximum"))
+    ranks = {n: F.bround((total - 1) * F.lit(f)) for n, f in fractions.items()} | {"_lower": F.floor((total - 1) / 2), "_upper": F.floor(total / 2)}
+    ends = rows.groupBy(F.col(by).alias("_group")).agg(F.min(value).alias("minimum"), F.max(value).alias("maximum"))
+    found = at_ranks(rows, by, value, ranks).join(ends, F.col(by).eqNullSafe(F.col("_group")))
+    return found.select(by, "minimum", *fractions, F.round((F.col("_lower") + F.col("_upper")) / 2, 9).alias("median"), "maximum")
 
 
 def means_and_medians(rows: DataFrame, by: str, columns: dict[str, str]) -> DataFrame:
-    """by, n, and mean and median of each column; medians come from counts of values."""
+    """by, n, and mean and median of each column."""
     out = rows.groupBy(by).agg(F.count("*").alias("n"), *[F.avg(c).alias(f"{n}_mean") for n, c in columns.items()])
     for n, c in columns.items():
-        total = F.col("total")
-        low, high = at(F.floor((total - 1) / 2), c), at(F.floor(total / 2), c)
-        out = out.join(weighted_places(rows, by, c).groupBy(by).agg(((low + high) / 2).alias(f"{n}_median")), by)
+        middle = at_ranks(rows, by, c, {"_lower": F.floor((F.col("total") - 1) / 2), "_upper": F.floor(F.col("total") / 2)})
+        median = middle.select(F.col(by).alias("_group"), ((F.col("_lower") + F.col("_upper")) / 2).alias(f"{n}_median"))
+        out = out.join(median, F.col(by).eqNullSafe(F.col("_group")), "left").drop("_group")
     return out
 
 
@@ -48,7 +37,7 @@ def line_stats(docs: DataFrame, by: str) -> DataFrame:
 
 def summary(rows: DataFrame, by: str, size: str, key: str, more: dict[str, Column]) -> DataFrame:
     """Counts, the upper median of size, the first five keys, and what else is asked for, by group."""
-    median = weighted_places(rows, by, size).groupBy(by).agg(at(F.floor(F.col("total") / 2), size).alias(f"median_{size}"))
+    median = at_ranks(rows, by, size, {f"median_{size}": F.floor(F.col("total") / 2)})
     place = F.row_number().over(Window.partitionBy(by).orderBy(key))
     first = rows.select(by, key).withColumn("_place", place).where("_place <= 5").groupBy(by).agg(F.array_join(F.sort_array(F.collect_list(key)), ",").alias("sample_ids"))
     return rows.groupBy(by).agg(F.count("*").alias("documents"), *[c.alias(n) for n, c in more.items()]).join(median, by).join(first, by)
@@ -62,7 +51,11 @@ def piece_summary(docs: DataFrame, by: str, pieces: Column) -> DataFrame:
     both = lengths.unionByName(lengths.groupBy("length").agg(F.sum("n").alias("n")).select(F.lit(None).cast("string").alias(by), "length", "n"))
     ordered = Window.partitionBy(by).orderBy("length").rowsBetween(Window.unboundedPreceding, -1)
     places = both.withColumn("before", F.coalesce(F.sum("n").over(ordered), F.lit(0))).withColumn("total", F.sum("n").over(Window.partitionBy(by)))
-    nearest = lambda q: at(F.greatest(F.ceil(F.col("total") * F.lit(q)) - 1, F.lit(0)), "length")
+
+    def nearest(q: float) -> Column:
+        index = F.greatest(F.ceil(F.col("total") * F.lit(q)) - 1, F.lit(0))
+        return F.max(F.when((F.col("before") <= index) & (index < F.col("before") + F.col("n")), F.col("length")))
+
     made = places.groupBy(by).agg(F.sum("n").alias("tokens"), nearest(0.5).alias("p50"), nearest(0.95).alias("p95"), nearest(0.99).alias("p99"), F.max("length").alias("longest"), F.sum(F.when(F.col("length") >= 8, F.col("n")).otherwise(0)).alias("long_pieces"))
     rate = lambda c: F.round(F.col(c) / F.greatest(F.col("tokens"), F.lit(1)), 9)
     joined = totals.join(made.withColumnRenamed(by, "_by"), F.col(by).eqNullSafe(F.col("_by")))
