@@ -242,30 +242,21 @@ def text_similarity(spark, sf_dir):
 
         return pd.Series([None if x is None or y is None else 1.0 if x == y else SequenceMatcher(a=x, b=y).ratio() for x, y in zip(a, b)], dtype=float)
 
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", T.collapse(F.col("text")).alias("a"))
-    following = F.lead("a").over(Window.partitionBy("conv_id").orderBy("turn", "a"))
-    last = F.lead("turn").over(Window.partitionBy("conv_id").orderBy("turn", "a")).isNull()
-    rows = turns.withColumn("b", following).withColumn("last", last).where("not last").withColumn("similarity", ratio("a", "b"))
+    rows = _neighbours(spark, sf_dir).withColumn("similarity", ratio("a", "b"))
     return rows.select("conv_id", "turn", "similarity", F.when(F.col("a") == F.col("b"), "identical").when(F.col("similarity") >= 0.72, "similar").otherwise("different").alias("label"))
 
 
-def _first_turns(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").where("turn in (0, 1)")
-    turns = [rows.where(F.col("turn") == k).select("conv_id", T.collapse(F.col("text")).alias(n)) for k, n in ((0, "a"), (1, "b"))]
-    return turns[0].join(turns[1], "conv_id")
-
-
-def _letters(x: str) -> str:
-    return S.sub(f"lower({x})", "[^a-z]+")
+def _neighbours(spark, sf_dir):
+    """conv_id, turn, a, b: the whole collapsed text of each turn but the last, and the next one's."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", T.collapse(F.col("text")).alias("a"))
+    order = Window.partitionBy("conv_id").orderBy("turn", "a")
+    return turns.withColumn("b", F.lead("a").over(order)).withColumn("last", F.lead("turn").over(order).isNull()).where("not last").drop("last")
 
 
-@query(f"""
-    SELECT conv_id, CAST(levenshtein(a, b) AS BIGINT) AS distance FROM (SELECT conv_id, {_letters('text')} AS a FROM conversations WHERE turn = 0)
-    JOIN (SELECT conv_id, {_letters('text')} AS b FROM conversations WHERE turn = 1) USING (conv_id)""")
+@query()
 def text_levenshtein(spark, sf_dir):
-    """Edit distance of a conversation's first two turns, over the letters a to z, on which engines agree."""
-    a, b = (F.regexp_replace(F.lower(c), "[^a-z]+", "") for c in ("a", "b"))
-    return _first_turns(spark, sf_dir).select("conv_id", F.levenshtein(a, b).cast("long").alias("distance"))
+    """Edit distance, in characters, of each turn of a conversation and the next one; other engines count bytes."""
+    return _neighbours(spark, sf_dir).select("conv_id", "turn", F.levenshtein("a", "b").cast("long").alias("distance"))
 
 
 MODELS = ((1, 32000, 768, 2048, 12, 12, 4, True), (2, 32768, 1536, 4096, 18, 16, 8, False), (3, 48000, 2048, 5504, 22, 32, 4, False))
