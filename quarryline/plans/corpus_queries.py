@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quarryline.functions import hashing as H
 from quarryline.functions import text as T
-from quarryline.operators import decontaminate, dedup, filters, packing, select, split, tokenize, validate
+from quarryline.operators import decontaminate, dedup, filters, intervals, packing, select, split, tokenize, validate
 from quarryline.operators.prefix import by_number, running_sum
 from quarryline.plans import sql as S
 from quarryline.plans.registry import query
@@ -143,6 +143,21 @@ def shard_plan(spark, sf_dir):
     return spread.groupBy("shard").agg(F.sum(own).alias("tokens"), (F.sum(own) * 2).alias("bytes"), F.count("*").alias("documents")).withColumn("first_token", F.col("shard") * SHARD)
 
 
+@query(f"""
+    WITH {STREAM_SQL.split("cut AS")[0].rstrip().rstrip(",")},
+    sizes AS (SELECT coalesce(source, '') AS shard, sum(n) AS tokens, min(doc_id) AS number FROM stream JOIN documents USING (doc_id) GROUP BY 1),
+    shards AS (SELECT shard, tokens, sum(tokens) OVER (ORDER BY number) - tokens AS first FROM sizes)
+    SELECT doc_id, shard, CAST(stream.start - first AS BIGINT) AS place FROM stream JOIN shards ON stream.start >= first AND stream.start < first + tokens""")
+def document_shards(spark, sf_dir):
+    """The shard in which each document's first token lies, and its place there, if the stream is cut into shards as long as the sources are, in the order of their first documents."""
+    docs = documents(spark, sf_dir)
+    rows = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("shard"), (F.size(T.words(F.col("text"))) + 1).cast("long").alias("n"))
+    placed = running_sum(rows.select("doc_id", "n"), by_number(rows, "doc_id"), ["doc_id"], F.col("n"), "first")
+    sizes = rows.groupBy("shard").agg(F.sum("n").alias("tokens"), F.min("doc_id").alias("number"))
+    shards = intervals.consecutive(sizes, "number", "tokens")
+    return intervals.holding(placed, "first", shards).select("doc_id", "shard", (F.col("first") - F.col("start")).alias("place"))
+
+
 SPLIT_TOKENS = f"""
     tokens AS (SELECT doc_id, ids, CAST(len(ids) AS BIGINT) AS n, {S.by_bucket("sha256(CAST(doc_id AS VARCHAR))", 800, 100, 1000)} AS split FROM {IDS}),
     placed AS (SELECT *, CAST(coalesce(sum(n) OVER (PARTITION BY split ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM tokens),

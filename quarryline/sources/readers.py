@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from pathlib import Path
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -182,32 +180,8 @@ def located(offset: int, tokens: list[int]) -> tuple[int, int]:
     raise ValueError("the offset lies behind the last shard")
 
 
-def read_shards(spark: SparkSession, folder: str, tokens_per_shard: int, context: int, start: int = 0) -> DataFrame:
-    """sequence, tokens: full sequences of a stream that lies in shards of 16-bit tokens.
+def read_shards(spark: SparkSession, folder: str, context: int, start: int = 0, manifest: str | None = None) -> DataFrame:
+    """sequence, tokens: full sequences of a stream that lies in shards of 16-bit tokens, read from where start lies."""
+    from quarryline.sources.shards import sequences
 
-    A sequence may straddle shards; each shard gives its parts, which meet by sequence. Shards must be
-    full but for the last. start must lie on the border of a sequence.
-    """
-    if start % context:
-        raise ValueError("start must be a multiple of the context length")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
-        for batch in batches:
-            for shard, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                tokens = np.frombuffer(content.as_py(), "<u2").astype(np.int32)
-                first = shard * tokens_per_shard
-                at, rows = 0, []
-                while at < len(tokens):
-                    place = first + at
-                    n = min(context - place % context, len(tokens) - at)
-                    rows.append((place // context, place % context, tokens[at : at + n]))
-                    at += n
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.int32()))], ["sequence", "at", "part"])
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.bin").load(folder)
-    shard = F.regexp_extract("path", r"([0-9]+)\.bin$", 1).cast("long")
-    parts = files.select(shard.alias("shard"), "content").mapInArrow(run, "sequence long, at long, part array<int>").where(F.col("sequence") * context >= start)
-    whole = parts.groupBy("sequence").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("at", "part"))), lambda x: x["part"])).alias("tokens"))
-    return whole.where(F.size("tokens") == context).select((F.col("sequence") - start // context).alias("sequence"), "tokens")
+    return sequences(spark, folder, context, start, manifest)

@@ -120,10 +120,10 @@ def test_shards_round_trip(spark, tmp_path):
     manifest = sinks.write_shards(stream, folder, 100)
     assert [m["tokens"] for m in manifest] == [100] * (len(tokens) // 100) + [len(tokens) % 100] * bool(len(tokens) % 100)
     for start in (0, 32):
-        got = readers.read_shards(spark, folder, 100, 16, start).orderBy("sequence").collect()
+        got = readers.read_shards(spark, folder, 16, start).orderBy("sequence").collect()
         assert [r.tokens for r in got] == [tokens[k : k + 16] for k in range(start, len(tokens) - 15, 16)]
     with pytest.raises(ValueError):
-        readers.read_shards(spark, folder, 100, 16, 5)
+        readers.read_shards(spark, folder, 16, 5)
     known = spark.createDataFrame([(m["name"], m["bytes"], m["sha256"]) for m in manifest] + [("gone.bin", 1, "x")], "name string, bytes long, sha256 string")
     assert [tuple(r) for r in readers.check_files(readers.files_with_digests(spark, folder), known).collect()] == [("gone.bin", "missing")]
 
