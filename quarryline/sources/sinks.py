@@ -91,16 +91,18 @@ def write_shards(stream: DataFrame, folder: str, tokens_per_shard: int, target_t
 
 
 def write_json(spark: SparkSession, path: str, payload: dict) -> None:
-    """A small report in any store that Spark knows. It appears as a whole: a reader sees the old one, none or the new one."""
+    """A small report in any store that Spark knows. It takes the place of an old one in one step: a reader sees either."""
     files = spark._jvm.org.apache.hadoop.fs
     to, fresh = files.Path(path), files.Path(f"{path}.{uuid.uuid4().hex}")
-    store = to.getFileSystem(spark._jsc.hadoopConfiguration())
+    settings = spark._jsc.hadoopConfiguration()
+    store = to.getFileSystem(settings)
     stream = store.create(fresh)
     stream.write(bytearray(json.dumps(payload, ensure_ascii=False, sort_keys=True, indent=1), "utf-8"))
     stream.close()
-    store.delete(to, False)
-    if not store.rename(fresh, to):
-        raise OSError(f"can't write {path}")
+    kind = getattr(files, "Options$Rename")
+    how = spark.sparkContext._gateway.new_array(kind, 1)
+    how[0] = kind.OVERWRITE
+    files.FileContext.getFileContext(store.getUri(), settings).rename(store.makeQualified(fresh), store.makeQualified(to), how)
 
 
 def write_training_text(docs: DataFrame, path: str, overwrite: bool = False) -> None:

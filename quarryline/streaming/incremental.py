@@ -18,7 +18,8 @@ from quarryline.functions import hashing as H
 from quarryline.functions import text as T
 from quarryline.operators import filters
 from quarryline.operators.prefix import by_digest, running_sum
-from quarryline.sources.sinks import write_json
+from quarryline.sources.scratch import materialize, passing
+from quarryline.streaming.control import Commits, Full, drive
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -51,58 +52,48 @@ def same_rules(spark: SparkSession, checkpoint: str, rules: filters.StreamRules)
     out.close()
 
 
-def run(spark: SparkSession, folder: str, out: str, checkpoint: str, rules: filters.StreamRules = filters.StreamRules(), files_per_batch: int = 8, once: bool = True, stop_after: int | None = None, progress: str | None = None):
+def run(spark: SparkSession, folder: str, out: str, checkpoint: str, rules: filters.StreamRules = filters.StreamRules(), files_per_batch: int = 8, once: bool = True, stop_after: int | None = None, progress: str | None = None, every: int | None = None):
     """Reads new Parquet files of a folder, drops what has been seen, and appends the rest by split.
 
     With stop_after the run ends in order after the batch in which it has read so many documents; the next
-    run goes on behind it. What has been read is reported at `progress`.
+    run goes on behind it. What has been read is reported at `progress`, each `every` documents and at the end.
     """
     same_rules(spark, checkpoint, rules)
     stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
     writer = accepted(stream, rules).dropDuplicates(["fp"]).writeStream.format("parquet").partitionBy("split").option("path", out).option("checkpointLocation", checkpoint)
-    query = (writer.trigger(availableNow=True) if once else writer).start()
-    if once:
-        while query.isActive and (stop_after is None or documents_read(query) < stop_after):
-            query.awaitTermination(1)
-        query.stop()
-    if progress is not None:
-        write_json(spark, progress, {"documents_read": documents_read(query), "batches": len(query.recentProgress), "stopped": stop_after is not None and documents_read(query) >= stop_after})
-    return query
-
-
-def documents_read(query) -> int:
-    """Documents that the batches of this run have read, as far as Spark remembers them."""
-    return sum(p["numInputRows"] for p in query.recentProgress)
+    return drive(spark, writer, stop_after, progress, every, once)[0]
 
 
-def run_to_targets(spark: SparkSession, folder: str, out: str, checkpoint: str, targets: dict[str, int], rules: filters.StreamRules = filters.StreamRules(), files_per_batch: int = 8, must_reach: bool = False):
+def run_to_targets(spark: SparkSession, folder: str, out: str, checkpoint: str, targets: dict[str, int], rules: filters.StreamRules = filters.StreamRules(), files_per_batch: int = 8, must_reach: bool = False, progress: str | None = None):
     """The same with a target of words for each split: documents are taken in the order of their
     fingerprints within a batch until the target is reached, the last one cut; the rest is skipped.
 
-    What earlier batches took is read from the output, and a batch that runs again replaces its own
-    folder, so nothing counts twice. With must_reach it is an error if the files end before the targets.
+    What earlier batches took is in the record that the last one committed, and a batch that runs again replaces its own
+    folder, so nothing counts twice. Once all targets are met no file is read any more: the next batch ends
+    the run uncommitted, so a later run with higher targets begins with it. With must_reach it is an error if the files end before the targets.
     """
     same_rules(spark, checkpoint, rules)
-    wanted = spark.createDataFrame(list(targets.items()), "split string, target long")
+    commits = Commits(spark, out)
 
     def add(batch: DataFrame, number: int) -> None:
-        at, system = _hadoop(spark, out)
-        schema = "doc_id long, fp string, taken long, split string, batch long"
-        before = spark.read.schema(schema).option("basePath", out).parquet(out).where(F.col("batch") < number) if system.exists(at) else spark.createDataFrame([], schema)
-        had = before.groupBy("split").agg(F.sum("taken").alias("had"))
-        left = wanted.join(had, "split", "left").select("split", (F.col("target") - F.coalesce("had", F.lit(0))).alias("left"))
-        rows = batch.select("doc_id", "fp", "split", T.word_count(F.col("text")).alias("n"))
-        placed = running_sum(rows, by_digest("fp"), ["fp"], F.col("n"), "before", by=("split",)).join(F.broadcast(left), "split")  # a row for each split
-        taken = placed.withColumn("taken", F.least("n", F.greatest(F.col("left") - F.col("before"), F.lit(0)))).where("taken > 0")
-        taken.select("doc_id", "fp", "taken", "split").write.mode("overwrite").parquet(f"{out}/batch={number}")
+        had = (commits.read(number - 1) or {}).get("taken", {}) if number else {}
+        left = {s: t - had.get(s, 0) for s, t in targets.items()}
+        if max(left.values(), default=0) <= 0:
+            raise Full
+        with passing(spark):
+            rows = materialize(batch.select("doc_id", "fp", "split", T.word_count(F.col("text")).alias("n")), "batch")
+            wanted = spark.createDataFrame(list(left.items()), "split string, left long")
+            placed = running_sum(rows, by_digest("fp"), ["fp"], F.col("n"), "before", by=("split",)).join(F.broadcast(wanted), "split")  # a row for each split
+            taken = placed.withColumn("taken", F.least("n", F.greatest(F.col("left") - F.col("before"), F.lit(0)))).where("taken > 0")
+            taken.select("doc_id", "fp", "taken", "split").write.mode("overwrite").parquet(f"{out}/batch={number}")
+        now = spark.read.schema("taken long, split string").parquet(f"{out}/batch={number}").groupBy("split").agg(F.sum("taken").alias("n"))
+        new = {r["split"]: r["n"] for r in now.collect()}  # a row for each split
+        commits.write(number, {"taken": {s: had.get(s, 0) + new.get(s, 0) for s in {*had, *targets}}})
 
     stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
-    query = accepted(stream, rules).dropDuplicates(["fp"]).writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
+    query, _ = drive(spark, accepted(stream, rules).dropDuplicates(["fp"]).writeStream.foreachBatch(add).option("checkpointLocation", checkpoint), progress=progress)
     if must_reach:
-        at, system = _hadoop(spark, out)
-        had = spark.read.option("basePath", out).parquet(out).groupBy("split").agg(F.sum("taken").alias("had")) if system.exists(at) else spark.createDataFrame([], "split string, had long")
-        short = wanted.join(had, "split", "left").where(F.coalesce("had", F.lit(0)) < F.col("target"))
-        if not short.isEmpty():
-            raise RuntimeError(f"the files ended before the targets: {[tuple(r) for r in short.collect()]}")
+        had = (commits.last() or {}).get("taken", {})
+        if short := {s: (had.get(s, 0), t) for s, t in targets.items() if had.get(s, 0) < t}:
+            raise RuntimeError(f"the files ended before the targets: {short}")
     return query
