@@ -101,7 +101,7 @@ def drive(spark: SparkSession, writer, stop_after: int | None = None, progress:
         state = "full"
     finally:
         if once and query is not None:
-            seen._ended(run).wait(30)  # the events of its batches come before
+            seen._ended(run).wait(30 if state in ("finished", "stopped") else 5)  # the events of its batches come before; after an error it may not come
             if state == "finished" and stop_after is not None and seen.read.get(run, 0) >= stop_after:
                 state = "stopped"
             seen.report(run, state, error)

@@ -1,7 +1,7 @@
 """Streams: counts, stops, targets and shards, however the runs are cut."""
 
+import hashlib
 import json
-import random
 
 import numpy as np
 import pytest
@@ -65,3 +65,71 @@ def test_nothing_is_read_after_the_last_target(spark, sf_dir, tmp_path):
     assert first.numbers() == list(range(8)) and first.last()["taken"]["train"] == got[0] and got[1] >= got[2]
 
 
+def shard_bytes(spark, out):
+    """The stream of each split, read back through the manifests, and the names of all files."""
+    from quarryline.streaming import shard_stream
+
+    names = shard_stream.write_manifests(spark, f"file://{out}")
+    found = {}
+    for split, name in names.items():
+        manifest = json.loads((out / name).read_text())
+        assert [hashlib.sha256((out / s["name"]).read_bytes()).hexdigest() for s in manifest["shards"]] == [s["sha256"] for s in manifest["shards"]]
+        found[split] = b"".join((out / s["name"]).read_bytes() for s in manifest["shards"])
+        assert len(found[split]) == 2 * manifest["total_tokens"]
+        assert all(s["tokens"] == 64 for s in manifest["shards"][:-1])
+    listed = {s["name"] for n in names.values() for s in json.loads((out / n).read_text())["shards"]}
+    assert {p.name for p in out.iterdir() if p.suffix in (".bin", ".part")} == listed
+    return found
+
+
+@pytest.mark.parametrize("crash", ["before the commit", "after the commit"])
+def test_shards_are_the_same_bytes_after_a_crash(spark, sf_dir, tmp_path, monkeypatch, crash):
+    from quarryline.sources import shards
+    from quarryline.streaming import shard_stream
+
+    arriving(spark, sf_dir, f"{tmp_path}/in", files=6)
+    args = dict(tokens_per_shard=64, files_per_batch=1)
+    shard_stream.run(spark, f"{tmp_path}/in", f"file://{tmp_path}/whole", f"{tmp_path}/check", **args)
+    whole = shard_bytes(spark, tmp_path / "whole")
+    assert len(whole["train"]) > 64 * 2 * 20
+
+    write, calls = control.Commits.write, []
+
+    def failing(self, batch, record):
+        calls.append(batch)
+        if batch == 2 and calls.count(2) == 1:
+            if crash == "after the commit":
+                write(self, batch, record)
+            raise RuntimeError("killed")
+        write(self, batch, record)
+
+    monkeypatch.setattr(control.Commits, "write", failing)
+    with pytest.raises(Exception, match="killed"):
+        shard_stream.run(spark, f"{tmp_path}/in", f"file://{tmp_path}/cut", f"{tmp_path}/check2", **args)
+    if crash == "before the commit":  # what the batch wrote is there, and nobody vouches for it
+        (tmp_path / "cut/_writing").mkdir(exist_ok=True)
+        (tmp_path / "cut/_writing/unfinished").write_bytes(b"x")
+        (tmp_path / "cut/train-000999.bin").write_bytes(b"x")
+    shard_stream.run(spark, f"{tmp_path}/in", f"file://{tmp_path}/cut", f"{tmp_path}/check2", **args)
+    assert calls.count(2) == (2 if crash == "before the commit" else 1)
+    assert shard_bytes(spark, tmp_path / "cut") == whole
+    tokens = np.frombuffer(whole["train"], "<u2")
+    got = shards.sequences(spark, f"file://{tmp_path}/cut", 32, 320, "train.manifest.json").orderBy("sequence").collect()
+    assert [t for r in got for t in r.tokens] == tokens[320 : len(tokens) // 32 * 32].tolist()
+
+
+def test_shards_stop_and_end_at_their_targets(spark, sf_dir, tmp_path):
+    from quarryline.streaming import shard_stream
+
+    arriving(spark, sf_dir, f"{tmp_path}/in", files=5)
+    args = dict(tokens_per_shard=64, files_per_batch=1)
+    shard_stream.run(spark, f"{tmp_path}/in", f"file://{tmp_path}/whole", f"{tmp_path}/check", **args)
+    whole = shard_bytes(spark, tmp_path / "whole")
+    shard_stream.run(spark, f"{tmp_path}/in", f"file://{tmp_path}/two", f"{tmp_path}/check2", stop_after=20, **args)
+    shard_stream.run(spark, f"{tmp_path}/in", f"file://{tmp_path}/two", f"{tmp_path}/check2", **args)
+    assert shard_bytes(spark, tmp_path / "two") == whole
+    shard_stream.run(spark, f"{tmp_path}/in", f"file://{tmp_path}/some", f"{tmp_path}/check3", targets={"train": 701}, progress=f"file://{tmp_path}/p.json", **args)
+    assert shard_bytes(spark, tmp_path / "some") == {"train": whole["train"][: 2 * 701]}
+    assert json.loads((tmp_path / "p.json").read_text())["state"] == "full"
+    with pytest.raises(ValueError, match="another checkpoint"):
+        shard_stream.run(spark, f"{tmp_path}/in", f"file://{tmp_path}/some", f"{tmp_path}/check4", **args)
