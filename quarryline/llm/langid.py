@@ -23,7 +23,6 @@ an empty table gives no rows.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from itertools import chain, groupby
@@ -54,11 +53,10 @@ FLOOR = 0.02
 STRANGE = 1e-6
 SLACK = 6.0
 WORDS_KEPT = 120_000
-LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str | None) -> list[str]:
-    return LETTERS.findall(text.lower()) if text else []
+    return worker.letter_runs(text.lower()) if text else []
 
 
 def vocabulary(model_file: str) -> dict[str, int]:

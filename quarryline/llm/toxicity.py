@@ -25,7 +25,6 @@ looked at; an empty table gives no rows.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -54,7 +53,6 @@ SMOOTH = 30
 WORDS_KEPT = 80_000
 #: Texts whose features a task holds at once.
 SLICE = 64
-LETTERS = re.compile(r"[^\W\d_]+")
 
 
 class Model(NamedTuple):
@@ -73,7 +71,7 @@ NOTHING = Model({}, np.array([50.0]), np.array([0.0, 1.0]))
 
 
 def words_of(text: str | None) -> list[str]:
-    return LETTERS.findall(text.lower()) if text else []
+    return worker.letter_runs(text.lower()) if text else []
 
 
 def features_of(word: str) -> list[str]:

@@ -6,6 +6,7 @@ What one operator remembers is of no use to the next one, and what it has freed
 from __future__ import annotations
 
 import ctypes
+import re
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -27,3 +28,14 @@ def begin(operator: str, clear: Callable[[], object] | None = None) -> None:
     if clear is not None:
         _clear[operator] = clear
     give_back()
+
+
+ALPHANUMERIC = re.compile(r"[^\W\d_]+")
+
+
+def letter_runs(text: str) -> list[str]:
+    """Runs of letters, in the sense of str.isalpha; the pattern takes number signs such as superscripts, fractions and Roman numerals for some."""
+    found = ALPHANUMERIC.findall(text)
+    if not found or "".join(found).isalpha():
+        return found
+    return [w for f in found for w in "".join(c if c.isalpha() else " " for c in f).split()]

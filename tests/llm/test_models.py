@@ -205,3 +205,53 @@ def test_chances_and_expected_label():
     own = above[:-1] - above[1:]
     assert abs(own.sum() - 1) < 1e-12 and (own > 0).all()
     assert abs(own @ values - (values[0] + above[1:-1] @ np.diff(values))) < 1e-12
+
+
+def test_number_signs_are_no_letters(spark, sf_dir):
+    import unicodedata
+
+    from quarryline.llm import worker
+    from quarryline.llm.queries import tokenizer_path
+
+    every = [c for c in map(chr, range(0x110000)) if not 0xD800 <= ord(c) < 0xE000]
+    assert worker.letter_runs(" ".join(every)) == [c for c in every if unicodedata.category(c).startswith("L")]
+    assert worker.letter_runs("a²b ½ Ⅷ ① 12x ünï_z") == ["a", "b", "x", "ünï", "z"]
+    given = [(10**6 + k, t) for k, t in enumerate(["²", "½ ① 12", "Ⅷ", "123 !!", None, "", "²the house of the people"])]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = docs.unionByName(spark.createDataFrame(given, "doc_id long, text string"), allowMissingColumns=True)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(rows, tokenizer_path("piece_bpe_32k.model")).collect()}
+    assert all(got[10**6 + k] == ("und", 0.0) for k in range(6)) and got[10**6 + 6][0] == "en"
+
+
+def test_fit_meets_the_conditions_of_the_penalised_optimum():
+    rng = np.random.default_rng(8)
+    n, size, top = 900, 40, 3
+    kept = rng.random((n, size)) < 0.3
+    rows, cols = np.nonzero(kept)
+    values = rng.random(len(rows)) * 2
+    true = np.where(np.arange(size) < 8, rng.normal(0, 2, size), 0.0)
+    score = np.bincount(rows, values * true[cols], n) + rng.logistic(size=n)
+    grades = np.digitize(score, np.quantile(score, [0.4, 0.7, 0.9]))
+    data = toxicity.Rows(rows, cols, values, grades, np.ones(n))
+    start = toxicity.begin(grades, data.weights, size, top)
+    penalty = np.abs(toxicity.slopes(data, start, size)[:size]).max() / 16
+    loss = lambda p, l: l * np.abs(p[:size]).sum() - toxicity.likelihood(data, p[:size], toxicity.thresholds(p, size))
+
+    def plain(p, l, steps=6000):  # proximal gradient with steps that shrink until the loss falls
+        rate, now = 1.0, loss(p, l)
+        for _ in range(steps):
+            q = p - rate * toxicity.slopes(data, p, size)
+            q[:size] = np.sign(q[:size]) * np.maximum(np.abs(q[:size]) - rate * l, 0)
+            if (new := loss(q, l)) <= now:
+                p, now, rate = q, new, rate * 1.1
+            else:
+                rate /= 2
+        return p
+
+    best = plain(start, penalty)
+    slope = toxicity.slopes(data, best, size)
+    used = best[:size] != 0
+    assert np.abs(slope[:size][used] + penalty * np.sign(best[:size][used])).max() < 0.01 * penalty and (np.abs(slope[:size][~used]) <= 1.01 * penalty).all()
+    way = loss(start, penalty) - loss(best, penalty)
+    gaps = [(loss(toxicity.fit_ordinal(data, size, start, penalty, steps), penalty) - loss(best, penalty)) / way for steps in (toxicity.STEPS, 4 * toxicity.STEPS, 20 * toxicity.STEPS)]
+    assert 0.03 > gaps[0] > gaps[1] > gaps[2] > -1e-6 and gaps[2] < 1e-3, gaps  # the steps of a fit stop a little short of the optimum, more steps reach it
