@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,14 +63,36 @@ def as_hex(c: Column) -> Column:
     return F.lpad(F.lower(F.hex(c)), 16, "0")
 
 
+def simhash(words: Column) -> Column:
+    """SimHash of a row's array of words as a signed long: each word's sha256 prefix votes as often as the word occurs.
+
+    It depends on one row only, so nothing is shuffled; rows come in Arrow batches, and each word of a batch is hashed once. Without words it is 0.
+    """
+
+    @F.arrow_udf("bigint")
+    def made(lists: pa.Array) -> pa.Array:
+        from hashlib import sha256
+
+        import numpy as np
+
+        coded = lists.flatten().dictionary_encode()
+        digests = b"".join(sha256(w.encode("utf-8", "surrogatepass")).digest()[:8] for w in coded.dictionary.to_pylist())
+        votes = np.unpackbits(np.frombuffer(digests, np.uint8).reshape(-1, 8), axis=1).astype(np.int8) * 2 - 1
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        ends = np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        out = np.zeros((len(lists), 8), np.uint8)
+        for k, (first, last) in enumerate(zip(np.concatenate(([0], ends[:-1])), ends)):
+            if last > first:
+                word, times = np.unique(codes[first:last], return_counts=True)
+                out[k] = np.packbits(times @ votes[word] >= 0)
+        return pa.array(out.view(">i8").ravel().astype(np.int64))
+
+    return made(F.coalesce(words, F.array().cast("array<string>")))
+
+
 def simhash_sha(docs: DataFrame) -> DataFrame:
-    """doc_id, simhash (signed long): each distinct word's sha256 prefix votes by its frequency."""
-    counts = docs.select("doc_id", F.explode(words(F.col("text"))).alias("word")).groupBy("doc_id", "word").count()
-    voted = counts.select("doc_id", "count", signed(F.sha2("word", 256)).alias("h"))
-    votes = [F.sum(F.when(F.shiftrightunsigned("h", b).bitwiseAND(1) == 1, F.col("count")).otherwise(-F.col("count"))).alias(f"b{b}") for b in range(64)]
-    bits = [F.when(F.col(f"b{b}") >= 0, F.lit((1 << b) - (1 << 64 if b == 63 else 0)).cast("long")).otherwise(F.lit(0).cast("long")) for b in range(64)]
-    made = voted.groupBy("doc_id").agg(*votes).select("doc_id", reduce(lambda x, y: x.bitwiseOR(y), bits).alias("simhash"))
-    return docs.select("doc_id").join(made, "doc_id", "left").select("doc_id", F.coalesce("simhash", F.lit(0).cast("long")).alias("simhash"))
+    """doc_id, simhash (signed long) of each document's words."""
+    return docs.select("doc_id", simhash(words(F.col("text"))).alias("simhash"))
 
 
 def simhash_blake(text: Column) -> Column:

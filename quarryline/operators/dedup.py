@@ -7,7 +7,9 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarryline.functions.hashing import hamming
+from quarryline.functions.hashing import fingerprint, hamming, simhash
+from quarryline.functions.text import words
+from quarryline.operators.selection import sendable
 from quarryline.sources.scratch import materialize
 
 #: A 64-bit value is cut into six parts; values at a distance of at most 3 agree in at least three of them.
@@ -21,6 +23,21 @@ def keep_first(rows: DataFrame, key: list[str], order: list) -> DataFrame:
     return rows.withColumn("_place", place).where("_place = 1").drop("_place")
 
 
+def marks_of(text: Column) -> tuple[Column, Column]:
+    """fingerprint and simhash of a text, both from its own row."""
+    return fingerprint(text).alias("fingerprint"), simhash(words(text)).alias("simhash")
+
+
+def near_known(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """The distinct simhash values of rows that lie within DISTANCE of a known one, themselves included.
+
+    The rows' values, with a key for each choice of three parts, are sent to all tasks if they are few, so that a large table of known ones isn't shuffled.
+    """
+    asked = rows.select("simhash").distinct().select("simhash", F.explode(_keys(F.col("simhash"))).alias("key"))
+    there = known.select(F.col("simhash").alias("other"), F.explode(_keys(F.col("simhash"))).alias("key"))
+    return there.join(sendable(asked), "key").where(hamming(F.col("simhash"), F.col("other")) <= DISTANCE).select("simhash").distinct()
+
+
 def _keys(value: Column) -> Column:
     part = [F.shiftrightunsigned(value, at).bitwiseAND((1 << width) - 1) for at, width in PARTS]
     return F.array(*[F.xxhash64(F.lit(n), *[part[k] for k in chosen]) for n, chosen in enumerate(combinations(range(6), 3))])

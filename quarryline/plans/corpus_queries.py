@@ -26,9 +26,7 @@ NEAR_SQL = f"""
 
 
 def _marks(spark, sf_dir):
-    docs = documents(spark, sf_dir)
-    prints = docs.select("doc_id", H.fingerprint(F.col("text")).alias("fingerprint"))
-    return prints.join(H.simhash_sha(docs), "doc_id")
+    return documents(spark, sf_dir).select("doc_id", *dedup.marks_of(F.col("text")))
 
 
 @query(f"WITH {SIMHASH_SQL}, {NEAR_SQL} SELECT src, dst, CAST(distance AS BIGINT) AS distance FROM near")

@@ -157,14 +157,16 @@ def registry(path: str | Path) -> dict[str, dict]:
 
 
 def files_with_digests(spark: SparkSession, folder: str) -> DataFrame:
-    """path, bytes, sha256 of every file below a folder."""
+    """path, name (the path below the folder), bytes, sha256 of every file below a folder."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    root = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString().rstrip("/")
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    return rows.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    return rows.select("path", F.substring("path", len(root) + 2, 1 << 30).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
 def check_files(found: DataFrame, manifest: DataFrame) -> DataFrame:
     """name, problem (missing, size, checksum) of files that don't match a manifest (name, bytes, sha256)."""
-    named = found.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("bytes").alias("_bytes"), F.col("sha256").alias("_sha256"))
+    named = found.select("name", F.col("bytes").alias("_bytes"), F.col("sha256").alias("_sha256"))
     problem = F.when(F.col("_bytes").isNull(), "missing").when(F.col("_bytes") != F.col("bytes"), "size").when(F.col("_sha256") != F.col("sha256"), "checksum")
     return manifest.join(named, "name", "left").select("name", problem.alias("problem")).where("problem is not null")
 

@@ -146,10 +146,10 @@ def recover_shards(folder: str, tokens: int, tokens_per_shard: int) -> list[str]
 
 
 def publish(spark: SparkSession, source: str, to: str) -> DataFrame:
-    """Copies the files of a folder, checks their digests, and writes a marker last; returns path, bytes, sha256."""
+    """Copies the files below a folder, checks their digests, and writes a marker last; returns name (below the folder), bytes, sha256."""
     from quarryline.sources.readers import check_files, files_with_digests
 
-    named = files_with_digests(spark, source).select(F.element_at(F.split("path", "/"), -1).alias("name"), "path", "bytes", "sha256")
+    named = files_with_digests(spark, source)
 
     def copy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -158,6 +158,7 @@ def publish(spark: SparkSession, source: str, to: str) -> DataFrame:
         b.create_dir(target, recursive=True)
         for batch in batches:
             for name in batch.column(0).to_pylist():
+                b.create_dir(f"{target}/{name}".rpartition("/")[0], recursive=True)
                 fs.copy_files(f"{root}/{name}", f"{target}/{name}", source_filesystem=a, destination_filesystem=b)
             yield batch
 

@@ -104,6 +104,15 @@ def test_publish_copies_and_marks_last(spark, tmp_path):
         assert (tmp_path / "to" / p.name).read_bytes() == p.read_bytes()
 
 
+def test_publish_keeps_folders(spark, tmp_path):
+    for name in ("a.txt", "sub/a.txt", "sub/deep er/b.txt"):
+        (tmp_path / "from" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "from" / name).write_text(name)
+    got = sinks.publish(spark, f"file://{tmp_path}/from", f"file://{tmp_path}/to")
+    assert sorted(r.name for r in got.collect()) == ["a.txt", "sub/a.txt", "sub/deep er/b.txt"]
+    assert all((tmp_path / "to" / n).read_text() == n for n in ("a.txt", "sub/a.txt", "sub/deep er/b.txt"))
+
+
 def test_training_text_and_jsonl(spark, tmp_path):
     docs = spark.createDataFrame([("a\r\nb\rc",), (" ",), ("ü",)], "text string").coalesce(1)
     sinks.write_training_text(docs, f"{tmp_path}/t")

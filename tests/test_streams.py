@@ -133,3 +133,32 @@ def test_shards_stop_and_end_at_their_targets(spark, sf_dir, tmp_path):
     assert json.loads((tmp_path / "p.json").read_text())["state"] == "full"
     with pytest.raises(ValueError, match="another checkpoint"):
         shard_stream.run(spark, f"{tmp_path}/in", f"file://{tmp_path}/some", f"{tmp_path}/check4", **args)
+
+
+@pytest.mark.parametrize("files", [1, 3, 7])
+def test_near_duplicates_do_not_depend_on_the_files(spark, sf_dir, tmp_path, monkeypatch, files):
+    from quarryline.operators import dedup
+    from quarryline.streaming import near_stream
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").collect()
+    schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
+    docs = [r.asDict() for r in docs[:120]]
+    for k in range(8, 120, 8):  # copies, copies with other case, and texts a word apart, near and far
+        docs[k]["text"] = docs[k - 8]["text"].upper() if k % 3 == 0 else docs[k // 2]["text"] + " end" if k % 3 == 1 else docs[k % 40]["text"]
+    rows = [tuple(d.values()) for d in docs]
+    marks = spark.createDataFrame(rows, schema).select("doc_id", *dedup.marks_of(F.col("text")))
+    wanted = {r.doc_id: r.label for r in dedup.survivors(marks).collect()}
+    assert {"kept", "exact_duplicate", "near_duplicate"} <= set(wanted.values())
+    for k in range(files):
+        part = rows[k * len(rows) // files : (k + 1) * len(rows) // files]
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    args = (spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/check", 1)
+    if files == 3:  # killed with a batch written but not committed
+        write = control.Commits.write
+        monkeypatch.setattr(control.Commits, "write", lambda self, batch, record: write(self, batch, record) if batch != 1 else (_ for _ in ()).throw(RuntimeError("killed")))
+        with pytest.raises(Exception, match="killed"):
+            near_stream.run(*args)
+        monkeypatch.setattr(control.Commits, "write", write)
+    near_stream.run(*args)
+    got = spark.read.parquet(f"{tmp_path}/out/labels").collect()
+    assert {r.doc_id: r.label for r in got} == wanted and len(got) == len(wanted)
