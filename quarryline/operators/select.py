@@ -70,3 +70,29 @@ def resumed(rows: DataFrame, key: str, seed: str, start: int = 0) -> DataFrame:
     """rows with their place in a seeded order, from a place on: what a run that had taken `start` rows goes on with."""
     hashed = rows.withColumn("_order", sha(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))))
     return running_sum(hashed, by_digest("_order"), ["_order", key], F.lit(1), "place").where(F.col("place") >= start).drop("_order")
+
+
+def buffered(rows: DataFrame, key: str, seed: int, buffer: int, start: int = 0) -> DataFrame:
+    """rows with their place after a seeded shuffle through a buffer, from a place on.
+
+    The buffer takes the first `buffer` rows in the order of a distinct whole-number key. From then on its slots are visited in rounds,
+    each round in an order of its own: a visited slot gives its row away and takes the next one. At the end the
+    rounds go on until the buffer is empty. So a row moves by less than 2 * buffer places either way.
+
+    No task has to play that through: a row that comes in at one round leaves at its slot's turn in the next, and orders of slots follow
+    from the seed. Windows hold one round, and a run that had taken `start` rows begins one buffer before.
+    """
+    numbered = running_sum(rows, by_number(rows, key), [key], F.lit(1), "_i")
+    n = rows.count()
+    near = numbered.where(F.col("_i") >= start - buffer)
+    rounds = -(-n // buffer) + 1
+    mark = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("_round").cast("string"), F.col("_slot").cast("string")).cast("binary"))
+    turn = (F.row_number().over(Window.partitionBy("_round").orderBy("_mark", "_slot")) - 1).cast("long").alias("_turn")
+    first = max(0, start - buffer) // buffer
+    slots = rows.sparkSession.range(first, max(first, rounds)).withColumnRenamed("id", "_round").withColumn("_slot", F.explode(F.sequence(F.lit(0), F.lit(buffer - 1)))).withColumn("_mark", mark).select("_round", "_slot", turn)
+    came = near.withColumn("_round", F.floor(F.col("_i") / buffer)).withColumn("_turn", F.col("_i") % buffer).join(slots, ["_round", "_turn"]).drop("_turn")
+    left = came.withColumn("_round", F.col("_round") + 1).join(slots, ["_round", "_slot"]).withColumn("_step", F.col("_round") * buffer + F.col("_turn"))
+    # steps from n on take no row in, and empty slots give none: what is left then, a buffer at most, follows step by step
+    last = left.where(F.col("_step") >= n).withColumn("place", max(0, n - buffer) + F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("_step")).cast("long") - 1)
+    both = left.where(F.col("_step") < n).withColumn("place", F.col("_step") - buffer).unionByName(last)
+    return both.where(F.col("place") >= start).select(*rows.columns, "place")

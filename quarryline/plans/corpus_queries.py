@@ -16,7 +16,7 @@ from quarryline.sources.scratch import materialize
 from quarryline.sources.tables import documents, table
 
 STREAM = filters.StreamRules()
-CONTEXT, SHARD, CAP = 512, 10_000, 30_000
+CONTEXT, SHARD, CAP, BUFFER = 512, 10_000, 30_000, 64
 NEAR_SQL = f"""
     prints AS (SELECT doc_id, sha256({S.canonical('text')}) AS fp FROM documents),
     firsts AS (SELECT fp, min(prints.doc_id) AS doc_id, min(h) AS h FROM prints JOIN marks USING (doc_id) GROUP BY fp),
@@ -141,6 +141,17 @@ def shard_plan(spark, sf_dir):
     return spread.groupBy("shard").agg(F.sum(own).alias("tokens"), (F.sum(own) * 2).alias("bytes"), F.count("*").alias("documents")).withColumn("first_token", F.col("shard") * SHARD)
 
 
+@query(f"""
+    WITH n AS (SELECT count(*) AS n FROM documents), numbered AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents),
+    slots AS (SELECT round, slot, row_number() OVER (PARTITION BY round ORDER BY md5('7:' || round || ':' || slot), slot) - 1 AS turn
+        FROM (SELECT unnest(range(0, (n + {BUFFER - 1}) // {BUFFER} + 1)) AS round FROM n), (SELECT unnest(range(0, {BUFFER})) AS slot)),
+    steps AS (SELECT doc_id, b.round * {BUFFER} + b.turn AS step FROM numbered JOIN slots a ON a.round = i // {BUFFER} AND a.turn = i % {BUFFER} JOIN slots b ON b.round = a.round + 1 AND b.slot = a.slot)
+    SELECT doc_id, CAST(CASE WHEN step < n THEN step - {BUFFER} ELSE greatest(0, n - {BUFFER}) + row_number() OVER (PARTITION BY step < n ORDER BY step) - 1 END AS BIGINT) AS place FROM steps, n""")
+def buffered_shuffle(spark, sf_dir):
+    """The documents' places after a seeded shuffle through a buffer, in the order in which a stream would give them."""
+    return select.buffered(documents(spark, sf_dir).select("doc_id"), "doc_id", 7, BUFFER)
+
+
 @query(f"""
     WITH {STREAM_SQL.split("cut AS")[0].rstrip().rstrip(",")},
     sizes AS (SELECT coalesce(source, '') AS shard, sum(n) AS tokens, min(doc_id) AS number FROM stream JOIN documents USING (doc_id) GROUP BY 1),
