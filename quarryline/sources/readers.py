@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from quarryline.functions import text as T
 from quarryline.functions.hashing import sha, stable_key
+from quarryline.operators.prefix import by_number, running_sum
+from quarryline.operators.selection import sendable
+from quarryline.sources.scratch import materialize
 
 
 def read_jsonl(spark: SparkSession, paths: str | list[str], schema: str | StructType, lenient: bool = False) -> DataFrame:
@@ -18,6 +24,30 @@ def read_jsonl(spark: SparkSession, paths: str | list[str], schema: str | Struct
     return spark.read.schema(schema).option("mode", "PERMISSIVE" if lenient else "FAILFAST").json(paths)
 
 
+def numbered_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """file, line (from 1, blank lines count), value of text files, however many tasks a file is split over.
+
+    A split's lines are consecutive in its task, so a line's number in its split is a difference of row ids; the numbers of lines
+    of the splits before it, summed up, are added. Lines aren't shuffled, only a row for each split is.
+    """
+    rows = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), "value", F.monotonically_increasing_id().alias("_row"))
+    splits = materialize(rows.groupBy("file", "_block").agg(F.count("*").alias("_n"), F.min("_row").alias("_first")), "splits")
+    placed = running_sum(splits, by_number(splits, "_block"), ["_block"], F.col("_n"), "_before", by=("file",))
+    joined = rows.join(sendable(placed.select("file", "_block", "_first", "_before")), ["file", "_block"])
+    return joined.select("file", (F.col("_row") - F.col("_first") + F.col("_before") + 1).alias("line"), "value")
+
+
+def read_numbered_jsonl(spark: SparkSession, paths: str | list[str], schema: str, lenient: bool = False) -> DataFrame:
+    """file, line and the fields of JSON lines. Blank lines are skipped; a broken one fails the read with its file and number, or is left out if lenient."""
+    fields = StructType.fromDDL(schema)
+    parsed = F.from_json("value", StructType([*fields.fields, StructField("_broken", StringType())]), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
+    rows = numbered_lines(spark, paths).where(T.strip(F.col("value")) != "").withColumn("_parsed", parsed)
+    broken = F.col("_parsed").isNull() | F.col("_parsed._broken").isNotNull() | ~F.col("value").rlike(r"^\s*\{")
+    fails = F.raise_error(F.concat("file", F.lit(", line "), F.col("line").cast("string"), F.lit(": no JSON object"))).cast("boolean")
+    kept = rows.where(~broken) if lenient else rows.where(F.when(broken, fails).otherwise(True))
+    return kept.select("file", "line", *[F.col(f"_parsed.{f.name}").alias(f.name) for f in fields.fields])
+
+
 def read_texts(spark: SparkSession, paths: str | list[str], field: str = "text") -> DataFrame:
     """The stripped texts of one field of JSON lines, without blank ones."""
     rows = read_jsonl(spark, paths, f"`{field}` string").select(T.strip(F.col(field)).alias("text"))
@@ -156,12 +186,42 @@ def registry(path: str | Path) -> dict[str, dict]:
     return out
 
 
+#: Bytes of a file that a task holds while it runs them through a digest.
+HELD = 1 << 22
+
+
+def digest_of_file(stream, most: int = HELD) -> str:
+    """sha256 of what an open file holds, a bounded piece at a time."""
+    digest = hashlib.sha256()
+    while data := stream.read(most):
+        digest.update(data)
+    return digest.hexdigest()
+
+
 def files_with_digests(spark: SparkSession, folder: str) -> DataFrame:
-    """path, name (the path below the folder), bytes, sha256 of every file below a folder."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    root = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString().rstrip("/")
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    return rows.select("path", F.substring("path", len(root) + 2, 1 << 30).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    """path, name (the path below the folder), bytes, sha256 of every file below a folder, of any size, empty ones too.
+
+    The listing becomes rows, dealt over the tasks, which stream the files through the digest. Names that begin with a dot or an
+    underscore, or lie below such, are left out, as Spark's readers do.
+    """
+    from pyarrow import fs
+
+    system, base = fs.FileSystem.from_uri(folder)
+    found = [(f.path[len(base.rstrip("/")) + 1 :], f.size) for f in system.get_file_info(fs.FileSelector(base, recursive=True)) if f.is_file]
+    seen = [(f"{folder.rstrip('/')}/{name}", name, size) for name, size in found if not any(x[0] in "._" for x in name.split("/"))]
+    listed = spark.createDataFrame(seen, "path string, name string, bytes long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for k, name in enumerate(batch.column("name").to_pylist()):
+                with system.open_input_stream(f"{base}/{name}") as stream:
+                    found = digest_of_file(stream)
+                yield pa.RecordBatch.from_arrays([*batch.slice(k, 1).columns, pa.array([found])], [*batch.schema.names, "sha256"])
+
+    return listed.repartition(spark.sparkContext.defaultParallelism, "path").mapInArrow(run, "path string, name string, bytes long, sha256 string")
 
 
 def check_files(found: DataFrame, manifest: DataFrame) -> DataFrame:
