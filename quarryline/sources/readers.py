@@ -54,6 +54,19 @@ def read_texts(spark: SparkSession, paths: str | list[str], field: str = "text")
     return rows.where("text <> ''")
 
 
+def read_training_texts(spark: SparkSession, path: str, field: str = "text") -> DataFrame:
+    """The texts of a training file, and of no other: a file or folder that isn't named train.jsonl is refused, as is a path through held-out data."""
+    parts = [p.lower() for p in path.rstrip("/").split("/")]
+    if parts[-1] != "train.jsonl":
+        raise ValueError(f"only train.jsonl may be learnt from, not {path}")
+    if held := [p for p in parts if "validation.jsonl" in p or "test.jsonl" in p]:
+        raise ValueError(f"{held[0]} is held out: {path}")
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        raise FileNotFoundError(path)
+    return read_texts(spark, path, field)
+
+
 def read_text_files(spark: SparkSession, folder: str, pattern: str = "*.txt") -> DataFrame:
     """path, text of every text file below a folder, in the order of paths; none is an error."""
     rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(folder, wholetext=True)

@@ -66,3 +66,14 @@ def test_a_file_of_three_gib_is_streamed(spark, tmp_path):
         assert readers.digest_of_file(f) == wanted.hexdigest()
     assert tracemalloc.get_traced_memory()[1] < 300 << 20
     tracemalloc.stop()
+
+
+def test_only_training_data_is_learnt_from(spark, tmp_path):
+    for name in ("train.jsonl", "validation.jsonl", "other.jsonl"):
+        (tmp_path / name).write_text('{"text": " a "}\n{"text": " "}\n')
+    assert [r.text for r in readers.read_training_texts(spark, f"file://{tmp_path}/train.jsonl").collect()] == ["a"]
+    for name in ("validation.jsonl", "other.jsonl", "test.jsonl/train.jsonl"):
+        with pytest.raises(ValueError):
+            readers.read_training_texts(spark, f"file://{tmp_path}/{name}")
+    with pytest.raises(FileNotFoundError):
+        readers.read_training_texts(spark, f"file://{tmp_path}/none/train.jsonl")
