@@ -14,6 +14,8 @@ space); with fewer words the whole sequence is the one element. Documents are li
    in blocks, and survivors verified. So no link that could join components is left out, and large
    groups of near copies cost no pair each. Of two components' pairs whose long sets must be verified
    apart, the most alike come first; the rest follows, more each time, while these leave them apart.
+   Where more than a block of members would be compared so, those that can't reach the threshold with
+   any other component leave first, by size-ordered prefixes of their sets, rarest elements first.
 
 Chance to miss a link at the threshold itself: 1e-4 by the bands (48 of 6 values), MISS by the
 pruning; far less above it.
@@ -53,6 +55,8 @@ BLOCK, CHUNK = 512, 2048
 UNSURE, UNSURE_GROWS = 8, 16
 #: Members verified against one copy of a centre's text; beyond it the centre is salted.
 STAR = 256
+#: Counts of elements, by hash, that order the elements for prefixes; from so many survivors on, sets are compared by element numbers.
+SLOTS, MANY = 1 << 20, 8
 #: Elements of a set that travels with a bucket's member; pairs with a larger set are verified apart.
 CARRIED = 512
 #: Most rows of a side that is broadcast; a larger side is joined by shuffling.
@@ -175,21 +179,26 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width)
 
 
+def band_keys(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The key of each band of each row, by all 16 bits of its values. Its last 6 bits are the band's number."""
+    values = low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(8)
+    number = np.arange(BANDS, dtype=np.uint64)
+    keys = (((values.reshape(-1, BANDS, ROWS) + np.uint64(1)) * BAND_STEPS).sum(axis=2, dtype=np.uint64) + number * MIX[1]) * MIX[0]
+    keys ^= keys >> np.uint64(31)
+    return (keys & ~np.uint64(63) | number).view(np.int64)
+
+
 def band_rows(classes: DataFrame) -> DataFrame:
-    """key, id for each band of each row with id, low, high. The key's last 6 bits are the band's number."""
+    """key, id for each band of each row with id, low, high."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker.begin("neardup", _words.clear)
-        number = np.arange(BANDS, dtype=np.uint64) * MIX[1]
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                values = _matrix(part.column("low"), SIZE).astype(np.uint64) | _matrix(part.column("high"), SIZE).astype(np.uint64) << np.uint64(8)
-                keys = (((values.reshape(-1, BANDS, ROWS) + np.uint64(1)) * BAND_STEPS).sum(axis=2, dtype=np.uint64) + number) * MIX[0]
-                keys ^= keys >> np.uint64(31)
-                keys = keys & ~np.uint64(63) | np.arange(BANDS, dtype=np.uint64)
+                keys = band_keys(_matrix(part.column("low"), SIZE), _matrix(part.column("high"), SIZE))
                 ids = np.repeat(np.asarray(part.column("id")), BANDS)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(ids)], ["key", "id"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(ids)], ["key", "id"])
 
     return classes.select("id", "low", "high").mapInArrow(run, "key long, id long")
 
@@ -258,6 +267,83 @@ def short_sets(docs: DataFrame, wanted: DataFrame, rows: int) -> DataFrame:
     return found.groupBy("id").agg(F.count("*").alias("n"), F.max("set").alias("set")).where("n = 1 and set is not null").select("id", "set")
 
 
+def prefix_lengths(n: int) -> tuple[int, int]:
+    """How many first elements, in any order common to all, a set of n shares with a set that it is linked to.
+
+    The first number holds against sets that aren't larger, the second against those that aren't smaller: of
+    two linked sets, the smaller one's second prefix and the larger one's first prefix have an element in common.
+    """
+    part, whole = THRESHOLD
+    return n + part * -n // whole + 1, n + 2 * part * -n // (part + whole) + 1
+
+
+def reachable(docs: DataFrame, wanted: DataFrame, rows: int) -> DataFrame:
+    """id of each wanted document that may be linked to one of another component, by prefixes of the whole sets.
+
+    wanted: doc_id, component, a written table of that many rows. Elements are ordered by how often their
+    hash's slot occurs among these documents, so that what many share comes last; a slot's count only
+    orders them and never decides. An element's rows are counted before the shuffle, not paired.
+    """
+    texts = texts_of(docs, wanted, rows).select("doc_id", "component", "text")
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.begin("neardup", _words.clear)
+        counts = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for text in batch.column(2):
+                np.add.at(counts, shingles(text.as_py()) & np.uint64(SLOTS - 1), 1)
+        slots = np.flatnonzero(counts)
+        for at in range(0, len(slots), 65536):
+            yield pa.RecordBatch.from_arrays([pa.array(slots[at : at + 65536]), pa.array(counts[slots[at : at + 65536]])], ["slot", "n"])
+
+    often = np.zeros(SLOTS, np.int64)
+    seen = texts.mapInArrow(counted, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    often[seen.column("slot").to_numpy()] = seen.column("n").to_numpy()
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.begin("neardup", _words.clear)
+        for batch in batches:
+            for doc_id, component, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                h = shingles(text.as_py())
+                if not len(h):
+                    continue
+                first, second = prefix_lengths(len(h))
+                h = h[np.lexsort((h, often[h & np.uint64(SLOTS - 1)]))][:first].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(h), doc_id)), pa.array(np.full(len(h), component)), pa.array(np.arange(len(h)) < second)], ["element", "id", "component", "early"])
+
+    found = materialize(texts.mapInArrow(prefixes, "element long, id long, component long, early boolean"), "prefixes")
+    early = F.when(F.col("early"), F.col("component"))
+    met = found.groupBy("element").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(early).alias("low_early"), F.max(early).alias("high_early"))
+    # written, so that the join may split an element that many share
+    met = materialize(met.where("low < high and low_early is not null").select("element", "low_early", "high_early"), "elements")
+    return found.join(met, "element").where("early or low_early <> component or high_early <> component").select("id").distinct()
+
+
+def of_mixed(own: DataFrame) -> DataFrame:
+    """The rows (key, id, component) of buckets with more than one component, written."""
+    mixed = materialize(own.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key"), "mixed")
+    return materialize(own.join(mixed, "key"), "members")
+
+
+def bucket_sizes(members: DataFrame) -> DataFrame:
+    """key, main (the largest component), blocks of the others' members, chunks of all; written, so that a join may split a large bucket."""
+    by_component = members.groupBy("key", "component").agg(F.count("*").alias("n"))
+    sizes = by_component.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("largest"))
+    return materialize(sizes.select("key", F.col("largest.component").alias("main"), F.ceil((F.col("n") - F.col("largest.n")) / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")), "buckets")
+
+
+def numbered(sets: list[np.ndarray | None]) -> tuple[np.ndarray, int]:
+    """Each set as a row of numbers of its elements, filled up with a number that no element has; that number."""
+    width = max((len(x) for x in sets if x is not None), default=0)
+    names, numbers = np.unique(np.concatenate([np.empty(0, np.uint64), *(x for x in sets if x is not None)]), return_inverse=True)
+    out, at = np.full((len(sets), width), len(names), np.int32), 0
+    for k, x in enumerate(sets):
+        if x is not None:
+            out[k, : len(x)] = numbers[at : at + len(x)]
+            at += len(x)
+    return out, len(names)
+
+
 def between_components(shared: DataFrame, labels: DataFrame, signatures: DataFrame, docs: DataFrame, unsure: int) -> DataFrame:
     """Pairs a, b of bucket members from different components, whether their full sets have been verified, and whether more are like them.
 
@@ -266,15 +352,17 @@ def between_components(shared: DataFrame, labels: DataFrame, signatures: DataFra
     only links come out, and within a block none between components that another link has joined. Of
     pairs with a larger set, at most `unsure` come out of a block for two components.
     """
-    own = shared.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    mixed = materialize(own.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key"), "mixed")
-    members = materialize(own.join(mixed, "key"), "members")
+    members = of_mixed(shared.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")))
+    sizes = bucket_sizes(members)
+    crowded = sizes.where("blocks > 1").select("key", F.lit(True).alias("crowded"))
+    if not crowded.isEmpty():
+        marked = materialize(members.join(crowded, "key", "left"), "members")
+        asked = materialize(marked.where("crowded").select(F.col("id").alias("doc_id"), "component").distinct(), "members")
+        near = materialize(reachable(docs, asked, asked.count()).withColumn("near", F.lit(True)), "near")
+        members = of_mixed(marked.join(near, "id", "left").where("crowded is null or near").select("key", "id", "component"))
+        sizes = bucket_sizes(members)
     wanted = materialize(members.select(F.col("id").alias("doc_id")).distinct(), "members")
     sets = short_sets(docs, wanted, wanted.count())
-    by_component = members.groupBy("key", "component").agg(F.count("*").alias("n"))
-    sizes = by_component.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("largest"))
-    # written, so that the join may split a large bucket
-    sizes = materialize(sizes.select("key", F.col("largest.component").alias("main"), F.ceil((F.col("n") - F.col("largest.n")) / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")), "buckets")
     placed = members.join(sizes, "key").withColumn("minor", F.col("component") != F.col("main"))
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     of = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "id"), F.col(n)).cast("int")
@@ -286,42 +374,50 @@ def between_components(shared: DataFrame, labels: DataFrame, signatures: DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker.begin("neardup", _words.clear)
+
         def compare(key: int, ids: list, comps: list, minor: list, sides: list, sigs: list, sets: list) -> pa.RecordBatch:
             i, c, second = np.array(ids), np.array(comps), np.array(sides) == 1
             alone = second & ~np.array(minor)
             both = np.frombuffer(b"".join(sigs), np.uint8).reshape(-1, 2, SIZE)
-            m, whole = both[:, 0], both[:, 0] | both[:, 1].astype(np.uint16) << 8
+            m, bands = both[:, 0], band_keys(both[:, 0], both[:, 1])
             own = [None if x is None else np.frombuffer(x, np.uint64) for x in sets]
-            roots: dict[int, int] = {}
-
-            def root(x: int) -> int:
-                while x in roots:
-                    x = roots[x]
-                return x
-
+            size = np.array([0 if x is None else len(x) for x in own])
+            at = c.copy()  # the component that links found here have made of a member's
+            table = held = None
             out: tuple[list, list, list, list] = ([], [], [], [])
-            apart: dict[tuple[int, int], list] = {}
+            apart: dict[tuple[int, int], tuple[int, int, list]] = {}
+
+            def links(k: int, rest: np.ndarray) -> np.ndarray:
+                nonlocal table, held
+                if len(rest) < MANY:
+                    return np.array([n for n in rest.tolist() if linked(own[k], own[n])], np.int64)
+                if table is None:
+                    table, none = numbered(own)
+                    held = np.zeros(none + 1, bool)
+                mine = table[k, : size[k]]
+                held[mine] = True
+                common = held[table[rest]].sum(axis=1)
+                held[mine] = False
+                return rest[THRESHOLD[1] * common >= THRESHOLD[0] * (size[k] + size[rest] - common)]
+
             for k in np.flatnonzero(~second).tolist():
                 # two members outside the largest component meet twice and are compared once
-                rest = np.flatnonzero((alone | second & (i > i[k])) & (c != c[k]))
+                rest = np.flatnonzero((alone | second & (i > i[k])) & (at != at[k]))
                 if not len(rest):
                     continue
-                first = (whole[rest] == whole[k]).reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1)
-                rest = rest[first == key & 63]  # a pair is compared in its first common bucket, by all 16 bits as the keys are
+                rest = rest[(bands[rest] == bands[k]).argmax(axis=1) == key & 63]  # a pair is compared in its first common bucket
                 rest = rest[surviving(np.broadcast_to(m[k], (len(rest), SIZE)), m[rest])]
-                for n in rest.tolist():
-                    one, other = root(comps[k]), root(comps[n])
-                    if one == other:
-                        continue
-                    pair = min(ids[k], ids[n]), max(ids[k], ids[n])
-                    if own[k] is None or own[n] is None:
-                        apart.setdefault((min(comps[k], comps[n]), max(comps[k], comps[n])), []).append((-int((whole[k] == whole[n]).sum()), *pair))
-                    elif linked(own[k], own[n]):
-                        roots[max(one, other)] = min(one, other)
-                        for col, v in zip(out, (*pair, True, False)):
+                known = size[rest] > 0 if size[k] else np.zeros(len(rest), bool)
+                for n in links(k, rest[known]).tolist():
+                    if at[n] != at[k]:
+                        for col, v in zip(out, (min(ids[k], ids[n]), max(ids[k], ids[n]), True, False)):
                             col.append(v)
-            for (one, other), pairs in apart.items():
-                if root(one) != root(other):
+                        at[at == max(at[k], at[n])] = min(at[k], at[n])
+                for n in rest[~known].tolist():
+                    alike = int((both[k] == both[n]).all(axis=0).sum())
+                    apart.setdefault((min(comps[k], comps[n]), max(comps[k], comps[n])), (k, n, []))[2].append((-alike, min(ids[k], ids[n]), max(ids[k], ids[n])))
+            for k, n, pairs in apart.values():
+                if at[k] != at[n]:
                     for _, a, b in sorted(pairs)[:unsure]:
                         for col, v in zip(out, (a, b, False, len(pairs) > unsure)):
                             col.append(v)

@@ -123,3 +123,70 @@ def test_first_common_bucket_by_whole_values(spark):
     shared = spark.createDataFrame([(64 + 1, 1), (64 + 1, 2)], "key long, id long")
     labels = spark.createDataFrame([], "id long, component long")
     assert [tuple(r) for r in neardup.between_components(shared, labels, signatures, docs, 8).collect()] == [(1, 2, True, False)]
+
+
+def test_prefixes_meet_wherever_sets_are_linked():
+    rnd = random.Random(5)
+    for _ in range(4000):
+        n, m = sorted((rnd.randint(1, 60), rnd.randint(1, 60)))
+        order = rnd.sample(range(200), 200)
+        x = set(rnd.sample(range(90), n))
+        y = set(rnd.sample(sorted(x), min(n, rnd.randint(0, n)))) | set(rnd.sample(range(90, 200), m))
+        small, large = sorted((x, y), key=len)
+        if 100 * len(x & y) >= 75 * len(x | y):
+            early = sorted(small, key=order.index)[: neardup.prefix_lengths(len(small))[1]]
+            late = sorted(large, key=order.index)[: neardup.prefix_lengths(len(large))[0]]
+            assert set(early) & set(late)
+
+
+def alike(n, shared, own):
+    """n texts that share a passage, each with words of its own after it."""
+    return [(k, " ".join([f"w{j}" for j in range(shared)] + [f"x{k}:{j}" for j in range(own)]), "k", 1) for k in range(n)]
+
+
+def test_members_just_below_the_threshold_leave_a_crowded_bucket(spark):
+    """196 shared shingles of 240: 0.69 to each other. Only the pair that is linked stays."""
+    rows = alike(300, 200, 44)
+    rows.append((300, rows[7][1] + " more", "k", 1))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    wanted = spark.createDataFrame([(k, k) for k in range(301)], "doc_id long, component long")
+    assert {r.id for r in neardup.reachable(docs, wanted, 301).collect()} == {7, 300}
+    same = spark.createDataFrame([(k, 0 if k == 300 else k if k != 7 else 0) for k in range(301)], "doc_id long, component long")
+    assert neardup.reachable(docs, same, 301).isEmpty()
+
+
+@pytest.mark.parametrize("slots", [1, 1 << 20])
+def test_reachable_keeps_every_link(spark, monkeypatch, slots):
+    monkeypatch.setattr(neardup, "SLOTS", slots)
+    rows = [r for r in corpus(11) if r[1] and r[1].strip()]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    wanted = spark.createDataFrame([(r[0], r[0]) for r in rows], "doc_id long, component long")
+    near = {r.id for r in neardup.reachable(docs, wanted, len(rows)).collect()}
+    sets = {r[0]: neardup.shingles(r[1]) for r in rows}
+    linked = {a for a in sets for b in sets if a != b and neardup.linked(sets[a], sets[b])}
+    assert linked and linked <= near
+
+
+@pytest.mark.parametrize("own", [44, 24])
+def test_crowded_bucket_by_element_numbers(spark, monkeypatch, own):
+    """Unlinked and linked ones of many, compared by numbers of elements."""
+    for name, value in (("BLOCK", 16), ("CHUNK", 64), ("MANY", 2)):
+        monkeypatch.setattr(neardup, name, value)
+    rows = alike(120, 200, own)
+    rnd = random.Random(own)
+    for k in range(0, 120, 3):  # words changed inside the shared part, so that prefixes meet
+        w = rows[k][1].split()
+        for _ in range(3):
+            w[rnd.randrange(200)] = f"y{rnd.randrange(9)}"
+        rows[k] = (k, " ".join(w), "k", 1)
+    got = neardup.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows)
+
+
+def test_numbered_sets():
+    import numpy as np
+
+    sets = [np.array([3, 9], np.uint64), None, np.array([9], np.uint64)]
+    table, none = neardup.numbered(sets)
+    assert table.tolist() == [[0, 1], [2, 2], [1, 2]] and none == 2
+    assert neardup.numbered([None])[0].shape == (1, 0)
