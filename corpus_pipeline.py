@@ -7,12 +7,13 @@ written; the results go when the last stage has written the pieces that it packs
 
 Defined results: rows with null text, without letters or in a language that no labelled document shows
 go in the second stage; repeated rows of a doc_id are one document in the third; rows with a null
-doc_id are never near duplicates; an empty table passes through.
+doc_id are never near duplicates; an empty table passes through; very long texts are judged whole, in
+one task each; columns named like a stage's own pass unchanged.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryline.llm import langid, neardup, packing, toxicity
@@ -55,16 +56,17 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one with the smallest doc_id."""
     found = materialize(neardup.near_duplicates(docs).select("doc_id", "kept"), "kept")
-    dropped = found.where("not kept").select("doc_id").distinct()
-    n = found.where("not kept").count()
-    rest = docs.join(F.broadcast(dropped) if n <= neardup.BROADCAST_ROWS else dropped.hint("merge"), "doc_id", "left_anti")
-    repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    # written, so that the joins may split a doc_id with many rows
+    dropped = materialize(found.where("not kept").select("doc_id").distinct(), "dropped")
+    small = lambda ids: F.broadcast(ids) if ids.count() <= neardup.BROADCAST_ROWS else ids.hint("merge")
+    rest = docs.join(small(dropped), "doc_id", "left_anti")
+    repeated = materialize(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
     if repeated.isEmpty():
         return rest.select(*docs.columns)
-    (place,) = unused(docs, "place")
-    order = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    one = rest.join(repeated, "doc_id", "left_semi").withColumn(place, order).where(F.col(place) == 1).select(*rest.columns)
-    return rest.join(repeated, "doc_id", "left_anti").unionByName(one).select(*docs.columns)
+    # found in a written table, so that rows of one doc_id are combined before the shuffle and no task gathers them
+    again = materialize(rest.join(small(repeated), "doc_id", "left_semi").select(*docs.columns), "repeats")
+    one = again.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.xxhash64("text")).alias("row")).select("row.*")
+    return rest.join(small(repeated), "doc_id", "left_anti").unionByName(one).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

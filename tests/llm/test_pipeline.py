@@ -35,6 +35,36 @@ def test_stages_on_odd_rows(spark, sf_dir, tmp_path):
         assert stage(spark, docs.limit(0), sf_dir).count() == 0
 
 
+def test_odd_rows_among_documents_in_toxicity_and_language(spark, sf_dir):
+    """Nulls, repeats, a very long text and columns with a stage's own names: all but the texts without a language stay."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    first = docs.where("lang = 'en'").orderBy("doc_id").first()
+    odd = [(9_000_001, None, None), (9_000_002, "", "en"), (9_000_003, " \n", None), (9_000_004, "\u00b2 \u2460", None), (9_000_005, first.text, "en"), (9_000_005, first.text, "en"), (9_000_006, (first.text + " ") * 400, None), (None, first.text, None)]
+    rows = spark.createDataFrame([(d, t, lang, None, None) for d, t, lang in odd], docs.schema)
+    clashing = docs.unionByName(rows).selectExpr("*", "'a' score", "1 lang_pred", "'b' Strangeness", "'c' Toxic", "2 p_toxic", "3.5D severity")
+    toxic = corpus_pipeline.drop_toxic(spark, clashing, sf_dir)
+    assert toxic.columns == clashing.columns
+    judged = {first.doc_id: 0}
+    for r in toxic.where("doc_id is null or doc_id >= 9000000").collect():
+        judged[r.doc_id] = judged.get(r.doc_id, 0) + 1
+        assert (r.score, r.lang_pred, r.Strangeness, r.Toxic, r.p_toxic, r.severity) == ("a", 1, "b", "c", 2, 3.5)
+    assert judged == {first.doc_id: 0, **{9_000_000 + k: 1 for k in (1, 2, 3, 4, 6)}, 9_000_005: 2, None: 1}
+    known = corpus_pipeline.keep_known_language(spark, clashing, sf_dir)
+    assert known.columns == clashing.columns
+    left = sorted(str(r.doc_id) for r in known.where("doc_id is null or doc_id >= 9000000").collect())
+    assert left == ["9000005", "9000005", "9000006", "None"]
+
+
+def test_rows_of_one_doc_id_are_combined(spark, sf_dir):
+    """A doc_id with a third of the rows, one text among nulls: one row of it stays, whole."""
+    rows = [(1, None, "en", f"s{k % 7}", k) for k in range(300)] + [(1, "words of its own that no other row has", "en", "x", -1)]
+    rows += [(k, f"text {k} of a document that is not like others {k * k} at all", "en", "s", k) for k in range(2, 600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, sf_dir).collect()
+    assert sorted(r.doc_id for r in got) == list(range(1, 600))
+    assert {tuple(r) for r in got} <= set(rows)
+
+
 FOREIGN = [
     "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.",
     "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa.",
