@@ -4,8 +4,10 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -135,3 +137,21 @@ def test_simhash(spark, texts):
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r[0]: r[1] for r in H.simhash_sha(rows).select("doc_id", H.as_hex(F.col("simhash"))).collect()}
     assert got == {i: plain(t, lambda w: int(hashlib.sha256(w.encode()).hexdigest()[:16], 16)) for i, t in enumerate(texts)}
+
+
+def test_simhash_blake_forgets_the_words_of_other_batches(spark):
+    """Every text has its own words: hashing them must not cost more for each text, the more there were before."""
+    rows = spark.range(0, 8000, 1, 1).selectExpr("concat_ws(' ', transform(sequence(0, 79), k -> concat('w', id, 'x', k))) as text")
+    began = time.time()
+    assert rows.select(H.simhash_blake(F.col("text")).alias("h")).where("length(h) = 16").count() == 8000
+    assert time.time() - began < 20
+
+
+def test_majorities_of_long_rows():
+    digests = bytes([255] * 8 + [0] * 8 + [15] * 8)
+    codes = np.array([0] * 70_000 + [1] * 70_001 + [2] + [1], np.int64)
+    got = H.majorities(digests, codes, np.array([70_000, 70_000, 140_002, 140_003]))
+    assert [int(v) for v in got] == [2**64 - 1, 0, 0, 0]
+    both = H.majorities(digests, np.array([0] * 70_000 + [1] * 70_000 + [2]), np.array([140_001]))
+    assert int(both[0]) == int("0f" * 8, 16)
+    assert [int(v) for v in H.majorities(b"", np.zeros(0, np.int64), np.array([0, 0]))] == [0, 0]
