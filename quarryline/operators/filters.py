@@ -109,7 +109,8 @@ def repeated_share(items: Column) -> Column:
 
 
 def lines(c: Column) -> Column:
-    return F.filter(F.transform(F.split(c, T.LINE_END), T.canonical), lambda x: x != "")
+    """The canonical form of each line that isn't blank; white space is looked at once for the whole text, not line by line."""
+    return F.filter(F.transform(F.split(T.spaced(F.lower(c), T.LINE_ENDS), T.LINE_END), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def ngrams(w: Column, n: int) -> Column:
@@ -118,6 +119,17 @@ def ngrams(w: Column, n: int) -> Column:
     return T.let(w, lambda x: F.when(F.size(x) < n, none).otherwise(made(x)))
 
 
+def repeats_ngrams(w: Column, n: int, most: float) -> Column:
+    """Whether more than this share of the n-grams of words repeats another one.
+
+    Hashes of n-grams differ in at most as many ways as the n-grams do, so a text whose hashes repeat little enough
+    passes; only for the others the n-grams themselves are made.
+    """
+    hashes = lambda h: F.transform(F.sequence(F.lit(0), F.greatest(F.size(h) - n, F.lit(0))), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(n)]))
+    seems = T.let(F.transform(w, lambda x: F.xxhash64(x)), lambda h: repeated_share(hashes(h)) > most)
+    return F.when(F.size(w) < n, F.lit(0.0) > most).when(seems, repeated_share(ngrams(w, n)) > most).otherwise(False)
+
+
 def boilerplate_matches(c: Column) -> Column:
     """Patterns that occur, any case: the text is folded once, so that plain literals are searched."""
     found = lambda t: sum((t.rlike(p).cast("int") for p in BOILERPLATE[1:]), t.rlike(BOILERPLATE[0]).cast("int"))
@@ -129,7 +141,7 @@ def metrics(c: Column) -> dict[str, Column]:
         "n_chars": T.chars(c),
         "url_ratio": url_ratio(c),
         "digit_ratio": T.digit_chars(c) / F.greatest(F.length(c), F.lit(1)),
-        "symbol_ratio": share_of(c, rf"[^\p{{L}}\p{{N}}{T.SPACES}]"),
+        "symbol_ratio": share_of(c, T.SYMBOL),
         "n_words": F.size(T.words(c)).cast("long"),
         "alpha_ratio": share_of(c, r"\p{L}"),
         "duplicate_lines": repeated_share(lines(c)),
@@ -151,10 +163,13 @@ def _first_failing(c: Column, rules: StreamRules) -> Column:
     failed = F.when(m["n_chars"] < rules.min_chars, "too_short").when(m["n_chars"] > rules.max_chars, "too_long")
     for name, most in (("url_ratio", rules.max_urls), ("digit_ratio", rules.max_digits), ("symbol_ratio", rules.max_symbols)):
         failed = failed.when(m[name] > most, name)
-    failed = failed.when(m["n_words"] < rules.min_words, "too_few_words").when(m["alpha_ratio"] < rules.min_letters, "alpha_ratio")
-    for name, most in (("duplicate_lines", rules.max_repeated_lines), ("repeated_5grams", rules.max_repeated_ngrams), ("boilerplate", rules.max_boilerplate)):
-        failed = failed.when(m[name] > most, name)
-    return failed
+
+    def of_words(w: Column) -> Column:
+        late = F.when(F.size(w) < rules.min_words, "too_few_words").when(m["alpha_ratio"] < rules.min_letters, "alpha_ratio").when(m["duplicate_lines"] > rules.max_repeated_lines, "duplicate_lines")
+        return late.when(repeats_ngrams(w, 5, rules.max_repeated_ngrams), "repeated_5grams").when(m["boilerplate"] > rules.max_boilerplate, "boilerplate")
+
+    # the words are found once, and only if no rule before needs none
+    return failed.otherwise(F.when(c.isNotNull(), T.let(T.words(c), of_words)))
 
 
 def metadata_rejection(language: Column, script: Column, language_score: Column, quality_score: Column, cluster: Column, rules: MetadataRules = MetadataRules()) -> Column:

@@ -155,3 +155,31 @@ def test_majorities_of_long_rows():
     both = H.majorities(digests, np.array([0] * 70_000 + [1] * 70_000 + [2]), np.array([140_001]))
     assert int(both[0]) == int("0f" * 8, 16)
     assert [int(v) for v in H.majorities(b"", np.zeros(0, np.int64), np.array([0, 0]))] == [0, 0]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rejection_finds_words_once(spark, texts):
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    once = T.let(F.col("text"), lambda t: T.let(T.words(t), F.size))
+    assert plan_of(rows.select(filters.quality_rejection(F.col("text")))).count("regexp_extract_all") == plan_of(rows.select(once)).count("regexp_extract_all")
+
+
+def test_white_space_one_by_one():
+    assert sorted(T.SPACE_CHARS) == [c for c in map(chr, range(0x3001)) if re.match("[" + re.sub(r"\\x\{(\w+)\}", r"\\u\1", T.SPACES) + "]", c)]
+    assert sorted(T.LINE_ENDS) == [c for c in T.SPACE_CHARS if len(f"a{c}b".splitlines()) == 2]
+
+
+def test_lines_and_repeated_ngrams(spark, texts):
+    odd = [*texts, *(f"A{c}{d} b{c}C " for c in T.SPACE_CHARS for d in T.SPACE_CHARS), "ΑΣ\nΣ\u2028ΑΣ Σ", "a b c d", "a b c d e", "a b c d e " * 9, "\t\n \n"]
+    rows = spark.createDataFrame(list(enumerate(odd)), "id long, t string")
+    shares = (0.0, 0.12, 0.5, -1.0)
+    more = [filters.repeats_ngrams(T.words(F.col("t")), 5, m) for m in shares]
+    for r in rows.select("t", filters.lines(F.col("t")), F.array(*more)).collect():
+        assert r[1] == [x for line in re.split("[" + T.LINE_ENDS + "]", r[0].lower()) if (x := " ".join(line.split()))]
+        w = re.findall(r"\w+", r[0].lower())
+        grams = [tuple(w[k : k + 5]) for k in range(len(w) - 4)]
+        share = 1 - len(set(grams)) / len(grams) if grams else 0.0
+        assert r[2] == [share > m for m in shares] or any(abs(share - m) < 1e-9 for m in shares)
