@@ -243,3 +243,15 @@ def test_passing_tables_go(spark):
     assert gone(b) and c.count() == 5
     d = scratch.materialize(spark.range(6), "d")
     assert d.count() == 6
+
+
+def test_marks_are_made_once_and_in_short_batches(spark, sf_dir):
+    from quarryline.plans import corpus_queries
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    for query, most in ((corpus_queries.near_dup_pairs, 2000), (corpus_queries.tokenizer_roundtrip, 500)):
+        spark.conf.set(key, "10000")
+        query(spark, sf_dir)
+        assert int(spark.conf.get(key)) <= most
+    plan = corpus_queries.near_dup_members(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" not in plan and "regexp" not in plan
