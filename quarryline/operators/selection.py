@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarryline.functions.text import let
 from quarryline.sources.scratch import materialize
 
 #: Rows of a cell that may be numbered in one task.
@@ -34,7 +35,13 @@ def same_cell(a: str, b: str) -> Column:
 
 def _place(value: Column, borders: Column) -> Column:
     """2 * k on the border number k (from 1), 2 * k + 1 between it and the next."""
-    reached = F.size(F.filter(borders, lambda b: b <= value))
+    # a search by halves, for this is done for every row; past the last border get gives null
+    step = lambda at, by: F.when(F.get(borders, at + by - 1) <= value, at + by).otherwise(at)
+    reached = F.aggregate(F.array(*[F.lit(1 << k) for k in reversed(range(BORDERS.bit_length()))]), F.lit(0), step)
+    return let(reached, lambda r: _beside(r, value, borders))
+
+
+def _beside(reached: Column, value: Column, borders: Column) -> Column:
     on = (reached > 0) & (F.element_at(borders, F.greatest(reached, F.lit(1))) == value)
     return (2 * reached + F.when(on, 0).otherwise(1)).cast("long")
 

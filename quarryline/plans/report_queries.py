@@ -12,7 +12,7 @@ from quarryline.plans import relational_queries as R
 from quarryline.plans import sql as S
 from quarryline.plans.corpus_queries import CONTEXT, STREAM_SQL
 from quarryline.plans.registry import query
-from quarryline.sources.tables import documents, table
+from quarryline.sources.tables import documents, spread, table
 
 UNKNOWN = 7
 
@@ -108,7 +108,8 @@ def sequence_weighted_loss(spark, sf_dir):
     FROM events WHERE value IS NOT NULL GROUP BY 1""")
 def latency_summary(spark, sf_dir):
     """Mean and median of measured times and of the rates that follow from them."""
-    rows = table(spark, sf_dir, "events").where("value is not null").select("event_type", "value", F.when(F.col("value") > 0, 1000 / F.col("value")).otherwise(0.0).alias("rate"))
+    events = spread(table(spark, sf_dir, "events").select("event_id", "event_type", "value"), "event_id")
+    rows = events.where("value is not null").select("event_type", "value", F.when(F.col("value") > 0, 1000 / F.col("value")).otherwise(0.0).alias("rate"))
     return profile.means_and_medians(rows, "event_type", {"latency": "value", "rate": "rate"}).select("event_type", "n", *[F.round(f"{a}_{b}", 6).alias(f"{a}_{b}") for a in ("latency", "rate") for b in ("mean", "median")])
 
 

@@ -75,3 +75,17 @@ def test_empty(spark):
     none = spark.createDataFrame([], "g string, v double")
     assert selection.at_ranks(none, "g", "v", ranks()).count() == 0
     assert profile.quantiles(none, "g", "v", {"p05": 0.05}).count() == 0
+
+
+@pytest.mark.parametrize("borders", [4, 5, 128])
+def test_place_is_found_by_halves(spark, monkeypatch, borders):
+    monkeypatch.setattr(selection, "BORDERS", borders)
+    nan = float("nan")
+    lists = [[2.0 * k for k in range(n)] + last for n in (0, 1, 2, 3, borders - 1) for last in ([], [nan])]
+    rows = spark.createDataFrame([(v, b) for b in lists if b for v in (-1.0, 0.0, 1.0, 2.0, 3.5, 2.0 * borders, nan)], "v double, b array<double>")
+    place = rows.select("v", "b", selection._place(F.col("v"), F.col("b")).alias("p"))
+    key = lambda x: (x != x, 0 if x != x else x)
+    for v, b, p in place.collect():
+        reached = sum(key(x) <= key(v) for x in b)
+        assert p == 2 * reached + (0 if reached and key(b[reached - 1]) == key(v) else 1)
+    assert " filter(" not in place._jdf.queryExecution().optimizedPlan().toString().replace("(filter(", " filter(")
