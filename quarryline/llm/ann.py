@@ -1,21 +1,25 @@
-"""Nearest neighbours by largest cosine: an NN-descent graph, searched greedily.
-
-Equal vectors are one node. The graph starts from neighbours within blocks of nodes whose signs under
-random hyperplanes sort next to each other, in STARTS orders. Then neighbours of neighbours are
-compared: each round joins every node's neighbours, forward and (at most DEGREE) backward, with their
-vectors, and offers each the others that beat its worst one. Only pairs with a neighbour that is new
-since the round before are compared, and rounds end once few lists change.
-
-A query starts from its own vector's node and from PIVOTS nodes drawn by a hash. Each round expands the
-best unexpanded half of its beam, the best nodes it has met, until none is left there. How wide the
-beam must be depends on the vectors, so it is found first: SAMPLE queries are also compared with every
-node, and the beam is doubled until their search meets TARGET of their true neighbours, or until it
-holds every node. Then all queries are searched with that beam. Graph and search use half precision.
+"""Nearest neighbours by largest cosine: NN-descent graphs, searched greedily.
+
+Equal vectors are one node. Nodes are dealt by a hash over SHARDS shards, over more once these would
+hold more than LARGEST nodes, and each shard gets a graph of its own. It starts from neighbours within
+blocks of nodes whose signs under random hyperplanes sort next to each other, in STARTS orders. Then
+neighbours of neighbours are compared: each round takes every node's neighbours, forward and (at most
+DEGREE) backward, and offers each the others that beat its worst one. Only pairs with a neighbour that
+is new since the round before are compared, and rounds end once few lists change. The index is a table
+of all nodes with their vectors and neighbours. So vectors are shuffled once to build it and once for
+each search, however many rounds there are; a row for each neighbour is never shuffled.
+
+A query meets each shard once. It starts there from the PIVOTS nearest of the shard's drawn nodes and
+from its own vector's node. Each step expands the best unexpanded half of its beam, the best nodes it
+has met, until none is left there. How wide the beam must be depends on the vectors, so it is found
+first: SAMPLE queries are also compared with every node, and the beam is doubled, and with it the number
+of drawn nodes, until their search meets TARGET of their true neighbours, or until it holds every node
+of a shard. Then all queries are searched with that beam. Graph and search use half precision.
 
 The scores of the nodes that half precision can't tell from the best are then computed in double
 precision from the original vectors, nodes are replaced by their rows, and ties go to the smaller vec_id.
 
-Blocks, neighbour lists and beams are bounded, so no task gathers a hot group.
+Shards, blocks of queries, neighbour lists and beams are bounded, so no task gathers a hot group.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no part, nor
 do rows with a null vec_id; a cosine needs equal lengths, so vectors of each length are searched among
@@ -26,6 +30,7 @@ looked at; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -42,7 +47,14 @@ PLANES = 24
 STARTS = 6
 #: Rounds end once at most this share of the list entries is new.
 SETTLED = 0.05
-OFFERS = 8
+#: Shards of a table of some size, what fewer nodes than SHARDS * SMALL are cut into, and the most that one holds.
+SHARDS, SMALL, LARGEST = 24, 400, 65_536
+#: Numbers that a shard's vectors may have; long vectors make shards smaller.
+NUMBERS = 1 << 24
+#: Queries that meet a shard in one task.
+TOGETHER = 16_384
+#: With the first beam, one of so many nodes of a shard is drawn.
+DRAWN = 16
 #: The first beam and the pivots of a search.
 BEAM, PIVOTS = 96, 8
 #: A beam is wide enough once this share of the true neighbours of SAMPLE queries is met.
@@ -72,119 +84,118 @@ def _unit(m: np.ndarray) -> np.ndarray:
 
 
 def coded(nodes: DataFrame) -> DataFrame:
-    """id, half-precision unit vector, and sort codes of its signs under STARTS sets of hyperplanes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            m = _unit(_rows(batch.column(1), "f8"))
-            if planes is None:
-                planes = np.random.default_rng(5).standard_normal((m.shape[1], STARTS * PLANES))
-            signs = (m @ planes > 0).reshape(len(m), STARTS, PLANES).astype(np.int64)
-            codes = (signs << np.arange(PLANES - 1, -1, -1)).sum(axis=2)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in m.astype("<f2")], pa.binary()), *(pa.array(codes[:, k]) for k in range(STARTS))], ["id", "vec", *(f"code{k}" for k in range(STARTS))])
-
-    return nodes.select("id", "embedding").mapInArrow(run, "id long, vec binary, " + ", ".join(f"code{k} long" for k in range(STARTS)))
-
-
-def within_blocks(points: DataFrame, code: str) -> DataFrame:
-    """src, dst, score: the DEGREE best of each node within its block of nodes in the order of a code."""
+    """id and half-precision unit vector of each node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def best(ids: np.ndarray, m: np.ndarray) -> pa.RecordBatch:
-            score = m @ m.T
-            np.fill_diagonal(score, -9)
-            k = min(DEGREE, len(ids) - 1)
-            top = np.argpartition(-score, k - 1, axis=1)[:, :k] if k else np.zeros((len(ids), 0), int)
-            return pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, k)), pa.array(ids[top].ravel()), pa.array(np.take_along_axis(score, top, 1).ravel().astype(np.float32))], ["src", "dst", "score"])
-
-        ids, vecs = np.zeros(0, np.int64), []
         for batch in batches:
-            ids, vecs = np.concatenate((ids, np.asarray(batch.column(0)))), vecs + batch.column(1).to_pylist()
-            while len(ids) >= 2 * BLOCK:  # so that the last block isn't small
-                yield best(ids[:BLOCK], np.frombuffer(b"".join(vecs[:BLOCK]), "<f2").reshape(BLOCK, -1).astype(np.float32))
-                ids, vecs = ids[BLOCK:], vecs[BLOCK:]
-        if len(ids):
-            yield best(ids, np.frombuffer(b"".join(vecs), "<f2").reshape(len(ids), -1).astype(np.float32))
-
-    ordered = points.select("id", "vec", code).repartitionByRange(code, "id").sortWithinPartitions(code, "id")
-    return ordered.select("id", "vec").mapInArrow(run, "src long, dst long, score float")
+            if batch.num_rows:
+                m = _unit(_rows(batch.column(1), "f8")).astype("<f2")
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in m], pa.binary())], ["id", "vec"])
 
+    return nodes.select("id", "embedding").mapInArrow(run, "id long, vec binary")
 
-def best_lists(edges: DataFrame) -> DataFrame:
-    """The DEGREE best entries of each src; an entry that was there before isn't new."""
-    once = edges.groupBy("src", "dst").agg(F.max("score").alias("score"), F.min("new").alias("new"))
-    place = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("score"), "dst"))
-    return once.withColumn("place", place).where(F.col("place") <= DEGREE).drop("place")
 
+def _vectors(column: pa.ChunkedArray) -> np.ndarray:
+    """Unit vectors in single precision from half-precision ones."""
+    m = _rows(column.combine_chunks(), "<f2").astype(np.float32)
+    return m / np.linalg.norm(m, axis=1, keepdims=True)
 
-def both_ways(graph: DataFrame) -> DataFrame:
-    """node, other, new: each node's list, and at most DEGREE of the nodes whose lists have it."""
-    back = graph.select(F.col("dst").alias("node"), F.col("src").alias("other"), "new")
-    place = F.row_number().over(Window.partitionBy("node").orderBy(F.xxhash64("other", "node"), "other"))
-    back = back.withColumn("place", place).where(F.col("place") <= DEGREE).drop("place")
-    return graph.select(F.col("src").alias("node"), F.col("dst").alias("other"), "new").unionByName(back)
 
-
-def offers(graph: DataFrame, points: DataFrame) -> DataFrame:
-    """src, dst, score: pairs of neighbours of one node that beat the worst entry of src."""
-    worst = graph.groupBy("src").agg(F.when(F.count("*") >= DEGREE, F.min("score")).otherwise(F.lit(-2.0)).cast("float").alias("worst"))
-    known = points.select(F.col("id").alias("other"), "vec").join(worst.withColumnRenamed("src", "other"), "other")
-    met = both_ways(graph).join(known, "other").repartition("node").sortWithinPartitions("node", "other")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def compare(rows: list[tuple]) -> tuple | None:
-            found: dict[int, tuple] = {}
-            for other, new, vec, worst in rows:
-                found[other] = (new or other in found and found[other][0], vec, worst)
-            fresh = np.array([x[0] for x in found.values()])
-            if len(found) < 2 or not fresh.any():
-                return None
-            ids = np.fromiter(found, np.int64, len(found))
-            m = np.frombuffer(b"".join(x[1] for x in found.values()), "<f2").reshape(len(ids), -1).astype(np.float32)
-            score = m @ m.T
-            score[~(fresh[:, None] | fresh[None, :])] = -9
-            np.fill_diagonal(score, -9)
-            k = min(OFFERS, len(ids) - 1)
-            top = np.argpartition(-score, k - 1, axis=1)[:, :k]
-            value = np.take_along_axis(score, top, 1)
-            good = value > np.array([x[2] for x in found.values()], np.float32)[:, None]
-            return np.broadcast_to(ids[:, None], top.shape)[good], ids[top][good], value[good]
-
-        def out(parts: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[k] for p in parts])) for k in range(3)], ["src", "dst", "score"])
-
-        node, rows, parts = None, [], []
-        for batch in batches:
-            for at, *row in zip(*(c.to_pylist() for c in batch.columns)):
-                if at != node:
-                    if (got := compare(rows) if rows else None) is not None:
-                        parts.append(got)
-                    node, rows = at, []
-                    if len(parts) >= 500:
-                        yield out(parts)
-                        parts = []
-                rows.append(tuple(row))
-        if (got := compare(rows) if rows else None) is not None:
-            parts.append(got)
-        if parts:
-            yield out(parts)
-
-    return met.select("node", "other", "new", "vec", "worst").mapInArrow(run, "src long, dst long, score float")
-
-
-def descend(points: DataFrame) -> DataFrame:
-    """The neighbour graph: src, dst, score, new."""
-    start = reduce(DataFrame.unionByName, (within_blocks(points, f"code{k}") for k in range(STARTS)))
-    graph = materialize(best_lists(start.withColumn("new", F.lit(True))), "graph")
-    while True:  # ends, for scores in the lists only grow
-        found = offers(graph, points).withColumn("new", F.lit(True))
-        graph = materialize(best_lists(graph.withColumn("new", F.lit(False)).unionByName(found)), "graph")
-        n, new = graph.agg(F.count("*"), F.count_if("new")).first()
-        if new <= SETTLED * n:
-            return graph
+class Lists:
+    """The best neighbours met of each row of m: ids, scores, and which are new. Empty places have id -1."""
+
+    def __init__(self, m: np.ndarray):
+        self.m, self.size, self.degree = m, len(m), min(DEGREE, len(m) - 1)
+        self.ids = np.full((self.size, self.degree), -1, np.int32)
+        self.score = np.full((self.size, self.degree), -9, np.float32)
+        self.new = np.zeros((self.size, self.degree), bool)
+
+    def take(self, src: np.ndarray, dst: np.ndarray, score: np.ndarray) -> None:
+        """Offers each src a dst; an entry that was there before isn't new."""
+        once = np.unique(src.astype(np.int64) * self.size + dst, return_index=True)[1]
+        src, dst, score = src[once], dst[once], score[once]
+        order = np.lexsort((-score, src))
+        at, row, place = _places(src[order])
+        kept = place < self.degree
+        order, row, place = order[kept], row[kept], self.degree + place[kept]
+        ids, best, new = (np.concatenate((x[at], np.full((len(at), self.degree), fill, x.dtype)), axis=1) for x, fill in ((self.ids, -1), (self.score, -9), (self.new, True)))
+        ids[row, place], best[row, place] = dst[order], score[order]
+        sort = np.argsort(ids, axis=1, kind="stable")
+        ids, best, new = (np.take_along_axis(x, sort, 1) for x in (ids, best, new))
+        again = ids[:, 1:] == ids[:, :-1]
+        ids[:, 1:][again], best[:, 1:][again] = -1, -9
+        top = np.argpartition(-best, self.degree - 1, axis=1)[:, : self.degree]
+        self.ids[at], self.score[at], self.new[at] = (np.take_along_axis(x, top, 1) for x in (ids, best, new & (ids >= 0)))
+
+    def within_blocks(self) -> None:
+        """Offers each row the best within its block of rows whose signs sort next to each other, in STARTS orders."""
+        planes = np.random.default_rng(5).standard_normal((self.m.shape[1], STARTS * PLANES)).astype(np.float32)
+        codes = ((self.m @ planes > 0).reshape(self.size, STARTS, PLANES).astype(np.int64) << np.arange(PLANES)).sum(axis=2)
+        for order in np.argsort(codes, axis=0, kind="stable").T:
+            for ids in np.array_split(order, math.ceil(self.size / BLOCK)):
+                score = self.m[ids] @ self.m[ids].T
+                np.fill_diagonal(score, -9)
+                k = min(self.degree, len(ids) - 1)
+                top = np.argpartition(-score, k - 1, axis=1)[:, :k]
+                self.take(np.repeat(ids, k), ids[top].ravel(), np.take_along_axis(score, top, 1).ravel())
+
+    def both_ways(self) -> tuple[np.ndarray, np.ndarray]:
+        """Neighbours of each row, forward and at most DEGREE backward, each once, and which are new."""
+        src, at = np.nonzero(self.ids >= 0)
+        mixed = np.random.default_rng(6).permutation(len(src))
+        mixed = mixed[np.argsort(self.ids[src, at][mixed], kind="stable")]
+        src, at = src[mixed], at[mixed]
+        to, row, place = _places(self.ids[src, at])
+        kept = place < self.degree
+        kept[kept] = ~(self.ids[to[row[kept]]] == src[kept, None]).any(axis=1)
+        back, fresh = np.full_like(self.ids, -1), np.zeros_like(self.new)
+        back[to[row[kept]], place[kept]], fresh[to[row[kept]], place[kept]] = src[kept], self.new[src, at][kept]
+        return np.concatenate((self.ids, back), axis=1), np.concatenate((self.new, fresh), axis=1)
+
+    def descend(self) -> None:
+        """Compares neighbours of neighbours until few lists change."""
+        vectors = np.concatenate((self.m, np.full((1, self.m.shape[1]), np.nan, np.float32)))  # -1 is the last, which beats nothing
+        step = max(1, (1 << 20) // (2 * DEGREE * max(2 * DEGREE, self.m.shape[1])))
+        changed = True
+        while changed:  # ends, for scores in the lists only grow
+            around, fresh = self.both_ways()
+            self.new[:] = False
+            offers = []
+            for a in range(0, self.size, step):
+                ids, new = around[a : a + step], fresh[a : a + step]
+                v = vectors[ids]
+                score = v @ v.transpose(0, 2, 1)
+                good = score > self.score[ids].min(axis=2)[:, :, None]
+                good &= new[:, :, None] | new[:, None, :]
+                good[:, range(ids.shape[1]), range(ids.shape[1])] = False
+                at, i, j = np.nonzero(good)
+                offers.append((ids[at, i], ids[at, j], score[at, i, j]))
+                if sum(len(x[0]) for x in offers) > 1 << 20 or a + step >= self.size:
+                    self.take(*map(np.concatenate, zip(*offers)))
+                    offers = []
+            changed = self.new.sum() > SETTLED * self.new.size
+
+
+def _places(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct ones of sorted keys, and for each key the number of its run and its place there."""
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1])))
+    long = np.diff(np.append(first, len(keys)))
+    return keys[first], np.repeat(np.arange(len(first)), long), np.arange(len(keys)) - np.repeat(first, long)
+
+
+def linked(nodes: DataFrame) -> DataFrame:
+    """The index: shard, id, vec, and others, the places (int32) of its neighbours in its shard's nodes in the order of id."""
+
+    def run(shard: pa.Table) -> pa.Table:
+        shard = shard.sort_by("id")
+        lists = Lists(_vectors(shard["vec"]))
+        if lists.size > 1:
+            lists.within_blocks()
+            lists.descend()
+        others = [x[x >= 0].astype("<i4").tobytes() for x in lists.both_ways()[0]]
+        return shard.append_column("others", pa.array(others, pa.binary()))
+
+    return nodes.select("shard", "id", "vec").groupBy("shard").applyInArrow(run, "shard int, id long, vec binary, others binary")
 
 
 def scored(pairs: DataFrame, queries: DataFrame, points: DataFrame) -> DataFrame:
@@ -229,48 +240,111 @@ def truth(sample: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     return found.withColumn("place", best_first()).where(F.col("place") <= k).select("q", "node")
 
 
-def search(queries: DataFrame, links: DataFrame, points: DataFrame, beam: int) -> DataFrame:
-    """q, node, score of the beam in which each query ends. queries: q, start, qvec; links: node, others."""
-    vectors = queries.select("q", "qvec")
-    turn = F.row_number().over(Window.partitionBy("q", "done").orderBy(F.desc("score"), "node"))
-
-    def narrowed(met: DataFrame) -> DataFrame:
-        kept = met.withColumn("place", best_first()).where(F.col("place") <= beam).drop("place")
-        return materialize(kept.withColumn("now", ~F.col("done") & (turn <= beam // 2)), "beam")
-
-    pivots = points.select("id").orderBy(F.xxhash64("id"), "id").limit(PIVOTS)
-    begin = queries.select("q", F.col("start").alias("node")).unionByName(queries.select("q").crossJoin(F.broadcast(pivots.withColumnRenamed("id", "node")))).distinct()
-    state = narrowed(scored(begin, vectors, points).withColumn("done", F.lit(False)))
-    while not (expand := state.where("now")).isEmpty():
+def _meet(m: np.ndarray, around: np.ndarray, v: np.ndarray, own: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of m, and scores, of the beams in which the queries v end. own: each query's own row or -1."""
+    size = len(m)
+    drawn = np.random.default_rng(7).permutation(size)[: size if beam >= size else max(PIVOTS, math.ceil(size / DRAWN * beam / BEAM))]
+    beam, half = min(beam, size), max(1, min(beam, size) // 2)
+    ids, best, done = np.full((len(v), beam), -1), np.full((len(v), beam), -9, np.float32), np.ones((len(v), beam), bool)
+    seen, last = np.zeros(len(v) * size, bool), np.zeros(len(v) * size, np.int32)
+
+    def take(row: np.ndarray, at: np.ndarray) -> None:
+        """Queries row, in order, meet nodes at."""
+        nonlocal ids, best, done
+        flat = row * size + at
+        flat = flat[~seen[flat]]
+        last[flat] = np.arange(len(flat))
+        flat = flat[last[flat] == np.arange(len(flat))]  # each once
+        seen[flat] = True
+        row, at = np.divmod(flat, size)
+        score = np.einsum("ij,ij->i", v[row], m[at])
         # what falls out of a beam is forgotten, for it can't come back: the beam's worst score only grows
-        reached = expand.select("q", "node").join(links, "node").select("q", F.explode("others").alias("node")).distinct()
-        fresh = scored(reached.join(state.select("q", "node"), ["q", "node"], "left_anti"), vectors, points).withColumn("done", F.lit(False))
-        state = narrowed(state.select("q", "node", "score", (F.col("done") | F.col("now")).alias("done")).unionByName(fresh))
-    return state.select("q", "node", "score")
+        good = score > best.min(axis=1)[row]
+        to, row, place = _places(row[good])
+        if not len(to):
+            return
+        wide = place.max() + 1
+        more = np.full((len(to), wide), -1), np.full((len(to), wide), -9, np.float32), np.ones((len(to), wide), bool)
+        for x, now in zip(more, (at[good], score[good], False)):
+            x[row, place] = now
+        both = [np.concatenate((x[to], y), axis=1) for x, y in zip((ids, best, done), more)]
+        top = np.argpartition(-both[1], beam - 1, axis=1)[:, :beam]
+        ids[to], best[to], done[to] = (np.take_along_axis(x, top, 1) for x in both)
+
+    score = v @ m[drawn].T
+    begins = size if beam == size else min(PIVOTS, len(drawn))
+    begin = drawn[np.argpartition(-score, begins - 1, axis=1)[:, :begins]]
+    begin = np.concatenate((begin, np.where(own < 0, begin[:, 0], own)[:, None]), axis=1)
+    take(np.repeat(np.arange(len(v)), begin.shape[1]), begin.ravel())
+    while not done.all():
+        left = np.where(done, -9, best)
+        top = np.argpartition(-left, half - 1, axis=1)[:, :half]
+        row, k = np.nonzero(np.take_along_axis(left, top, 1) > -9)
+        done[row, top[row, k]] = True
+        near = around[ids[row, top[row, k]]]
+        take(np.repeat(row, near.shape[1])[(near >= 0).ravel()], near[near >= 0])
+    return ids, best
+
+
+def search(queries: DataFrame, index: DataFrame, shards: int, beam: int, k: int) -> DataFrame:
+    """q, node, score of what each query meets in any shard that may be among its k + 1 best. queries: q, start, qvec."""
+
+    def run(nodes: pa.Table, asked: pa.Table) -> pa.Table:
+        found = []
+        if nodes.num_rows and asked.num_rows:
+            nodes = nodes.sort_by("id")
+            names, m, v = nodes["id"].to_numpy(), _vectors(nodes["vec"]), _vectors(asked["qvec"])
+            lists = [np.frombuffer(x, "<i4") for x in nodes["others"].to_pylist()]
+            around = np.full((len(m), max(1, *map(len, lists))), -1)
+            for x, others in zip(around, lists):
+                x[: len(others)] = others
+            q, start = asked["q"].to_numpy(), asked["start"].to_numpy()
+            own = np.minimum(np.searchsorted(names, start), len(names) - 1)
+            own = np.where(names[own] == start, own, -1)
+            step = min(256, max(16, (1 << 21) // len(m)))
+            for a in range(0, len(q), step):
+                ids, best = _meet(m, around, v[a : a + step], own[a : a + step], beam)
+                # k + 1 nodes suffice, for one may be the query's own
+                enough = -np.partition(-best, k, axis=1)[:, k] if best.shape[1] > k else np.full(len(best), -9)
+                row, at = np.nonzero((ids >= 0) & (best >= enough[:, None] - ROUNDING))
+                found.append((q[a : a + step][row], names[ids[row, at]], best[row, at].astype(float)))
+        columns = [np.concatenate(x) for x in zip(*found)] or [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        return pa.table(columns, names=["q", "node", "score"])
+
+    parts = math.ceil(queries.count() / TOGETHER) or 1
+    everywhere = queries.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("part", F.pmod(F.xxhash64("q"), F.lit(parts)))
+    copies = index.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    there, asked = (x.repartition(apart(shards * parts), "shard", "part").groupBy("shard", "part") for x in (copies, everywhere))
+    return there.cogroup(asked).applyInArrow(run, "q long, node long, score double")
+
+
+def apart(groups: int) -> int:
+    """Partitions that so many groups may be hashed to without many in one of them."""
+    return min(4 * groups, 4096)
 
 
 def candidates(asked: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     """q, node: what may be among the k nearest of each query. asked: q, start, embedding; nodes: id, embedding."""
-    points = materialize(coded(nodes), "points")
-    links = both_ways(descend(points)).groupBy("node").agg(F.collect_set("other").alias("others"))  # at most 2 * DEGREE
-    links = materialize(links, "links")
+    count, width = nodes.count(), F.size("embedding").alias("n")
+    largest = max(SMALL, min(LARGEST, NUMBERS // nodes.select(width).first()["n"]))
+    shards = max(min(SHARDS, math.ceil(count / SMALL)), math.ceil(count / largest))
+    points = materialize(coded(nodes).withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")), "points")
+    index = materialize(linked(points.repartition(apart(shards), "shard")), "index")
     queries = asked.select("q", "start").join(points.select(F.col("id").alias("start"), F.col("vec").alias("qvec")), "start")
     queries = materialize(queries, "queries")
     sample = materialize(asked.orderBy(F.xxhash64("q"), "q").limit(SAMPLE), "sample")
     near = materialize(truth(sample, nodes, k), "truth")
-    wanted, count, beam = near.count(), nodes.count(), max(BEAM, 4 * k)
+    wanted, beam, most = near.count(), max(BEAM, 4 * k), points.groupBy("shard").count().agg(F.max("count")).first()[0]
     few = materialize(queries.join(F.broadcast(sample.select("q")), "q", "left_semi"), "queries")  # SAMPLE rows
     while True:
-        met = search(few, links, points, beam)
-        if beam >= count or near.join(met, ["q", "node"], "left_semi").count() >= TARGET * wanted:
+        met = materialize(search(few, index, shards, beam, k), "met")
+        if beam >= most or near.join(met, ["q", "node"], "left_semi").count() >= TARGET * wanted:
             break
         beam *= 2
     if not queries.join(few, "q", "left_anti").isEmpty():
-        met = search(queries, links, points, beam)
-    order = Window.partitionBy("q").orderBy(F.desc("score"), "node")
-    # k + 1 nodes suffice, for one may be the query's own
-    last = F.nth_value("score", k + 1).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return met.withColumn("last", last).where(F.col("last").isNull() | (F.col("score") >= F.col("last") - ROUNDING)).select("q", "node")
+        met = materialize(search(queries, index, shards, beam, k), "met")
+    last = met.withColumn("place", best_first()).where(F.col("place") == k + 1).select("q", F.col("score").alias("last"))
+    return met.join(last, "q", "left").where(F.col("last").isNull() | (F.col("score") >= F.col("last") - ROUNDING)).select("q", "node")
 
 
 def of_one_length(rows: DataFrame, k: int, every: int) -> DataFrame:

@@ -77,3 +77,20 @@ def test_recall_of_12000_vectors(spark, clusters):
     hits = len(want & {(r.query_id, r.vec_id) for r in got})
     print(f"recall {hits / len(want):.3f}, {clusters} clusters")
     assert hits >= 0.9 * len(want)
+
+
+def test_rows_written_for_each_vector(spark, monkeypatch):
+    """Neighbours stay in their node's row, so no step has a row for each neighbour, in any round."""
+    written, write = {}, ann.materialize
+
+    def counted(df, label, **more):
+        table = write(df, label, **more)
+        written[label] = max(written.get(label, 0), table.count())
+        return table
+
+    monkeypatch.setattr(ann, "materialize", counted)
+    n = 6000
+    m = np.random.default_rng(3).standard_normal((n, 16))
+    rows = [(k, [float(x) for x in v]) for k, v in enumerate(m)]
+    assert ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).count() == n // 50 * 5
+    assert max(written.values()) < 4 * n, written
